@@ -70,3 +70,111 @@ def sector_index(bars: DataFrame, members: DataFrame) -> DataFrame:
         bars.join(members.select("symbol", "sector"), "symbol")
         .groupBy("sector", "date").agg(F.avg("c").alias("c"))
     )
+
+
+def fundamentals(ticks: DataFrame, key: str) -> DataFrame:
+    """Fundamentals per company from its trades of the last year and the year before (see README for the rules)."""
+    cur = F.col("date").between("2000-07-01", "2001-06-30")
+    prev = F.col("date").between("1999-07-01", "2000-06-30")
+    amount = F.col("price") * F.col("qty")
+    margin = amount * (F.lit(0.06) - F.col("discount"))
+    in_cur = lambda c: F.when(cur, c)
+    in_prev = lambda c: F.when(prev, c)
+    a = ticks.groupBy(key).agg(
+        F.sum(in_cur(amount)).alias("s1"), F.sum(in_prev(amount)).alias("s0"),
+        F.sum(in_cur(margin)).alias("p1"), F.sum(in_prev(margin)).alias("p0"),
+        F.avg(in_cur(F.col("qty"))).alias("q1"), F.avg(in_cur(F.col("discount"))).alias("d1"),
+        F.avg(in_prev(F.col("discount"))).alias("d0"),
+        F.avg(F.when(F.col("flag") == "A", F.col("discount"))).alias("da"),
+        F.min(in_cur(F.col("price"))).alias("low"), F.sum(amount).alias("all"),
+        F.max_by("price", F.struct("date", "seq")).alias("last_price"))
+    nz = lambda c: F.when(c != 0, c)
+    pg = 100 * (F.col("p1") - F.col("p0")) / nz(F.abs("p0"))
+    pe = F.col("low") / 100 - 5
+    return a.select(
+        key,
+        F.col("last_price").alias("Current Price"), pe.alias("Price to Earning"),
+        (F.col("all") / 1000).alias("Market Capitalization"),
+        (F.col("p1") / 1000).alias("Net Profit latest quarter"), pg.alias("YOY Quarterly profit growth"),
+        (F.col("s1") / 1000).alias("Sales latest quarter"),
+        (100 * (F.col("s1") / F.col("s0") - 1)).alias("YOY Quarterly sales growth"),
+        F.col("q1").alias("Return on capital employed"), (pe / nz(pg)).alias("PEG Ratio"),
+        (F.col("da") * 12).alias("CFO by PAT"), (F.col("d1") * 20).alias("Debt to equity"),
+        (100 * F.col("p1") / F.col("s1") + 15).alias("OPM"),
+        (100 * (F.col("d1") - F.col("d0"))).alias("Change in FII holding"),
+    )
+
+
+def brand_master(ticks: DataFrame) -> DataFrame:
+    """The fundamentals master by brand: every seventh brand is missing, every fifth has no ISIN."""
+    n = brand_number(F.col("symbol"))
+    industries = ["Pharmaceuticals", "Software Products", "Steel", "Cement", "Retailing"]
+    return fundamentals(ticks, "symbol").filter(n % 7 != 0).select(
+        F.concat(F.lit("Company "), n).alias("Name"), (F.lit(500000) + n).cast("long").alias("BSE Code"),
+        F.col("symbol").alias("NSE Code"), F.when(n % 5 != 0, F.format_string("INE%07d", n)).alias("ISIN Code"),
+        F.lit(None).cast("string").alias("Industry Group"),
+        F.element_at(F.array(*[F.lit(x) for x in industries]), n % 5 + 1).alias("Industry"),
+        *[f"`{c}`" for c in fundamentals(ticks, "symbol").columns if c != "symbol"],
+        n.cast("long").alias("row_no"))
+
+
+def part_master(ticks: DataFrame) -> DataFrame:
+    """Fundamentals by part: one company per part, so the table grows with the data."""
+    return fundamentals(ticks, "part_id").withColumns({
+        "ISIN Code": F.format_string("PRT%08d", "part_id"), "BSE Code": F.col("part_id"),
+        "NSE Code": F.concat(F.lit("P"), "part_id"), "row_no": F.col("part_id")})
+
+
+def listings(members: DataFrame) -> DataFrame:
+    """One listing per brand; every fourth is not on the symbol exchange, every ninth has no ISIN there."""
+    n = brand_number(F.col("symbol"))
+    return members.select(
+        "bse_code", F.when(n % 9 != 0, F.col("isin")).alias("isin"), F.concat(F.lit("B"), n).alias("bse_symbol"),
+        F.when(n % 4 != 0, F.col("symbol")).alias("nse_symbol"),
+        F.when(n % 3 == 0, F.upper("name")).otherwise(F.concat("name", F.lit("."))).alias("name"))
+
+
+def meeting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw board-meeting export: one row per order of 2001, dates in six spellings, some unreadable."""
+    o = table(spark, sf_dir, "orders").filter("o_orderdate >= '2001-01-01'")
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
+    spelled = (
+        F.when(k == 0, F.date_format(d, "dd MMM yyyy")).when(k == 1, F.date_format(d, "dd-MMM-yyyy"))
+        .when(k == 2, F.date_format(d, "dd/MM/yyyy")).when(k == 3, F.date_format(d, "dd-MM-yyyy"))
+        .when(k == 4, F.date_format(d, "yyyy-MM-dd")).when(k == 5, F.date_format(d, "dd MMMM yyyy"))
+        .when(k == 6, F.lit("to be announced")).otherwise(F.date_format(d, " dd MMM yyyy ")))
+    return o.select(
+        F.when(F.col("o_orderkey") % 50 == 0, "n/a").otherwise((500001 + F.col("o_custkey") % 25).cast("string"))
+        .alias(" Security Code"),
+        F.concat(F.lit(" Company "), 1 + F.col("o_custkey") % 25, F.lit(" Ltd-$ ")).alias("Company name"),
+        F.lit("Steel").alias("Industry"), F.lit("Quarterly Results").alias("Purpose"),
+        spelled.alias("Meeting Date "), F.lit(None).cast("string").alias("_c5"))
+
+
+def result_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw board-meeting feed: one row per order; two of three are about results."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("Brand#"), 1 + F.col("o_custkey") % 25).alias("bm_symbol"),
+        F.when(k % 3 == 0, "Dividend").when(k % 3 == 1, "Financial Results").otherwise("Board Meeting").alias("bm_purpose"),
+        F.when(k % 3 == 2, "to consider quarterly RESULTS").otherwise("to consider").alias("bm_desc"),
+        F.when(k % 11 == 0, "soon").otherwise(F.date_format("o_orderdate", "dd-MMM-yyyy")).alias("bm_date"),
+        F.format_string("INE%07d", 1 + F.col("o_custkey") % 25).alias("sm_isin"),
+        F.concat(F.lit("Company "), 1 + F.col("o_custkey") % 25).alias("sm_name"),
+        F.when(F.col("o_custkey") % 2 == 0, "-").otherwise("Healthcare").alias("sm_indusrty"))
+
+
+HOLIDAYS = ["1999-01-26", "1999-08-15", "2000-01-26", "2000-10-02", "2001-01-26", "2001-07-04", "2001-07-10", "2001-07-14"]
+
+
+def quotes(bars: DataFrame) -> DataFrame:
+    """The newest bar of each symbol as a live quote; a third gives the percent, a third only the net change."""
+    from barloom.functions import bar_windows as b
+
+    n = brand_number(F.col("symbol"))
+    rows = bars.select("*", F.lag("c").over(b.series()).alias("prev_close"), b.is_last_bar().alias("is_last"))
+    return rows.filter("is_last").select(
+        "symbol", F.col("c").alias("ltp"), F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"),
+        F.col("v").alias("volume"), F.when(n % 6 != 5, F.col("prev_close")).alias("prev_close"),
+        F.when(n % 3 == 0, F.lit(1.5) - n % 4).alias("given_pct"),
+        F.when(n % 3 != 2, F.col("c") - F.col("prev_close")).alias("net_change"))
