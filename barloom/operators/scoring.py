@@ -217,28 +217,41 @@ def explain_pre_result(rows: DataFrame, market_name: str = fv.MARKET_INDEX) -> D
 
 # ---- fundamentals ---------------------------------------------------------------------------------
 
-def fundamental_score(df: DataFrame, include_liquidity: bool = True) -> Column:
-    """0..100 from growth, quality, balance, value, foreign holding and liquidity; null without core data."""
-    c = lambda name: number(field(df, name))
-    profit, sales = c("YOY Quarterly profit growth"), c("YOY Quarterly sales growth")
-    growth = weighted_mean([
-        (.5, clip_range(F.log1p(clamp(profit, -90, 300) / 100), 0, 1.4)),
-        (.5, clip_range(sales, 0, 60))])
-    quality = weighted_mean([
-        (.4, clip_range(c("Return on capital employed"), 10, 35)),
-        (.3, clip_range(c("OPM"), 8, 30)),
-        (.3, clip_range(c("CFO by PAT"), 0, 1))])
-    balance = clip_range(1.5 - c("Debt to equity"), 0, 1.5)
-    pe, peg = c("Price to Earning"), c("PEG Ratio")
-    value = weighted_mean([
-        (.5, F.when(pe <= 0, F.lit(0.0)).otherwise(clip_range(60 - pe, 0, 50))),
-        (.5, F.when(peg > 0, clip_range(2.5 - peg, 0, 2)))])
-    foreign = clip_range(c("Change in FII holding"), 0, 2)
-    adv = c("adv20_cr")
-    liquid = clip_range(F.log10(F.greatest(adv, F.lit(0.1))), .3, 2)
-    liquid = F.when(adv.isNotNull() & F.lit(include_liquidity), liquid)
-    total = weighted_mean([(.30, growth), (.25, quality), (.10, balance), (.15, value), (.10, foreign), (.10, liquid)])
-    return F.when(growth.isNotNull() | quality.isNotNull() | value.isNotNull(), 100 * total)
+def add_fundamental_score(df: DataFrame, include_liquidity: bool = True, name: str = "fund_score") -> DataFrame:
+    """Adds a score of 0..100 from growth, quality, balance, value, foreign holding and liquidity.
+
+    Null without growth, quality and value. Works in layers of columns, so that each part is computed once.
+    """
+    c = lambda field_name: number(field(df, field_name))
+    facts = {
+        "pg": c("YOY Quarterly profit growth"), "sg": c("YOY Quarterly sales growth"),
+        "roce": c("Return on capital employed"), "opm": c("OPM"), "cfo": c("CFO by PAT"), "de": c("Debt to equity"),
+        "pe": c("Price to Earning"), "peg": c("PEG Ratio"), "fii": c("Change in FII holding"),
+        "adv": c("adv20_cr") if include_liquidity else F.lit(None).cast("double"),
+    }
+    one = df.select("*", *[v.alias(f"_f_{k}") for k, v in facts.items()])
+    f = lambda k: F.col(f"_f_{k}")
+    clipped = {
+        "pg": clip_range(F.log1p(clamp(f("pg"), -90, 300) / 100), 0, 1.4), "sg": clip_range(f("sg"), 0, 60),
+        "roce": clip_range(f("roce"), 10, 35), "opm": clip_range(f("opm"), 8, 30), "cfo": clip_range(f("cfo"), 0, 1),
+        "balance": clip_range(1.5 - f("de"), 0, 1.5),
+        "pe": F.when(f("pe") <= 0, F.lit(0.0)).otherwise(clip_range(60 - f("pe"), 0, 50)),
+        "peg": F.when(f("peg") > 0, clip_range(2.5 - f("peg"), 0, 2)), "fii": clip_range(f("fii"), 0, 2),
+        "liq": F.when(f("adv").isNotNull(), clip_range(F.log10(F.greatest(f("adv"), F.lit(0.1))), .3, 2)),
+    }
+    two = one.select(*[f"`{n}`" for n in df.columns], *[v.alias(f"_c_{k}") for k, v in clipped.items()])
+    p = lambda k: F.col(f"_c_{k}")
+    groups = {
+        "growth": weighted_mean([(.5, p("pg")), (.5, p("sg"))]),
+        "quality": weighted_mean([(.4, p("roce")), (.3, p("opm")), (.3, p("cfo"))]),
+        "balance": p("balance"), "value": weighted_mean([(.5, p("pe")), (.5, p("peg"))]), "fii": p("fii"), "liq": p("liq"),
+    }
+    three = two.select(*[f"`{n}`" for n in df.columns], *[v.alias(f"_g_{k}") for k, v in groups.items()])
+    g = lambda k: F.col(f"_g_{k}")
+    total = weighted_mean([(.30, g("growth")), (.25, g("quality")), (.10, g("balance")), (.15, g("value")), (.10, g("fii")),
+                           (.10, g("liq"))])
+    score = F.when(F.coalesce(g("growth"), g("quality"), g("value")).isNotNull(), 100 * total)
+    return three.select(*[f"`{n}`" for n in df.columns], score.alias(name))
 
 
 def technical_score(r60: Column, above_50dma: Column) -> Column:
@@ -251,11 +264,8 @@ def technical_score(r60: Column, above_50dma: Column) -> Column:
 
 def result_screen_scores(rows: DataFrame) -> DataFrame:
     """Adds fund_score, tech_score and composite to result-screen rows."""
-    first = rows.select(
-        "*",
-        fundamental_score(rows).alias("fund_score"),
-        technical_score(number(field(rows, "ret_60d")), field(rows, "above_50dma", "boolean")).alias("tech_score"),
-    )
+    first = add_fundamental_score(rows).withColumn(
+        "tech_score", technical_score(number(field(rows, "ret_60d")), field(rows, "above_50dma", "boolean")))
     fund, tech = F.col("fund_score"), F.col("tech_score")
     late = F.when(F.col("trading_days_left") < 5, 15).otherwise(0)
     thin = F.when(number(field(rows, "adv20_cr")) < 10, 10).otherwise(0)

@@ -492,8 +492,7 @@ def first_source(spark, sf_dir):
 @query("sco05_fundamental_score", f"{PARTS}, {score_sql('part_id', 'facts')} SELECT part_id, {r('fund_score', 5)} FROM scored")
 def fundamental_score(spark, sf_dir):
     m = part_master(trade_ticks(spark, sf_dir))
-    return m.select("part_id", scoring.fundamental_score(m, include_liquidity=False).alias("fund_score")).select(
-        "part_id", *rounded("fund_score", digits=5))
+    return scoring.add_fundamental_score(m, include_liquidity=False).select("part_id", *rounded("fund_score", digits=5))
 
 
 @query("agg08_weighted_mean", f"{PARTS} SELECT part_id, round({wavg([(.5, 'pg'), (.3, 'roce'), (.2, 'opm')])}, 5) + CAST(0 AS DOUBLE) AS mean FROM facts")
@@ -551,9 +550,9 @@ SCREEN = f"""{SIGNAL}, {UNIVERSE}, q0 AS (SELECT *, lag(c) OVER (PARTITION BY sy
   avg(c) OVER (PARTITION BY symbol ORDER BY date ROWS 13 PRECEDING) AS a14, max(h) OVER (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING) AS hi52,
   min(l) OVER (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING) AS lo52, avg(v) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) AS v20 FROM bars),
 q1 AS (SELECT *, CAST(split_part(symbol, '#', 2) AS INT) AS num FROM q0 WHERE is_last),
-screen AS (SELECT q1.symbol, u.name, u.sector, u.cap, c AS ltp, v AS volume, v20, v / v20 AS relVol, hi52, lo52, CASE WHEN n >= 200 THEN a200 END AS sma200, a50 AS sma50, a14 AS sma14,
-  coalesce(CASE WHEN num % 3 = 0 THEN 1.5::DOUBLE - num % 4 END, CASE WHEN num % 3 <> 2 AND num % 6 <> 5 THEN (c - pc) / (c - (c - pc)) * 100 END,
-           CASE WHEN num % 6 <> 5 THEN (c - pc) / pc * 100 END) AS changePct,
+screen AS (SELECT q1.symbol, u.name, u.sector, u.cap, q1.c AS ltp, q1.v AS volume, v20, q1.v / v20 AS relVol, hi52, lo52, CASE WHEN q1.n >= 200 THEN a200 END AS sma200, a50 AS sma50, a14 AS sma14,
+  coalesce(CASE WHEN num % 3 = 0 THEN 1.5::DOUBLE - num % 4 END, CASE WHEN num % 3 <> 2 AND num % 6 <> 5 THEN (q1.c - q1.pc) / (q1.c - (q1.c - q1.pc)) * 100 END,
+           CASE WHEN num % 6 <> 5 THEN (q1.c - q1.pc) / q1.pc * 100 END) AS changePct,
   signal_score, CASE WHEN signal_score >= 40 THEN 'STRONG BUY' WHEN signal_score >= 15 THEN 'BUY' WHEN signal_score <= -40 THEN 'STRONG SELL'
   WHEN signal_score <= -15 THEN 'SELL' ELSE 'NEUTRAL' END AS signal, CASE WHEN num % 2 = 0 THEN CAST(40 + num AS DOUBLE) END AS fs,
   t.rsi14 AS rsi, t.ema21, t.ema50, t.macd_hist
@@ -579,8 +578,8 @@ def screener_query(spark, sf_dir):
         *rounded("sma200", "sma50", "sma14", "rsi", digits=5), "fundamentalScore")
 
 
-@query("flt01_rule_screen", f"""{SCREEN}, t AS (SELECT *, coalesce(rsi > 55, false) AS a, coalesce(lower(signal) = 'strong buy', false) AS b, coalesce(ltp > sma200, false) AS c,
-  fs IS NOT NULL AND fs <> 44 AS d FROM screen) SELECT symbol FROM t WHERE (((true AND a) OR b) AND c) OR d""")
+@query("flt01_rule_screen", f"""{SCREEN}, tested AS (SELECT *, coalesce(rsi > 55, false) AS a, coalesce(lower(signal) = 'strong buy', false) AS b, coalesce(ltp > sma200, false) AS c,
+  fs IS NOT NULL AND fs <> 44 AS d FROM screen) SELECT symbol FROM tested WHERE (((true AND a) OR b) AND c) OR d""")
 def rule_screen(spark, sf_dir):
     """rsi > 55 OR signal = 'Strong Buy' AND price > sma200 OR fund != 44, folded left to right."""
     return screen.rule_screen(screener(spark, sf_dir), [
@@ -643,13 +642,13 @@ def change_percent(spark, sf_dir):
 
 
 @query("prj02_price_source", f"""{PARTS}, live AS (SELECT part_id, CASE WHEN part_id % 3 = 0 THEN last_price WHEN part_id % 3 = 1 THEN 0 END AS live, CASE WHEN part_id % 2 = 0 THEN low END AS close_, mcap FROM (SELECT *, (pe + 5) * 100 AS low FROM facts))
-SELECT part_id, {r('coalesce(nullif(live, 0), nullif(close_, 0), mcap)', 5, 'price')}, CASE WHEN nullif(live, 0) IS NOT NULL THEN 'live' WHEN nullif(close_, 0) IS NOT NULL THEN 'last_close' ELSE 'fundamentals' END AS source FROM live""")
+SELECT part_id, {r('coalesce(nullif(live, 0), nullif(close_, 0), mcap)', 8, 'price')}, CASE WHEN nullif(live, 0) IS NOT NULL THEN 'live' WHEN nullif(close_, 0) IS NOT NULL THEN 'last_close' ELSE 'fundamentals' END AS source FROM live""")
 def price_source(spark, sf_dir):
     k = F.col("part_id")
     price, label = screen.price_with_source(
         F.when(k % 3 == 0, F.col("Current Price")).when(k % 3 == 1, 0.0),
         F.when(k % 2 == 0, (F.col("Price to Earning") + 5) * 100), F.col("Market Capitalization"))
-    return part_master(trade_ticks(spark, sf_dir)).select("part_id", (F.round(price, 5) + 0.0).alias("price"), label.alias("source"))
+    return part_master(trade_ticks(spark, sf_dir)).select("part_id", (F.round(price, 8) + 0.0).alias("price"), label.alias("source"))
 
 
 @query("prj03_relative_volume", f"""WITH {BARS}, x AS (SELECT symbol, date, v, count(*) OVER w AS n, avg(v) OVER w AS a FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING))
@@ -740,9 +739,9 @@ own AS (SELECT u.sector, count(*) AS n, count(*) FILTER (bars > 61) AS h, median
   SELECT symbol, count(*) OVER (PARTITION BY symbol) AS bars, (c / lag(c, 5) OVER w - 1) * 100 AS o5, (c / lag(c, 20) OVER w - 1) * 100 AS o20, (c / lag(c, 60) OVER w - 1) * 100 AS o60 FROM (
     SELECT * FROM bars JOIN universe USING (symbol) WHERE sector <> 'Realty' OR CAST(split_part(symbol, '#', 2) AS INT) % 2 = 0 OR date >= DATE '2001-10-20')
   WINDOW w AS (PARTITION BY symbol ORDER BY date) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) x JOIN universe u USING (symbol) GROUP BY u.sector)
-SELECT own.sector, n, h AS with_history, {r('CASE WHEN h >= greatest(3, n * 0.5) THEN o5 - m5 * 100 ELSE rel_5d * 100 END', 5, 'rel5')}, {r('CASE WHEN h >= greatest(3, n * 0.5) THEN o20 - m20 * 100 ELSE rel_20d * 100 END', 5, 'rel20')},
- {r('CASE WHEN h >= greatest(3, n * 0.5) THEN o60 - m60 * 100 ELSE rel_60d * 100 END', 5, 'rel60')},
- CASE WHEN h >= greatest(3, n * 0.5) THEN 'median of ' || h || ' stocks' WHEN index_name IS NOT NULL THEN index_name || ' index (proxy)' END AS trend_source, h < greatest(3, n * 0.5) AND rel_5d IS NOT NULL AS proxy
+SELECT own.sector, own.n, h AS with_history, {r('CASE WHEN h >= greatest(3, own.n * 0.5) THEN o5 - m5 * 100 ELSE rel_5d * 100 END', 5, 'rel5')}, {r('CASE WHEN h >= greatest(3, own.n * 0.5) THEN o20 - m20 * 100 ELSE rel_20d * 100 END', 5, 'rel20')},
+ {r('CASE WHEN h >= greatest(3, own.n * 0.5) THEN o60 - m60 * 100 ELSE rel_60d * 100 END', 5, 'rel60')},
+ CASE WHEN h >= greatest(3, own.n * 0.5) THEN 'median of ' || h || ' stocks' WHEN index_name IS NOT NULL THEN index_name || ' index (proxy)' END AS trend_source, h < greatest(3, own.n * 0.5) AND rel_5d IS NOT NULL AS proxy
 FROM own CROSS JOIN mret LEFT JOIN perf ON perf.index_name = own.sector""")
 def sector_trend(spark, sf_dir):
     """Odd brands of one sector keep only their newest weeks, so that sector falls back to its index."""
@@ -762,7 +761,7 @@ def sector_trend(spark, sf_dir):
 @query("win16_rank", f"""{PARTS}, {score_sql('part_id', 'facts')} SELECT part_id, CAST(CASE WHEN fund_score IS NOT NULL THEN row_number() OVER (ORDER BY round(fund_score, 1) DESC NULLS LAST, part_id) END AS DOUBLE) AS rank FROM scored""")
 def rank(spark, sf_dir):
     m = part_master(trade_ticks(spark, sf_dir))
-    scored = m.select("part_id", F.round(scoring.fundamental_score(m, include_liquidity=False), 1).alias("score"))
+    scored = scoring.add_fundamental_score(m, include_liquidity=False).select("part_id", F.round("fund_score", 1).alias("score"))
     return screen.global_rank(scored, "score", "part_id").select("part_id", F.col("rank").cast("double").alias("rank"))
 
 
@@ -770,8 +769,8 @@ def rank(spark, sf_dir):
 def top_k(spark, sf_dir):
     """The best 60 by score first, and only those joined with more facts."""
     m = part_master(trade_ticks(spark, sf_dir))
-    scored = m.select("part_id", scoring.fundamental_score(m, include_liquidity=False).alias("score")).filter("score is not null")
-    best = screen.best_first(scored, 60, F.desc("score"), F.asc("part_id"))
+    scored = scoring.add_fundamental_score(m, False, "score").select("part_id", "score")
+    best = screen.best_first(scored, 60, F.desc_nulls_last("score"), F.asc("part_id")).filter("score is not null")
     return m.select("part_id", F.col("OPM").alias("opm")).join(best, "part_id").select("part_id", *rounded("score", "opm", digits=4))
 
 
@@ -813,7 +812,7 @@ def symbol_union(spark, sf_dir):
     return screen.symbol_union(traded, owing)
 
 
-@query("snk03_strict_clean", """SELECT l_orderkey AS k, l_linenumber AS n, sum(CASE WHEN l_discount = 0 THEN NULL ELSE round(l_tax / l_discount, 4) END) AS v,
+@query("snk03_strict_clean", """SELECT l_orderkey AS k, l_linenumber AS n, round(sum(CASE WHEN l_discount = 0 THEN NULL ELSE round(l_tax / l_discount, 4) END), 4) AS v,
   CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR) AS shipped, count(CASE WHEN l_discount <> 0 THEN 1 END) AS kept FROM lineitem GROUP BY ALL""")
 def strict_clean(spark, sf_dir):
     """Rates with NaN and infinity where the discount is zero, also inside an array and a struct."""
@@ -823,4 +822,4 @@ def strict_clean(spark, sf_dir):
         "l_orderkey", "l_linenumber", rate.alias("v"), F.array(rate).alias("a"), F.struct(rate.alias("x")).alias("s"), "l_shipdate")
     c = sinks.strict_clean(raw)
     return c.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(
-        F.sum("v").alias("v"), F.min("l_shipdate").alias("shipped"), F.count(F.coalesce(F.get("a", F.lit(0)), F.col("s.x"))).alias("kept"))
+        F.round(F.sum("v"), 4).alias("v"), F.min("l_shipdate").alias("shipped"), F.count(F.coalesce(F.get("a", F.lit(0)), F.col("s.x"))).alias("kept"))
