@@ -178,3 +178,110 @@ def quotes(bars: DataFrame) -> DataFrame:
         F.col("v").alias("volume"), F.when(n % 6 != 5, F.col("prev_close")).alias("prev_close"),
         F.when(n % 3 == 0, F.lit(1.5) - n % 4).alias("given_pct"),
         F.when(n % 3 != 2, F.col("c") - F.col("prev_close")).alias("net_change"))
+
+
+# ---- filings and headlines derived from orders ----------------------------------------------------
+
+HEADLINES = [
+    "{co} wins order worth Rs {amt} crore from {client} to be executed over {n} months",
+    "{co} bags contract valued at ${n} million, takes YTD intake beyond Rs {amt} crore",
+    "Termination of contract worth Rs {amt} crore by {client}",
+    "{co} raises revenue guidance for the year",
+    "{co} quarterly net profit rises {n}% on strong demand",
+    "{co} quarterly profit falls {n}% as margins stay weak",
+    "{co} receives show-cause notice with tax demand of Rs {n} lakh",
+    "Regulator sends warning letter to {co}",
+    "{co} in talks over acquisition valued at Rs {amt} crore",
+    "Board of {co} approves QIP of up to Rs {amt} crore",
+    "CFO of {co} resigns citing personal reasons",
+    "Auditor of {co} to resign after the audit",
+    "Closure of trading window for {co}",
+    "{co} opens new plant with capacity of {n} million tonnes",
+    "Creation of pledge on shares of {co}",
+    "Release of pledge on {n} lakh shares of {co}",
+    "Promoters of {co} bought shares worth Rs {amt} crore",
+    "Promoter of {co} sells stake through block deal",
+    "{co} announces buyback of Rs {amt} crore",
+    "Agency reaffirms credit rating of {co}",
+    "{co} declares final dividend",
+    "{co} shares rise {n}% in early trade",
+    "Brokerage upgrades {co} after results",
+    "{co} signs MoU with {client}",
+    "Update on the operations of {co}",
+    "Exchange sought clarification on price movement in {co}",
+    "{co} gets approval from the health ministry",
+    "{co} receives purchase order of Rs {amt} crore from {client} to be supplied by FY{yy}",
+]
+OUTLETS = ["NSE filing", "Reuters", "Mint", "PR Newswire", "Trade Blog", "Economic Times", "Brand#7 Newsroom", "Moneycontrol"]
+
+
+def _headline_parts() -> dict[str, Column]:
+    return {
+        "co": F.concat(F.lit("Brand#"), 1 + F.col("o_custkey") % 25),
+        "amt": F.format_number(F.floor("o_totalprice"), 0),
+        "client": F.element_at(F.array(*[F.lit(x) for x in ("NHAI", "Ministry of Power", "Delta Rail")]),
+                               (F.col("o_orderkey") % 3 + 1).cast("int")),
+        "n": (6 + F.col("o_orderkey") % 40).cast("string"),
+        "yy": F.lpad(((F.year("o_orderdate") + 2) % 100).cast("string"), 2, "0"),
+    }
+
+
+def _headline_sql_parts() -> dict[str, str]:
+    return {
+        "co": "'Brand#' || (1 + o_custkey % 25)",
+        "amt": "format('{:,}', CAST(floor(o_totalprice) AS BIGINT))",
+        "client": "['NHAI', 'Ministry of Power', 'Delta Rail'][o_orderkey % 3 + 1]",
+        "n": "CAST(6 + o_orderkey % 40 AS VARCHAR)",
+        "yy": "lpad(CAST((year(o_orderdate) + 2) % 100 AS VARCHAR), 2, '0')",
+    }
+
+
+def _pieces(template: str) -> list[str]:
+    import re
+
+    return [p for p in re.split(r"(\{\w+\})", template) if p]
+
+
+def headline_column() -> Column:
+    parts = _headline_parts()
+    kind, chain = F.col("o_orderkey") % len(HEADLINES), F
+    for i, template in enumerate(HEADLINES):
+        chain = chain.when(kind == i, F.concat(*[parts[p[1:-1]] if p[0] == "{" else F.lit(p) for p in _pieces(template)]))
+    return chain.otherwise(F.lit(""))
+
+
+def headline_sql() -> str:
+    parts = _headline_sql_parts()
+    whens = " ".join(
+        f"WHEN {i} THEN " + " || ".join(parts[p[1:-1]] if p[0] == "{" else "'" + p + "'" for p in _pieces(t))
+        for i, t in enumerate(HEADLINES))
+    return f"CASE o_orderkey % {len(HEADLINES)} {whens} ELSE '' END"
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One filing or headline per order: the text depends on the order, the company on its customer."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_custkey")
+    source = F.element_at(F.array(*[F.lit(x) for x in OUTLETS]), (k % 8 + 1).cast("int"))
+    exchange = k % 8 == 0
+    head = headline_column()
+    return o.select(
+        F.col("o_orderkey").alias("item_id"), F.concat(F.lit("Brand#"), 1 + k % 25).alias("company_id"),
+        F.timestamp_seconds(F.unix_timestamp("o_orderdate") + (F.col("o_orderkey") % 1440) * 60).alias("ts"),
+        F.when(~exchange & (k % 3 == 0), F.concat(head, F.lit(" - "), source)).otherwise(head).alias("title"),
+        F.when(exchange, F.concat(F.lit("Reference "), "o_orderpriority")).otherwise("").alias("text"),
+        F.when(F.col("o_orderkey") % 5 == 0, "Press Release").otherwise("General").alias("category"),
+        source.alias("source"), F.when(exchange, "exchange").otherwise("media").alias("source_type"),
+        F.concat(F.lit("Brand#"), 1 + k % 25).alias("company"),
+        F.when(k % 25 % 4 != 0, (20000.0 + 1000 * (k % 25)).cast("double")).alias("annual_revenue_cr"),
+        F.when(k % 25 % 3 != 0, (500000.0 + 10000 * (k % 25)).cast("double")).alias("market_cap_cr"))
+
+
+def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as news items: title = first sentence, an item every ten minutes, 25 companies."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("item_id"), F.concat(F.lit("Brand#"), 1 + F.col("doc_id") % 25).alias("company_id"),
+        F.timestamp_seconds(F.lit(978307200) + F.col("doc_id") * 600).alias("ts"),
+        F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"), "text", F.lit("General").alias("category"), "source",
+        F.lit("media").alias("source_type"))
