@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions import event_rules as er
 from barloom.functions import text_events as te
 from barloom.operators.linking import close_vectors, connected_components, token_set_pairs, unit, with_frequency
+from barloom.session import cut_lineage
 
 DAY_H = 24.0
 
@@ -149,17 +150,17 @@ def story_links(articles: DataFrame, aliases: DataFrame, window_h: float = DAY_H
     ``articles``: item_id, title, source, hours_ago. With ``vectors`` (item_id, vec) the similarity is theirs,
     otherwise it is TF-IDF over the titles. With vectors, equal titles count as equal vectors.
     """
-    keyed = articles.select("item_id", "hours_ago", te.headline_title(F.col("title"), F.col("source")).alias("key"))
-    runs = title_runs(keyed, window_h)
+    keyed = cut_lineage(articles.select("item_id", "hours_ago", te.headline_title(F.col("title"), F.col("source")).alias("key")))
+    runs = cut_lineage(title_runs(keyed, window_h))
     titles = runs.groupBy("key").agg(F.sum("n").alias("n"))
-    facts = title_facts(titles, aliases)
+    facts = cut_lineage(title_facts(titles, aliases))
     days = lambda lo, hi: F.explode(F.sequence(F.floor(lo / window_h), F.floor(hi / window_h)))
     start, end = F.col("start"), F.col("end")
 
     if vectors is None:
         asks = runs.select("key", days(start, end).alias("day"), F.lit("p").alias("role"))
         gives = runs.select("key", days(start - window_h, end + window_h).alias("day"), F.lit("c").alias("role"))
-        pairs = similar_titles(tfidf(titles, stop), asks.unionByName(gives).distinct(), er.SAME_STORY_SIM_WITH_WORDS)
+        pairs = similar_titles(cut_lineage(tfidf(titles, stop)), asks.unionByName(gives).distinct(), er.SAME_STORY_SIM_WITH_WORDS)
     else:
         one = keyed.join(vectors, "item_id").groupBy("key").agg(F.min_by("vec", "item_id").alias("vec"))
         pairs = vector_pairs(runs, one, facts, window_h)

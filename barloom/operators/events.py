@@ -13,6 +13,7 @@ from barloom.functions.scalars import drop_nulls, is_true
 from barloom.operators.history import price_reactions
 from barloom.operators.linking import DAY, first_at_or_after, follow_to_root, token_set_pairs
 from barloom.operators.screen import top_per_group
+from barloom.session import cut_lineage, spread
 
 REPEAT_DAYS = 10
 REPEAT_JACCARD = 0.45
@@ -30,6 +31,7 @@ def parse_times(items: DataFrame, now: Column) -> DataFrame:
 
 def classify(items: DataFrame) -> DataFrame:
     """Adds body text, event type, label, rule direction, base materiality and the matched words."""
+    items = spread(items)
     exchange = F.coalesce(F.col("source_type") == "exchange", F.lit(False))
     title = F.when(exchange, F.coalesce("title", F.lit(""))).otherwise(te.strip_publisher(F.col("title"), F.col("source")))
     one = items.withColumn("body", F.concat(title, F.lit(". "), F.coalesce("text", F.lit(""))))
@@ -55,7 +57,12 @@ def order_percentages(df: DataFrame) -> DataFrame:
 
 
 def measure(items: DataFrame) -> DataFrame:
-    """Adds amounts, order facts, direction, materiality and reliability to classified items."""
+    """Adds amounts, order facts, direction, materiality and reliability to classified items.
+
+    The typed items are written down first: later filters on the type would otherwise be moved in front of
+    the classification and repeat its patterns.
+    """
+    items = cut_lineage(items)
     kind, body = F.col("event_type"), F.col("body")
     is_order = kind.isin(*er.ORDER_TYPES)
     largest = F.array_max(te.amounts_in_crore(body, kind == "regulatory_action"))
@@ -135,10 +142,10 @@ def novelty_links(items: DataFrame, window_days: int = REPEAT_DAYS) -> DataFrame
     """
     t = F.unix_micros("ts")
     span = window_days * DAY
-    base = items.filter(~F.col("event_type").isin(*er.NEVER_REPEATS)).select(
+    base = cut_lineage(items.filter(~F.col("event_type").isin(*er.NEVER_REPEATS)).select(
         "item_id", "company_id", "event_type", t.alias("t"), F.floor(t / span).alias("era"),
         F.nullif("amount", F.lit(0.0)).alias("amount"), "tokens",
-        F.md5(F.concat_ws(" ", F.array_sort("tokens")).cast("binary")).alias("sig"))
+        F.md5(F.concat_ws(" ", F.array_sort("tokens")).cast("binary")).alias("sig")))
     scope = ["company_id", "event_type"]
     key = lambda kind, value: F.struct(*scope, F.concat(F.lit(kind), value).alias("group")).alias("key")
     nothing = F.lit("")
@@ -185,6 +192,7 @@ def novelty_links(items: DataFrame, window_days: int = REPEAT_DAYS) -> DataFrame
 
 def mark_novelty(items: DataFrame, window_days: int = REPEAT_DAYS) -> DataFrame:
     """Adds ``repeat_of`` (item id of the first report) and ``novelty``: 1, or 0.15 / 0.10 for repeats."""
+    items = cut_lineage(items)
     tokens = te.token_set(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), er.NOVELTY_STOP)
     amount = F.coalesce(F.nullif("order_value_cr", F.lit(0.0)), F.col("amount_cr"))
     links = novelty_links(items.select("item_id", "company_id", "event_type", "ts", amount.alias("amount"), tokens.alias("tokens")),

@@ -338,7 +338,9 @@ def signal_inputs(bars: DataFrame, periods: tuple[int, ...] = (14, 21, 50, 100,
         F.array_max(tail("h", 252)).alias("week52High"),
         F.array_min(tail("l", 252)).alias("week52Low"),
     )
-    return folded.select(
+    # one row per symbol already: this keeps later filters on an indicator from repeating its fold
+    once = folded.groupBy("symbol").agg(*[F.first(c).alias(c) for c in folded.columns if c != "symbol"])
+    return once.select(
         "*", F.col("macd.line").alias("macd_line"), F.col("macd.signal").alias("macd_signal"),
         F.col("band.trend").alias("supertrend"),
         (F.col("bb_mid") + 2 * F.col("bb_dev")).alias("bb_up"), (F.col("bb_mid") - 2 * F.col("bb_dev")).alias("bb_low"),

@@ -10,6 +10,7 @@ from barloom.operators import dedup, events, linking, screen
 from barloom.registry.core import query
 from barloom.registry.market import rounded
 from barloom.registry.companies import REACTION
+from barloom.session import spread
 from barloom.sources import feeds
 from barloom.sources.bindings import OUTLETS, bars_daily, document_items, filings, headline_sql, table
 
@@ -69,7 +70,7 @@ def amounts_sql(text: str, bare: str) -> str:
       WHEN h.u LIKE 'cr%' THEN 1 WHEN h.u LIKE 'lakh%' OR h.u LIKE 'lac%' THEN 0.01::DOUBLE WHEN h.u IN ('billion', 'bn') THEN 100 ELSE 0.1::DOUBLE END
       * CASE WHEN h.c IN ('usd', 'us$', '$') THEN 88.0::DOUBLE WHEN h.c IN ('eur', '€') THEN 95.04::DOUBLE ELSE 1 END, 2)
      WHEN h.c <> '' AND {bare} AND CAST(replace(h.n, ',', '') AS DOUBLE) >= 1000 THEN round(CAST(replace(h.n, ',', '') AS DOUBLE) / 1e7 * CASE WHEN h.c IN ('usd', 'us$', '$') THEN 88.0::DOUBLE WHEN h.c IN ('eur', '€') THEN 95.04::DOUBLE ELSE 1 END, 6) END"""
-    return f"""list_transform(list_transform(list_zip({part(1)}, {part(2)}, {part(3)}, {part(4)}), lambda z: {{'c': lower(z[1]), 'n': z[2], 'u': lower(z[3]), 'x': z[4]}}), lambda h: {one})"""
+    return f"""list_transform(list_transform(list_zip({part(1)}, {part(2)}, {part(3)}, {part(4)}), lambda z: {{'c': lower(coalesce(z[1], '')), 'n': z[2], 'u': lower(coalesce(z[3], '')), 'x': coalesce(z[4], '')}}), lambda h: {one})"""
 
 
 ITEMS = f"""items AS (SELECT o_orderkey AS item_id, 'Brand#' || (1 + o_custkey % 25) AS company_id, o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE AS ts,
@@ -181,7 +182,7 @@ PLAIN = "regexp_replace(text, '[À-ÖØ-öø-ÿŒœŸß]', 'z', 'g')"
 SELECT doc_id, {pick_sql('rule', 0)} AS event_type FROM c""")
 def classify_documents(spark, sf_dir):
     """Whole documents, up to their last word."""
-    flat = table(spark, sf_dir, "documents").select("doc_id", te.squeeze(F.col("text")).alias("flat"))
+    flat = spread(table(spark, sf_dir, "documents")).select("doc_id", te.squeeze(F.col("text")).alias("flat"))
     return flat.select("doc_id", te.of_rule(te.rule_number(F.col("flat")), 0).alias("event_type"))
 
 
@@ -268,10 +269,10 @@ def shared_sizes(spark, sf_dir):
     return s.select("item_id", "order_value_cr", "amount_cr", "order_pct_revenue", "materiality", "materiality_label", took.alias("took"))
 
 
-@query("evt13_14_event_impact", f"WITH RECURSIVE {IMPACT} SELECT item_id, event_type, CAST(direction AS BIGINT) AS direction, novelty, reliability, materiality, priced_in, impact FROM scored_events")
+@query("evt13_14_event_impact", f"WITH RECURSIVE {IMPACT} SELECT item_id, event_type, CAST(direction AS BIGINT) AS direction, novelty, reliability, materiality, priced_in > 0 AS ran_up, impact FROM scored_events")
 def event_impact(spark, sf_dir):
     return analysed(spark, sf_dir).select("item_id", "event_type", F.col("direction").cast("long").alias("direction"), "novelty", "reliability",
-                                          "materiality", *rounded("priced_in", digits=2), *rounded("impact", digits=3))
+                                          "materiality", (F.col("priced_in") > 0).alias("ran_up"), *rounded("impact", digits=3))
 
 
 SUMMARY = f"""{IMPACT}, net AS (SELECT company_id, tanh(sum(impact * pow(0.5, greatest((epoch(TIMESTAMP '{NOW}') - epoch(ts)) / 86400, 0) / 10))) AS net FROM scored_events GROUP BY 1),
@@ -436,9 +437,9 @@ def representatives(spark, sf_dir):
 
 
 @query("dup05_embedding_pairs", """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS sim
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND abs(a.vec_id % 97 - b.vec_id % 97) <= 24 WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.74::DOUBLE""")
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND abs(a.vec_id % 97 - b.vec_id % 97) <= 24 WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.35::DOUBLE""")
 def embedding_pairs(spark, sf_dir):
-    """Supplied vectors: all pairs with cosine 0.74 or more that lie within a day, spread over four days."""
+    """Supplied vectors: all pairs with cosine 0.35 or more that lie within a day, spread over four days."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), (F.col("vec_id") % 97).cast("double").alias("hours"),
                                                   linking.unit(F.col("embedding")).alias("vec"))
-    return linking.close_vectors(e, 0.74, 24.0, block_rows=256).select("a", "b", F.round("sim", 5).alias("sim"))
+    return linking.close_vectors(e, 0.35, 24.0, block_rows=256).select("a", "b", F.round("sim", 5).alias("sim"))
