@@ -21,11 +21,11 @@ def scan(calendar: DataFrame, bars: DataFrame, market: DataFrame, sector_bars: D
     """
     k = min(max(int(top_k), 5), 200)
     now = F.to_date(F.lit(today))
-    dated = calendar.withColumns({
+    dated = calendar.withColumnRenamed("industry", "calendar_industry").withColumns({
         "trading_days_left": trading_days(now, F.col("result_date"), holidays),
         "days_left": F.datediff("result_date", now)}).filter(F.col("trading_days_left") >= min_sessions)
     known = joins.with_fundamentals(dated, master)
-    industry = [F.col(c) if c in known.columns else F.lit(None).cast("string") for c in ("industry", "Industry Group", "Industry")]
+    industry = [F.col(f"`{c}`") if c in known.columns else F.lit(None).cast("string") for c in ("calendar_industry", "Industry Group", "Industry")]
     named = known.withColumn("sector_index", F.coalesce(joins.sector_index_for(*industry), F.col("sector")))
 
     ours = bars.join(named.select("symbol", "sector").distinct(), "symbol")
