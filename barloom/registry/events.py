@@ -151,8 +151,8 @@ shared AS (SELECT st.* EXCLUDE (order_value_cr, amount_cr, materiality, material
   CASE WHEN sized OR f IS NULL THEN order_pct_revenue ELSE coalesce(f.op, order_pct_revenue) END AS order_pct_revenue,
   CASE WHEN sized OR f IS NULL THEN materiality ELSE f.ma END AS materiality, CASE WHEN sized OR f IS NULL THEN materiality_label ELSE f.ml END AS materiality_label,
   NOT sized AND f IS NOT NULL AS took FROM st LEFT JOIN ref USING (story))"""
-IMPACT = f"""{SHARED}, {REACTION}, moved AS (SELECT s.*, round(x.pre_move, 4) AS pre_move, round(x.pre_move_z, 2) AS z FROM shared s LEFT JOIN reaction x ON x.k = s.item_id),
-priced AS (SELECT *, CASE WHEN direction <> 0 AND coalesce(sign(z) = direction AND abs(z) > 1, false) THEN least((abs(z) - 1) / 2, 1) ELSE 0 END AS p FROM moved),
+IMPACT = f"""{SHARED}, {REACTION}, ev_moved AS (SELECT s.*, round(x.pre_move, 4) AS pre_move, round(x.pre_move_z, 2) AS z FROM shared s LEFT JOIN reaction x ON x.k = s.item_id),
+priced AS (SELECT *, CASE WHEN direction <> 0 AND coalesce(sign(z) = direction AND abs(z) > 1, false) THEN least((abs(z) - 1) / 2, 1) ELSE 0 END AS p FROM ev_moved),
 scored_events AS MATERIALIZED (SELECT *, round(p, 2) AS priced_in, round(direction * materiality * novelty * reliability * (1 - 0.6::DOUBLE * p), 3) + CAST(0 AS DOUBLE) AS impact FROM priced)"""
 
 
