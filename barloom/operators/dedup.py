@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions import event_rules as er
 from barloom.functions import text_events as te
 from barloom.operators.linking import close_vectors, connected_components, token_set_pairs, unit, with_frequency
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, spread
 
 DAY_H = 24.0
 
@@ -60,13 +60,13 @@ def tfidf(titles: DataFrame, stop: Sequence[str] | None = None) -> DataFrame:
     ``titles`` is (key, n): n copies count as n documents.
     """
     terms = titles.select("key", "n", F.explode(title_terms(F.col("key"), stop or english_stop_words())).alias("term"))
-    tf = terms.groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut_lineage(terms.groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = tf.groupBy("term").agg(F.sum("n").alias("df"))
     total = titles.agg(F.sum("n")).scalar()
     raw = with_frequency(tf, df, "term", "df").select(
         "key", "term", "df", (F.col("tf") * (F.ln((1 + total) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "key").select("key", "term", "df", (F.col("w") / F.col("norm")).alias("weight"))
+    of_title = Window.partitionBy("key")                     # the terms of one title
+    return raw.select("key", "term", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_title))).alias("weight"))
 
 
 def similar_titles(vectors: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
@@ -93,19 +93,25 @@ def similar_titles(vectors: DataFrame, places: DataFrame, threshold: float) -> D
 
 # ---- entities and the same-story test ----------------------------------------------------------------------
 
-def entities(titles: DataFrame, aliases: DataFrame, max_words: int = 5) -> DataFrame:
+def entities(titles: DataFrame, aliases: DataFrame) -> DataFrame:
     """(key, entities): symbols whose alias stands in the title as whole words.
 
-    ``aliases`` is (alias, symbol). Runs of title words are joined with the aliases' words, then the exact spelling is
-    tested on those few hits.
+    ``aliases`` is (alias, symbol). Runs of title words, up to the length of the longest alias, are joined with the
+    aliases' words, then the exact spelling is tested on those few hits.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     known = aliases.select(F.lower("alias").alias("alias"), "symbol", F.concat_ws(" ", words(F.col("alias"))).alias("gram"))
-    w = words(F.col("key"))
-    sizes = F.sequence(F.lit(1), F.lit(max_words))
-    grams = F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.when(F.size(w) >= k, F.transform(
-        F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.concat_ws(" ", F.slice(w, i, k)))).otherwise(F.array().cast("array<string>")))))
-    hits = titles.select("key", F.explode(grams).alias("gram")).join(known, "gram")
+    longest = aliases.agg(F.max(F.size(words(F.col("alias"))))).first()[0] or 1
+    w = F.col("w")
+
+    def runs_of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (k - 1))
+        joined = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(w, i, k)))
+        return F.when(F.size(w) >= k, joined).otherwise(F.array().cast("array<string>"))
+
+    runs = [w] + [runs_of(k) for k in range(2, longest + 1)]
+    split = titles.select("key", words(F.col("key")).alias("w"))
+    hits = split.select("key", F.explode(F.array_distinct(F.concat(*runs))).alias("gram")).join(known, "gram")
     quoted = F.concat(F.lit(r"\b\Q"), F.col("alias"), F.lit(r"\E\b"))
     return hits.filter(F.regexp_like(F.lower("key"), quoted)).groupBy("key").agg(F.collect_set("symbol").alias("entities"))
 
@@ -152,7 +158,7 @@ def story_links(articles: DataFrame, aliases: DataFrame, window_h: float = DAY_H
     """
     keyed = cut_lineage(articles.select("item_id", "hours_ago", te.headline_title(F.col("title"), F.col("source")).alias("key")))
     runs = cut_lineage(title_runs(keyed, window_h))
-    titles = runs.groupBy("key").agg(F.sum("n").alias("n"))
+    titles = spread(cut_lineage(runs.groupBy("key").agg(F.sum("n").alias("n"))))
     facts = cut_lineage(title_facts(titles, aliases))
     days = lambda lo, hi: F.explode(F.sequence(F.floor(lo / window_h), F.floor(hi / window_h)))
     start, end = F.col("start"), F.col("end")

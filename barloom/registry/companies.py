@@ -14,7 +14,7 @@ from barloom.registry.snippets import BARS, MARKET, SECTORS, TICKS, UNIVERSE, r,
 from barloom.sources import feeds, sinks
 from barloom.sources.bindings import (
     HOLIDAYS, TODAY, bars_daily, brand_master, brand_number, listings, market_index, meeting_rows, part_master, quotes,
-    result_feed, sector_index, table, trade_ticks, universe,
+    result_feed, sector_index, stored_bars, table, trade_ticks, universe,
 )
 
 # ---- SQL building blocks ---------------------------------------------------------------------------
@@ -294,7 +294,7 @@ re AS (SELECT e.symbol, e.date, a.c / z.c - 1 AS pre_ret, (a.c / z.c - 1) - (a.m
 
 @query("win14_result_drift", f"WITH {AROUND} SELECT symbol, CAST(date AS VARCHAR) AS date, {rs('pre_ret', 'pre_excess', 'gap', 'reaction_2d')} FROM re")
 def result_drift(spark, sf_dir):
-    bars = bars_daily(spark, sf_dir)
+    bars = stored_bars(spark, sf_dir)
     return history.result_events(bars, quarter_starts(bars), market_index(bars)).select(
         "symbol", day(), *rounded("pre_ret", "pre_excess", "gap", "reaction_2d"))
 
@@ -305,7 +305,7 @@ def result_drift(spark, sf_dir):
  {r('avg(abs(reaction_2d))', 6, 'hist_reaction_abs_mean')}, {r('avg(CASE WHEN reaction_2d > 0 THEN 1.0 ELSE 0 END)', 6, 'hist_reaction_pos_rate')},
  array_to_string(list_slice(list(CAST(date AS VARCHAR) ORDER BY date DESC), 1, 8), ',') AS latest FROM re GROUP BY symbol""")
 def results_history(spark, sf_dir):
-    bars = bars_daily(spark, sf_dir)
+    bars = stored_bars(spark, sf_dir)
     h = history.results_history(bars, quarter_starts(bars), market_index(bars))
     names = [c for c in h.columns if c.startswith("hist_") and c not in ("hist_events", "hist_detail")]
     return h.select("symbol", "hist_events", *rounded(*names),
@@ -563,7 +563,7 @@ def screener(spark, sf_dir) -> DataFrame:
     """The screener table: quotes, listing facts, signals and fundamentals in one row per symbol."""
     from barloom.plans.screener import screener_table
 
-    bars = bars_daily(spark, sf_dir)
+    bars = stored_bars(spark, sf_dir)
     n = brand_number(F.col("symbol"))
     scores = bars.select("symbol").distinct().filter(n % 2 == 0).select("symbol", (40 + n).cast("double").alias("fundamentalScore"))
     return screener_table(quotes(bars), bars, universe(bars), scores)
@@ -729,7 +729,7 @@ def index_performance(spark, sf_dir):
 
 
 def index_rows(spark, sf_dir) -> DataFrame:
-    bars = bars_daily(spark, sf_dir)
+    bars = stored_bars(spark, sf_dir)
     index = sector_index(bars, universe(bars)).withColumnRenamed("sector", "symbol")
     return sectors.index_performance(index, market_index(bars))
 
@@ -745,7 +745,7 @@ SELECT own.sector, own.n, h AS with_history, {r('CASE WHEN h >= greatest(3, own.
 FROM own CROSS JOIN mret LEFT JOIN perf ON perf.index_name = own.sector""")
 def sector_trend(spark, sf_dir):
     """Odd brands of one sector keep only their newest weeks, so that sector falls back to its index."""
-    bars = bars_daily(spark, sf_dir)
+    bars = stored_bars(spark, sf_dir)
     members = universe(bars)
     own_bars = bars.join(members.select("symbol", "sector"), "symbol").filter(
         (F.col("sector") != "Realty") | (brand_number(F.col("symbol")) % 2 == 0) | (F.col("date") >= "2001-10-20"))

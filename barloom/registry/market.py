@@ -10,7 +10,7 @@ from barloom.operators import features, scoring
 from barloom.registry.core import query
 from barloom.registry.snippets import ALL_FEATURES, BARS, MARKET, RSI_EXP, SECTORS, TICKS, UNIVERSE, r, rs
 from barloom.sources import bars as bar_source
-from barloom.sources.bindings import bars_daily, market_index, sector_index, trade_ticks, universe
+from barloom.sources.bindings import bars_daily, market_index, stored_bars, sector_index, trade_ticks, universe
 
 
 def rounded(*names: str, digits: int = 6) -> list:
@@ -110,7 +110,8 @@ def per_bar(name: str, columns: list[str], digits: int = 6):
 
     @query(name, sql)
     def run(spark, sf_dir):
-        bars = bars_daily(spark, sf_dir)
+        several = any("mkt" in c or "sec" in c for c in columns)
+        bars = stored_bars(spark, sf_dir) if several else bars_daily(spark, sf_dir)
         members = universe(bars)
         market = market_index(bars) if any("mkt" in c for c in columns) else None
         sector = None
@@ -382,7 +383,7 @@ def scanner_features(spark, sf_dir):
 
 
 def scanner_rows(spark, sf_dir) -> DataFrame:
-    bars = bars_daily(spark, sf_dir)
+    bars = stored_bars(spark, sf_dir)
     members = universe(bars)
     return features.scanner_features(
         bars.join(members.select("symbol", "sector"), "symbol"), market_index(bars), sector_index(bars, members))

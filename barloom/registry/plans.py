@@ -17,7 +17,7 @@ from barloom.registry.snippets import ALL_FEATURES, BARS, MARKET, RSI_EXP, TICKS
 from barloom.session import fresh_dir
 from barloom.sources import feeds, sinks
 from barloom.sources.bindings import (
-    HOLIDAYS, TODAY, bars_daily, brand_master, brand_number, filings, listings, market_index, meeting_rows, sector_index, table,
+    HOLIDAYS, TODAY, bars_daily, brand_master, brand_number, filings, listings, market_index, meeting_rows, sector_index, stored_bars, table,
     trade_ticks, universe,
 )
 
@@ -85,7 +85,7 @@ def reasons_and_risks(spark, sf_dir):
 # ---- result screen --------------------------------------------------------------------------------------------
 
 def result_rows(spark, sf_dir) -> DataFrame:
-    bars = bars_daily(spark, sf_dir)
+    bars = stored_bars(spark, sf_dir)
     members = universe(bars)
     by_isin = bars.join(members.select("symbol", "isin"), "symbol").drop("symbol").withColumnRenamed("isin", "symbol")
     live = members.filter(brand_number(F.col("symbol")) % 2 == 0).select("isin", F.lit(100.0).alias("live"))
@@ -137,7 +137,7 @@ def result_summary(spark, sf_dir):
 # ---- pre-result scan ---------------------------------------------------------------------------------------------
 
 def scan_rows(spark, sf_dir) -> DataFrame:
-    bars = bars_daily(spark, sf_dir)
+    bars = stored_bars(spark, sf_dir)
     members = universe(bars)
     calendar = merged_calendar(spark, sf_dir).drop("symbol").join(members.select("isin", "symbol", "sector"), "isin")
     return pre_result_scan.scan(

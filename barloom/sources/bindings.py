@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from barloom.session import cut_lineage
 from barloom.sources.bars import roll_up_ticks
 
 TODAY = "2001-06-30"
@@ -41,6 +42,11 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll_up_ticks(trade_ticks(spark, sf_dir), ["symbol", "date"])
 
 
+def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily bars written down once, for jobs that read them several times (as a bars table would be)."""
+    return cut_lineage(bars_daily(spark, sf_dir))
+
+
 def brand_number(symbol: Column) -> Column:
     return F.substring_index(symbol, "#", -1).cast("int")
 
