@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.llm.common import SPACE, bind, indices, packed, words_of
+from barloom.llm.common import bind, indices, packed, words_of
+from barloom.session import stage, unstage
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Documents that are timed to order the rules; only their order depends on it.
+#: About so many documents are timed to order the rules; only their order depends on it.
 SAMPLE_ROWS = 2000
 
 
@@ -96,11 +97,12 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int =
     rules = standard_rules() if rules is None else rules
     rows = docs.select(packed(docs).alias("row"), "doc_id", "text", measures(F.col("text")).alias("m")).select(
         "row", "doc_id", "text", "m.*")
-    sample = rows.limit(sample_rows).cache()
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = stage(rows.sample(share, seed=7) if share < 1 else rows, "sample")
     verdict = F.when(F.lit(False), False)
     for rule in ordered(sample, rules):
         verdict = verdict.when(rule.rejects, False)
-    sample.unpersist()
+    unstage(sample)
     return rows.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))).withColumn(
         "kept", ~F.col("base_failed") & verdict.otherwise(True))
 
