@@ -168,7 +168,8 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: i
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
     """Co-trained model; every fifth labelled document (by hash) is held out for calibration and combination."""
-    rows = sorted(sample(docs, labels, labelled, pool).collect())                       # bounded by the two parameters
+    rows = sample(docs, labels, labelled, pool).collect()                                # bounded by the two parameters
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"]))
     matrix = lambda some, name, size: np.array([np.frombuffer(r[name], np.float32) for r in some], np.float32).reshape(-1, size)
     known, free = [r for r in rows if r["good"] is not None], [r for r in rows if r["good"] is None]
     held = np.array([xxhash.xxh32_intdigest(str(r["doc_id"])) % 5 == 0 for r in known], bool)
