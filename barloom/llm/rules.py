@@ -95,10 +95,11 @@ def ordered(measured: DataFrame, rules: list[Rule]) -> list[Rule]:
 def judged(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(row, the measures, base_failed, kept) per document; ``row`` holds all columns it came with."""
     rules = standard_rules() if rules is None else rules
-    rows = docs.select(packed(docs).alias("row"), "doc_id", "text", measures(F.col("text")).alias("m")).select(
-        "row", "doc_id", "text", "m.*")
+    def measured(some: DataFrame) -> DataFrame:
+        return some.select(packed(some).alias("row"), "doc_id", "text", measures(F.col("text")).alias("m")).select("row", "doc_id", "text", "m.*")
+
     share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = stage(rows.sample(share, seed=7) if share < 1 else rows, "sample")
+    rows, sample = measured(docs), stage(measured(docs.sample(share, seed=7) if share < 1 else docs), "sample")
     verdict = F.when(F.lit(False), False)
     for rule in ordered(sample, rules):
         verdict = verdict.when(rule.rejects, False)
