@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.llm.common import SPACE, bind, indices, packed
-from barloom.session import stage
+from barloom.session import stage, unstage
 
 BLOCK_BYTES = 4096
 
@@ -83,9 +83,10 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bits: int
     while depth > 1:
         pairs = F.transform(indices(F.ceil(F.size("names") / 2)), lambda i: F.struct(
             F.get("names", i * 2).alias("left"), F.get("names", i * 2 + 1).alias("right")))
-        paired = rows.withColumn("contents", pairs).drop("names")
         several = F.size("contents") > 0
-        paired = paired.withColumn("buckets", F.transform("contents", lambda p: _bucket(p, bucket_bits)))
+        paired = stage(rows.withColumn("contents", pairs).drop("names").withColumn(
+            "buckets", F.transform("contents", lambda p: _bucket(p, bucket_bits))), "pairs")
+        unstage(rows)
         numbers = _numbers(paired.filter(several).select(F.explode(F.arrays_zip("buckets", "contents")).alias("x")).select(
             F.col("x.buckets").alias("bucket"), F.col("x.contents").alias("content")))
         if numbers is None:
