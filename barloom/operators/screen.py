@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from barloom.functions import fixed_values as fv
 from barloom.functions.scalars import all_of, is_true, number, ratio
-from barloom.session import cut_lineage
+from barloom.session import stage
 
 COMPARE = {
     ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b,
@@ -216,21 +216,25 @@ def relative_sort_value(k: int) -> Column:
     return F.coalesce(f"rel_sec_{k}d", f"rel_mkt_{k}d")
 
 
-def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank") -> DataFrame:
-    """1..n by score (high first), null for rows without one; no task sees more than its share of rows.
+def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """1..n over all rows in ``order``; no task sees more than its share of rows.
 
-    Rows are range-partitioned by (score, tie) - the tie column splits a hot score - and written down once,
-    so that the partition numbers are the same when they are counted and when they are ranked.
+    Rows are range-partitioned by the order - its last column should split equal ones - and written down once, so that the
+    partition numbers are the same when they are counted and when they are ranked.
     """
-    order = [F.col(score).desc_nulls_last(), F.col(tie).asc()]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    counts = placed.groupBy("_part").agg(F.count(score).alias("_n"))
+    placed = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "positions")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))   # one row per partition
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.join(F.broadcast(offsets), "_part").withColumn(
-        name, F.when(F.col(score).isNotNull(), F.col("_offset") + inside)).drop("_part", "_offset")
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + inside).drop("_part", "_offset")
+
+
+def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank") -> DataFrame:
+    """1..n by score (high first), null for rows without one; those stand last, so they shift nobody."""
+    ranked = positions(df, [F.col(score).desc_nulls_last(), F.col(tie).asc()], name)
+    return ranked.withColumn(name, F.when(F.col(score).isNotNull(), F.col(name)))
 
 
 def best_first(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -241,11 +241,13 @@ def provider_fundamentals(spark, sf_dir):
 HOL = "[" + ", ".join(f"DATE '{d}'" for d in HOLIDAYS) + "]"
 
 
-@query("dat01_trading_days", f"""SELECT o_orderkey AS k, CAST(CASE WHEN e <= s THEN 0 ELSE len(list_filter(range(s, e, INTERVAL 1 DAY), lambda d: isodow(d) < 6
-  AND NOT list_contains({HOL}, CAST(d AS DATE)))) END AS BIGINT) AS sessions
-FROM (SELECT o_orderkey, DATE '{TODAY}' AS e, CAST(o_orderdate AS DATE) AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1999-06-01')""")
+@query("dat01_trading_days", f"""WITH day AS (SELECT CAST(g AS DATE) AS d FROM range(DATE '1990-01-01', DATE '2040-01-01', INTERVAL 1 DAY) AS x(g)),
+calendar AS (SELECT d, coalesce(sum(CASE WHEN isodow(d) < 6 AND NOT list_contains({HOL}, d) THEN 1 ELSE 0 END)
+  OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM day)
+SELECT o_orderkey AS k, CAST(greatest(e.before - s.before, 0) AS BIGINT) AS sessions
+FROM orders JOIN calendar s ON s.d = CAST(o_orderdate AS DATE) CROSS JOIN (SELECT before FROM calendar WHERE d = DATE '{TODAY}') e""")
 def trading_days(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderdate >= '1999-06-01'")
+    o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("k"), clock.trading_days(
         F.to_date("o_orderdate"), F.to_date(F.lit(TODAY)), clock.holiday_literal(*HOLIDAYS)).cast("long").alias("sessions"))
 
@@ -774,18 +776,23 @@ def top_k(spark, sf_dir):
     return m.select("part_id", F.col("OPM").alias("opm")).join(best, "part_id").select("part_id", *rounded("score", "opm", digits=4))
 
 
-@query("srt02_nulls_lowest", f"{PARTS} SELECT part_id, {r('pg', 4)} FROM facts ORDER BY pg ASC NULLS FIRST, part_id LIMIT 500")
+@query("srt02_nulls_lowest", f"""{PARTS} SELECT part_id, {r('pg', 4)}, row_number() OVER (ORDER BY pg ASC NULLS FIRST, part_id) AS up,
+row_number() OVER (ORDER BY pg DESC NULLS LAST, part_id) AS down FROM facts""")
 def nulls_lowest(spark, sf_dir):
     m = part_master(trade_ticks(spark, sf_dir)).select("part_id", F.col("YOY Quarterly profit growth").alias("pg"))
-    return screen.best_first(m, 500, screen.nulls_as_lowest("pg", descending=False), F.asc("part_id")).select(
-        "part_id", *rounded("pg", digits=4))
+    for name, descending in (("up", False), ("down", True)):
+        m = screen.positions(m, [screen.nulls_as_lowest("pg", descending), F.asc("part_id")], name)
+    return m.select("part_id", *rounded("pg", digits=4), "up", "down")
 
 
-@query("srt03_nulls_last", f"{PARTS} SELECT part_id, {r('coalesce(pg, sg)', 4, 'v')} FROM facts ORDER BY coalesce(pg, sg) ASC NULLS LAST, part_id LIMIT 500")
+@query("srt03_nulls_last", f"""{PARTS} SELECT part_id, {r('coalesce(pg, sg)', 4, 'v')}, row_number() OVER (ORDER BY coalesce(pg, sg) ASC NULLS LAST, part_id) AS up,
+row_number() OVER (ORDER BY coalesce(pg, sg) DESC NULLS LAST, part_id) AS down FROM facts""")
 def nulls_last(spark, sf_dir):
     m = part_master(trade_ticks(spark, sf_dir)).select(
         "part_id", F.coalesce("YOY Quarterly profit growth", "YOY Quarterly sales growth").alias("v"))
-    return screen.best_first(m, 500, screen.nulls_always_last(F.col("v"), False), F.asc("part_id")).select("part_id", *rounded("v", digits=4))
+    for name, descending in (("up", False), ("down", True)):
+        m = screen.positions(m, [screen.nulls_always_last(F.col("v"), descending), F.asc("part_id")], name)
+    return m.select("part_id", *rounded("v", digits=4), "up", "down")
 
 
 @query("srt04_sector_order", f"""{SCREEN}, g AS (SELECT sector || '/' || cap AS sector, count(*) AS n, count(*) FILTER (changePct > 0) AS adv FROM screen GROUP BY ALL)

@@ -71,14 +71,13 @@ def history_upsert(spark, sf_dir):
 
 
 @query("src04_panel", f"""WITH {BARS}, {MARKET}, kept AS (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) > 60),
-spine AS (SELECT symbol, date FROM kept CROSS JOIN (SELECT date FROM market WHERE date >= DATE '1996-01-01'))
+spine AS (SELECT symbol, date FROM kept CROSS JOIN (SELECT date FROM market))
 SELECT symbol, CAST(date AS VARCHAR) AS date, CAST(CAST(c AS FLOAT) AS DOUBLE) AS close,
   CAST(CAST(h AS FLOAT) AS DOUBLE) AS high, CAST(CAST(l AS FLOAT) AS DOUBLE) AS low, CAST(CAST(v AS FLOAT) AS DOUBLE) AS vol
 FROM spine LEFT JOIN bars USING (symbol, date)""")
 def panel(spark, sf_dir):
     bars = bars_daily(spark, sf_dir)
-    index = market_index(bars).filter("date >= '1996-01-01'")
-    return bar_source.build_panel(bars, index).select(
+    return bar_source.build_panel(bars, market_index(bars)).select(
         "symbol", day(), *[F.col(n).cast("double").alias(n) for n in ("close", "high", "low", "vol")])
 
 

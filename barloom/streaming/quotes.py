@@ -18,6 +18,10 @@ from barloom.functions.scalars import is_true
 
 # ---- quotes --------------------------------------------------------------------------------------------
 
+#: Seconds between polls by market status.
+POLL_SECONDS = {"open": 30, "pre-open": 60, "closed": 300, "before-open": 600}
+
+
 def latest_quotes(ticks: DataFrame, fields: list[str], kept_fields: list[str], order: Column) -> DataFrame:
     """The newest row per symbol; ``kept_fields`` keep their last known value when the newest row lacks them.
 
@@ -154,7 +158,6 @@ def run_to_end(query_writer, checkpoint: str) -> None:
         raise q.exception()
 
 
-def poll_trigger(session_open: bool) -> dict[str, str]:
-    """How often to poll: half a minute in the session, five minutes outside it."""
-    return {"processingTime": "30 seconds" if session_open else "5 minutes"}
-
+def poll_trigger(status: str) -> dict[str, str]:
+    """How often to poll in a market status; the same seconds as ``clock.poll_seconds``."""
+    return {"processingTime": f"{POLL_SECONDS[status]} seconds"}
