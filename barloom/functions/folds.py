@@ -172,31 +172,30 @@ def adx_latest(bars: Column, period: int = 14) -> Column:
 
 # ---- values on every bar ---------------------------------------------------------------------
 
-def _ema(x: np.ndarray, period: int) -> np.ndarray:
+def _smoothed(x: np.ndarray, period: int, alpha: float) -> np.ndarray:
+    """Exponential means of ``x``; the first stands at ``period`` values and is their plain mean."""
     out = np.full(len(x), np.nan)
     if len(x) >= period:
-        k = 2.0 / (period + 1)
-        value = float(np.mean(x[:period]))
-        out[period - 1] = value
-        for i in range(period, len(x)):
-            value = x[i] * k + value * (1 - k)
-            out[i] = value
+        seeded = np.append(x[:period].mean(), x[period:])
+        out[period - 1:] = pd.Series(seeded).ewm(alpha=alpha, adjust=False).mean()
     return out
 
 
+def _ema(x: np.ndarray, period: int) -> np.ndarray:
+    return _smoothed(x, period, 2.0 / (period + 1))
+
+
+def _share(part: np.ndarray, rest: np.ndarray, empty: float) -> np.ndarray:
+    """``part`` in percent of ``part + rest``; ``empty`` where there is nothing to divide."""
+    total = part + rest
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(total == 0, empty, 100 * part / total)
+
+
 def _wilder_rsi(x: np.ndarray, period: int = 14) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    step = np.diff(x)
-    if len(step) < period:
-        return out
-    gains, losses = np.clip(step, 0, None), np.clip(-step, 0, None)
-    g, l = gains[:period].mean(), losses[:period].mean()
-    for i in range(period, len(x)):
-        if i > period:
-            g = (g * (period - 1) + gains[i - 1]) / period
-            l = (l * (period - 1) + losses[i - 1]) / period
-        out[i] = 100.0 if l == 0 else 100 - 100 / (1 + g / l)
-    return out
+    move = np.diff(x)
+    gain, loss = (_smoothed(np.maximum(side, 0.0), period, 1 / period) for side in (move, -move))
+    return np.append(np.nan, np.where(loss == 0, 100.0, _share(gain, loss, 100.0)))
 
 
 def _on_defined(fn: Callable[[np.ndarray], np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -207,47 +206,47 @@ def _on_defined(fn: Callable[[np.ndarray], np.ndarray], x: np.ndarray) -> np.nda
 
 
 def _true_range(h: np.ndarray, l: np.ndarray, c: np.ndarray) -> np.ndarray:
-    tr = h - l
-    if len(c) > 1:
-        tr[1:] = np.maximum(tr[1:], np.maximum(np.abs(h[1:] - c[:-1]), np.abs(l[1:] - c[:-1])))
-    return tr
+    before = np.append(np.nan, c[:-1])
+    return np.fmax(h, before) - np.fmin(l, before)
+
+
+def _ratchet(level: np.ndarray, close: np.ndarray) -> np.ndarray:
+    """A ceiling that only falls until a close breaks through it; the bar after a break starts a new one.
+
+    Between two breaks it is a running minimum, so the work is one vector step per break.
+    """
+    out, start = level.copy(), 0
+    while start < len(level):
+        falling = np.minimum.accumulate(level[start:])
+        broken = np.flatnonzero(close[start:] > falling)
+        end = start + broken[0] + 1 if len(broken) else len(level)
+        out[start:end] = falling[:end - start]
+        start = end
+    return out
 
 
 def _band_trend(h, l, c, atr, period: int = 10, multiplier: float = 3.0) -> np.ndarray:
+    """+1 or -1 from bar ``period`` on: the side of the last ratcheted band that a close went beyond, +1 at first."""
     out = np.full(len(c), np.nan)
-    trend, upper, lower = 1, None, None
-    for i in range(period, len(c)):
-        mid = (h[i] + l[i]) / 2
-        top, bottom = mid + multiplier * atr[i], mid - multiplier * atr[i]
-        if upper is None or top < upper or c[i - 1] > upper:
-            upper = top
-        if lower is None or bottom > lower or c[i - 1] < lower:
-            lower = bottom
-        trend = -1 if c[i] < lower else 1 if c[i] > upper else trend
-        out[i] = trend
+    mid, width, close = (h + l)[period:] / 2, multiplier * atr[period:], c[period:]
+    ceiling, floor = _ratchet(mid + width, close), -_ratchet(width - mid, -close)
+    side = np.select([close < floor, close > ceiling], [-1.0, 1.0], np.nan)
+    out[period:] = pd.Series(side).ffill().fillna(1.0)
     return out
 
 
 def _adx(h, l, c, period: int = 14) -> np.ndarray:
+    """Directional index, see ``adx_latest`` for its seed and the figure that is skipped."""
     out = np.full(len(c), np.nan)
-    if len(c) < 2 * period + 1:
+    if len(c) <= 2 * period:
         return out
-    up, down = np.diff(h), -np.diff(l)
-    plus = np.where((up > down) & (up > 0), up, 0.0)
-    minus = np.where((down > up) & (down > 0), down, 0.0)
-    tr = _true_range(h, l, c)[1:]
-    st, sp, sm = tr[:period].sum(), plus[:period].sum(), minus[:period].sum()
-    dx = []
-    for i in range(period - 1, len(tr)):
-        if i >= period:
-            st, sp, sm = st - st / period + tr[i], sp - sp / period + plus[i], sm - sm / period + minus[i]
-        dp, dm = (sp / st * 100, sm / st * 100) if st else (0.0, 0.0)
-        dx.append(abs(dp - dm) / (dp + dm) * 100 if dp + dm else 0.0)
-    value = float(np.mean(dx[:period]))
-    out[2 * period] = value
-    for i in range(period + 1, len(dx)):
-        value = (value * (period - 1) + dx[i]) / period
-        out[period + i] = value
+    rise, fall = np.diff(h), -np.diff(l)
+    mean = lambda x: _smoothed(x, period, 1 / period)[period - 1:]
+    span = mean(_true_range(h, l, c)[1:])
+    up, down = mean(rise * (rise > np.maximum(fall, 0))), mean(fall * (fall > np.maximum(rise, 0)))
+    figures = np.where(span == 0, 0.0, _share(np.maximum(up, down), np.minimum(up, down), 0.0)
+                       - _share(np.minimum(up, down), np.maximum(up, down), 0.0))
+    out[2 * period:] = _smoothed(np.delete(figures, period), period, 1 / period)[period - 1:]
     return out
 
 
