@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions import bar_windows as b
 from barloom.functions.folds import rsi_exponential
@@ -126,11 +126,10 @@ def result_screen_features(bars: DataFrame) -> DataFrame:
     ).filter("is_last").drop("is_last")
 
 
-def base_rate(bars: DataFrame, horizon_by_symbol: DataFrame) -> DataFrame:
-    """How often a symbol touched +10 % or closed 10 % lower within its horizon of sessions.
+def base_rate_stats(bars: DataFrame) -> DataFrame:
+    """Per symbol, for 7 and for 15 bars ahead: share of bars that touched +10 % and share that closed 10 % lower.
 
-    ``horizon_by_symbol`` is (symbol, trading_days_left): up to 9 sessions left look 7 bars ahead, else 15.
-    Only bars with a full horizon ahead count, and only symbols with more than horizon + 30 bars.
+    Only bars with a full horizon ahead count. ``base_rate_columns`` picks the horizon.
     """
     ahead = {}
     for h in (7, 15):
@@ -140,21 +139,29 @@ def base_rate(bars: DataFrame, horizon_by_symbol: DataFrame) -> DataFrame:
         )
     looked = bars.select("symbol", "date", "c", *[
         x.alias(f"{name}_{h}") for h, pair in ahead.items() for name, x in zip(("top", "end"), pair)])
-    stats = looked.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n"),
+    return looked.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_bars"),
         *[F.avg(F.when(F.col(f"end_{h}").isNotNull(), (F.col(f"top_{h}") >= 0.10).cast("double"))).alias(f"touch_{h}")
           for h in ahead],
         *[F.avg((F.col(f"end_{h}") <= -0.10).cast("double")).alias(f"below_{h}") for h in ahead],
     )
+
+
+def base_rate_columns() -> dict[str, Column]:
+    """Columns over rows with trading_days_left and the stats: up to 9 sessions left look 7 bars ahead, else 15.
+
+    Symbols need more than horizon + 30 bars.
+    """
     h = F.when(F.col("trading_days_left") <= 9, 7).otherwise(15)
-    ok = F.col("n") > h + 30
-    short = h == 7
-    return horizon_by_symbol.join(stats, "symbol").select(
-        "symbol",
-        F.when(ok, h).alias("base_window_days"),
-        F.when(ok, F.when(short, F.col("touch_7")).otherwise(F.col("touch_15"))).alias("base_touch_10pct"),
-        F.when(ok, F.when(short, F.col("below_7")).otherwise(F.col("below_15"))).alias("base_close_below_m10pct"),
-    )
+    ok = F.col("n_bars") > h + 30
+    pick = lambda name: F.when(ok, F.when(h == 7, F.col(f"{name}_7")).otherwise(F.col(f"{name}_15")))
+    return {"base_window_days": F.when(ok, h), "base_touch_10pct": pick("touch"), "base_close_below_m10pct": pick("below")}
+
+
+def base_rate(bars: DataFrame, horizon_by_symbol: DataFrame) -> DataFrame:
+    """How often a symbol touched +10 % or closed 10 % lower within its horizon; takes (symbol, trading_days_left)."""
+    return horizon_by_symbol.join(base_rate_stats(bars), "symbol").select(
+        "symbol", *[c.alias(name) for name, c in base_rate_columns().items()])
 
 
 def streak_vs_sma(bars: DataFrame, k: int = 200) -> DataFrame:
@@ -205,8 +212,11 @@ def delivery_trend(delivery: DataFrame) -> DataFrame:
     )
 
 
-def recent_sessions(delivery: DataFrame, sessions: int = 25) -> DataFrame:
-    """The rows of the newest ``sessions`` dates. The dates come from a small aggregate, not a window."""
+def recent_sessions(delivery: DataFrame, sessions: int = 25, at_least: int = 0) -> DataFrame:
+    """The rows of the newest ``sessions`` dates, none if there are fewer than ``at_least`` dates in all.
+
+    The dates come from a small aggregate, not a window.
+    """
     newest = delivery.select("date").distinct().orderBy(F.col("date").desc()).limit(sessions)
-    first = newest.agg(F.min("date")).scalar()
+    first = newest.agg(F.when(F.count(F.lit(1)) >= at_least, F.min("date"))).scalar()
     return delivery.filter(F.col("date") >= first)

@@ -11,8 +11,13 @@ from barloom.session import cut_lineage
 
 
 def company_events(filings: DataFrame, news: DataFrame, bars: DataFrame, now: Column, days: int = 45,
-                   include_routine: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(scored items, summary per company) over filings and news of the last ``days`` (7 to 365)."""
+                   include_routine: bool = False, history_days: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(scored items, summary per company) over filings and news of the last ``days`` (7 to 365).
+
+    Price moves come from the bars of the last ``history_days``.
+    """
+    last = F.to_date(now)
+    bars = bars.filter(F.col("date").between(F.date_sub(last, history_days), last))
     span = screen.look_back_days(days)
     both = screen.union_all(filings, news.withColumn("source_type", F.coalesce("source_type", F.lit("media"))))
     recent = both.filter((F.col("ts") >= now - F.expr(f"INTERVAL {span} DAYS")) & (F.col("ts") <= now))

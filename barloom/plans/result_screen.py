@@ -11,11 +11,12 @@ from barloom.sources import feeds
 
 
 def result_screen(meetings: DataFrame, listings: DataFrame, master: DataFrame, provider: DataFrame | None, bars: DataFrame,
-                  last_prices: DataFrame, today: str, holidays: Column) -> DataFrame:
+                  last_prices: DataFrame, today: str, holidays: Column, history_days: int = 600) -> DataFrame:
     """Ranked rows for upcoming meetings.
 
     ``meetings`` from ``feeds.parse_board_meetings``; ``bars`` has a symbol column that holds the ISIN;
     ``last_prices`` is (isin, live). A symbol needs more than 20 bars for price features.
+    Bars are read up to ``history_days`` back.
     """
     now = F.to_date(F.lit(today))
     upcoming = meetings.filter(F.col("result_date") >= now)
@@ -24,16 +25,13 @@ def result_screen(meetings: DataFrame, listings: DataFrame, master: DataFrame, p
         "days_left": F.datediff("result_date", now)})
     if provider is not None:
         rows = feeds.fill_from_provider(rows, provider)
+    bars = bars.filter(F.col("date").between(F.date_sub(now, history_days), now))
     priced = features.result_screen_features(bars).filter("history_days > 20").withColumnRenamed("symbol", "isin")
-    both = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    rates = features.base_rate(bars, both.select("symbol", F.lit(7).alias("trading_days_left"))).select(
-        F.col("symbol").alias("isin"), F.struct("base_window_days", "base_touch_10pct", "base_close_below_m10pct").alias("near"))
-    far = features.base_rate(bars, both.select("symbol", F.lit(15).alias("trading_days_left"))).select(
-        F.col("symbol").alias("isin"), F.struct("base_window_days", "base_touch_10pct", "base_close_below_m10pct").alias("far"))
-    joined = rows.join(priced, "isin", "left").join(rates, "isin", "left").join(far, "isin", "left").join(last_prices, "isin", "left")
-    base = F.when(F.col("trading_days_left") <= 9, F.col("near")).otherwise(F.col("far"))
+    rates = features.base_rate_stats(bars).withColumnRenamed("symbol", "isin")
+    stats = [c for c in rates.columns if c != "isin"]
+    joined = rows.join(priced, "isin", "left").join(rates, "isin", "left").join(last_prices, "isin", "left")
     price, source = screen.price_with_source(F.col("live"), F.col("last_close"), F.col("Current Price"))
-    facts = joined.withColumns({"base": base, "ltp": price, "ltp_source": source}).drop("near", "far", "live").select("*", "base.*").drop("base")
+    facts = joined.withColumns({**features.base_rate_columns(), "ltp": price, "ltp_source": source}).drop(*stats, "live")
     scored = cut_lineage(scoring.result_screen_scores(facts))
     flagged = scored.withColumn("flags", scoring.result_screen_flags(scored))
     tie = F.concat_ws(":", F.format_string("%020d", F.col("bse_code")), F.col("result_date").cast("string"))

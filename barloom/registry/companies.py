@@ -103,9 +103,9 @@ def delivery_rows(spark, sf_dir):
     return feeds.delivery_day(raw)
 
 
-MEETINGS = """meetings AS (SELECT DISTINCT 500001 + o_custkey % 25 AS bse_code, CAST(o_orderdate AS DATE) AS result_date,
-  'Company ' || (1 + o_custkey % 25) || ' Ltd-$' AS company, 'Steel' AS bm_industry, 'Quarterly Results' AS purpose
-  FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' AND o_orderkey % 8 <> 6 AND o_orderkey % 50 <> 0)"""
+MEETINGS = """meetings AS (SELECT 500001 + o_custkey % 25 AS bse_code, CAST(o_orderdate AS DATE) AS result_date,
+  'Company ' || (1 + o_custkey % 25) || ' Ltd-$' AS company, 'Steel' AS bm_industry, CASE WHEN min(o_orderkey) % 3 = 0 THEN 'Results and dividend' ELSE 'Quarterly Results' END AS purpose
+  FROM orders WHERE o_orderkey % 8 <> 6 AND o_orderkey % 50 <> 0 GROUP BY o_custkey % 25, CAST(o_orderdate AS DATE))"""
 
 
 @query("src09_board_meetings", f"WITH {MEETINGS} SELECT bse_code, CAST(result_date AS VARCHAR) AS result_date, company, bm_industry, purpose FROM meetings")
@@ -114,26 +114,25 @@ def board_meetings(spark, sf_dir):
         "bse_code", day("result_date"), "company", "bm_industry", "purpose")
 
 
-@query("src09_board_meeting_counts", f"""WITH {MEETINGS}, n AS (SELECT count(*) AS all_, count(*) FILTER (o_orderkey % 8 = 6 OR o_orderkey % 50 = 0) AS bad
-  FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01')
+@query("src09_board_meeting_counts", f"""WITH {MEETINGS}, n AS (SELECT count(*) AS all_, count(*) FILTER (o_orderkey % 8 = 6 OR o_orderkey % 50 = 0) AS bad FROM orders)
 SELECT all_ AS rows_read, bad AS rows_unparseable, all_ - bad - (SELECT count(*) FROM meetings) AS duplicates_removed FROM n""")
 def board_meeting_counts(spark, sf_dir):
     return feeds.board_meeting_counts(meeting_rows(spark, sf_dir))
 
 
 FEED = """feed AS (SELECT 'Brand#' || (1 + o_custkey % 25) AS symbol, printf('INE%07d', 1 + o_custkey % 25) AS isin, 'Company ' || (1 + o_custkey % 25) AS company,
-  CAST(o_orderdate AS DATE) AS result_date, CASE WHEN o_custkey % 2 = 0 THEN '-' ELSE 'Healthcare' END AS ind
-  FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 11 <> 0)"""
+  CAST(o_orderdate AS DATE) AS result_date,
+  arg_min(CASE WHEN o_orderkey % 2 = 0 THEN '-' WHEN o_orderkey % 5 = 0 THEN 'Realty' ELSE 'Healthcare' END, o_orderkey) AS ind
+  FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 11 <> 0 GROUP BY o_custkey % 25, CAST(o_orderdate AS DATE))"""
 
 
-@query("src10_upcoming_results", f"""WITH {FEED} SELECT symbol, min(isin) AS isin, min(company) AS company, CAST(result_date AS VARCHAR) AS result_date,
-  nullif(min(ind), '-') AS industry FROM feed GROUP BY symbol, result_date""")
+@query("src10_upcoming_results", f"""WITH {FEED} SELECT symbol, isin, company, CAST(result_date AS VARCHAR) AS result_date, nullif(ind, '-') AS industry FROM feed""")
 def upcoming_results(spark, sf_dir):
     return feeds.upcoming_results(result_feed(spark, sf_dir)).select("symbol", "isin", "company", day("result_date"), "industry")
 
 
 @query("src11_past_result_dates", f"""WITH {FEED} SELECT symbol, count(*) AS n, CAST(max(result_date) AS VARCHAR) AS newest, string_agg(CAST(result_date AS VARCHAR), ',' ORDER BY result_date DESC) AS dates
-FROM (SELECT DISTINCT symbol, result_date FROM feed WHERE result_date < DATE '{TODAY}') GROUP BY symbol""")
+FROM (SELECT DISTINCT symbol, result_date FROM feed WHERE result_date < DATE '{TODAY}' AND result_date >= DATE '{TODAY}' - 1095) GROUP BY symbol""")
 def past_dates(spark, sf_dir):
     """Distinct dates per symbol, newest first; a symbol has at most one per calendar day."""
     dates = feeds.past_result_dates(result_feed(spark, sf_dir), TODAY)
@@ -438,7 +437,7 @@ def calendar_entries(spark, sf_dir) -> DataFrame:
 
 
 CALENDAR = f"""{LISTINGS}, {MEETINGS}, {FEED}, entries AS (
-  SELECT l.isin, 'upload' AS source, 0 AS p, result_date, l.nse_symbol AS symbol, 'Company ' || (m.bse_code - 500000) || ' Ltd' AS company, m.bse_code AS bse_code, NULL AS industry
+  SELECT l.isin, 'upload' AS source, 0 AS p, result_date, l.nse_symbol AS symbol, 'Company ' || (m.bse_code - 500000) || ' Ltd' AS company, m.bse_code AS bse_code, CAST(NULL AS VARCHAR) AS industry
   FROM meetings m JOIN listings l USING (bse_code) UNION ALL
   SELECT isin, 'nse', 1, result_date, symbol, company, NULL, nullif(ind, '-') FROM feed),
 calendar AS (SELECT isin, min(result_date) AS result_date, first(symbol ORDER BY p, result_date) FILTER (symbol IS NOT NULL) AS symbol,

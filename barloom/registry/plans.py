@@ -13,16 +13,24 @@ from barloom.registry.companies import (
 from barloom.registry.core import query
 from barloom.registry.events import ITEMS, NOW, STORY, SUMMARY, brand_aliases, stop_list
 from barloom.registry.market import DELIVERY_TREND, RESULT_FEATURES, day, delivery_days, rounded, scanner_rows
-from barloom.registry.snippets import ALL_FEATURES, BARS, MARKET, RSI_EXP, TICKS, UNIVERSE, r, rs
+from barloom.registry.snippets import ALL_FEATURES, BARS, FEATURES, MARKET, RSI_EXP, TICKS, UNIVERSE, r, rs
 from barloom.session import fresh_dir
 from barloom.sources import feeds, sinks
 from barloom.sources.bindings import (
-    HOLIDAYS, TODAY, bars_daily, brand_master, brand_number, filings, listings, market_index, meeting_rows, sector_index, stored_bars, table,
+    HOLIDAYS, INDEXES, TODAY, bars_daily, brand_master, brand_number, filings, index_bars, listings, market_index, meeting_rows, stored_bars, table,
     trade_ticks, universe,
 )
 
 TREND = DELIVERY_TREND.replace(TICKS + ", ", "").replace(TICKS + ",\n", "")
-HISTORY = AROUND.replace(f"{BARS}, {MARKET}, ", "") + """, hist AS (SELECT symbol, count(*) AS hist_events, avg(pre_excess) AS hist_mean, avg(CASE WHEN pre_excess > 0 THEN 1.0 ELSE 0 END)::DOUBLE AS hit FROM re GROUP BY symbol)"""
+
+
+
+def bars_since(days: int, today: str) -> str:
+    """The bars of the last ``days`` days."""
+    return BARS.replace("FROM ticks GROUP BY", f"FROM ticks WHERE date BETWEEN DATE '{today}' - {days} AND DATE '{today}' GROUP BY")
+
+
+HISTORY = AROUND.replace(f"{BARS}, {MARKET}, ", "").replace("WHERE date < DATE '2001-06-30' GROUP", f"WHERE date < DATE '{TODAY}' AND date >= DATE '{TODAY}' - 1095 GROUP") + """, hist AS (SELECT symbol, count(*) AS hist_events, avg(pre_excess) AS hist_mean, avg(CASE WHEN pre_excess > 0 THEN 1.0 ELSE 0 END)::DOUBLE AS hit FROM re GROUP BY symbol)"""
 EVENTS = SUMMARY.replace(REACTION, REACTION.replace(BARS + ", ", "")).replace(NOW, f"{TODAY} 00:00:00").replace(
     "AS src FROM orders)", f"AS src FROM orders WHERE o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE >= TIMESTAMP '{TODAY}' - INTERVAL 30 DAY AND o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE < TIMESTAMP '{TODAY}')")
 
@@ -95,7 +103,7 @@ def result_rows(spark, sf_dir) -> DataFrame:
         by_isin, live, TODAY, clock.holiday_literal(*HOLIDAYS))
 
 
-RESULT = f"""WITH {BARS}, {UNIVERSE}, {BRAND_MASTER}, {LISTINGS}, {MEETINGS}, {RESULT_FEATURES},
+RESULT = f"""WITH {bars_since(600, TODAY)}, {UNIVERSE}, {BRAND_MASTER}, {LISTINGS}, {MEETINGS}, {RESULT_FEATURES},
 m1 AS (SELECT m.bse_code, m.result_date, coalesce(l.nse_symbol, f.symbol) AS nse_symbol, coalesce(l.isin, f.isin) AS isin, f.code IS NOT NULL AS has_master, f.pg, f.sg, f.roce, f.opm, f.cfo, f.de, f.pe, f.peg, f.fii
   FROM meetings m LEFT JOIN listings l USING (bse_code) LEFT JOIN master f ON f.isin = l.isin OR (f.code = m.bse_code AND NOT EXISTS (SELECT 1 FROM master g WHERE g.isin = l.isin)) WHERE m.result_date >= DATE '{TODAY}'),
 m2 AS (SELECT m1.* EXCLUDE (pe, de), CASE WHEN has_master THEN 'master' WHEN nse_symbol IS NOT NULL THEN 'provider' ELSE 'none' END AS src, CASE WHEN has_master THEN pe WHEN nse_symbol IS NOT NULL THEN 20.0 END AS pe,
@@ -139,16 +147,22 @@ def result_summary(spark, sf_dir):
 def scan_rows(spark, sf_dir) -> DataFrame:
     bars = stored_bars(spark, sf_dir)
     members = universe(bars)
-    calendar = merged_calendar(spark, sf_dir).drop("symbol").join(members.select("isin", "symbol", "sector"), "isin")
+    calendar = merged_calendar(spark, sf_dir).drop("symbol").join(members.select("isin", "symbol"), "isin")
     return pre_result_scan.scan(
-        calendar, bars, market_index(bars), sector_index(bars, members), delivery_days(spark, sf_dir), brand_master(trade_ticks(spark, sf_dir)),
+        calendar, bars, market_index(bars), index_bars(bars), delivery_days(spark, sf_dir), brand_master(trade_ticks(spark, sf_dir)),
         quarter_starts(bars), filings(spark, sf_dir), TODAY, clock.holiday_literal(*HOLIDAYS))
 
 
-SCAN = f"""WITH RECURSIVE {ALL_FEATURES}, {RSI_EXP}, {TREND}, {CALENDAR}, {BRAND_MASTER}, {score_sql('symbol', 'facts')}, {HISTORY}, {EVENTS},
-dated AS (SELECT c.isin, u.symbol, c.result_date, {days_sql(f"DATE '{TODAY}'", 'c.result_date')} AS td FROM calendar c JOIN universe u USING (isin)),
-rows AS (SELECT d.isin, d.td, d.result_date, f3.* EXCLUDE (h, l), rsi14, deliv_qty_ratio, deliv_pct_change, deliv_pct_5d, hist_events, hist_mean, hit, CASE WHEN m.isin IS NOT NULL THEN s.fund_score END AS fund_score, m.isin IS NOT NULL AS has_master, coalesce(round(net, 3), 0) AS catalyst_score
-  FROM dated d LEFT JOIN f3 ON f3.symbol = d.symbol AND is_last AND bar_no >= 60 LEFT JOIN rsi_exp ON rsi_exp.symbol = d.symbol LEFT JOIN trend ON trend.symbol = d.symbol LEFT JOIN hist ON hist.symbol = d.symbol
+NAMED_INDEX = f"""named AS (SELECT u.symbol, coalesce(
+    CASE c.industry WHEN 'Healthcare' THEN 'Nifty Pharma' WHEN 'Realty' THEN 'Nifty Realty' END,
+    CASE m.industry WHEN 'Pharmaceuticals' THEN 'Nifty Pharma' WHEN 'Software Products' THEN 'Nifty IT' WHEN 'Steel' THEN 'Nifty Metal' WHEN 'Cement' THEN 'Nifty Infra' END) AS sector
+  FROM calendar c JOIN (SELECT symbol, isin FROM universe) u USING (isin) LEFT JOIN (SELECT isin, industry FROM master) m USING (isin)),
+sectors AS (SELECT {INDEXES}[CAST(split_part(symbol, '#', 2) AS INT) % 5 + 1] AS sector, date, avg(c) AS c FROM bars GROUP BY 1, 2)"""
+SCAN = f"""WITH RECURSIVE {bars_since(1100, TODAY)}, {UNIVERSE}, {CALENDAR}, {BRAND_MASTER}, {NAMED_INDEX}, {MARKET}, {FEATURES.replace("JOIN universe u", "JOIN named u")},
+{RSI_EXP}, {TREND}, {score_sql('symbol', 'facts')}, {HISTORY}, {EVENTS},
+dated AS (SELECT c.isin, u.symbol, named.sector, c.result_date, {days_sql(f"DATE '{TODAY}'", 'c.result_date')} AS td FROM calendar c JOIN universe u USING (isin) JOIN named ON named.symbol = u.symbol),
+rows AS (SELECT d.isin, d.td, d.result_date, d.sector, f3.* EXCLUDE (h, l, sector), rsi14, deliv_qty_ratio, deliv_pct_change, deliv_pct_5d, hist_events, hist_mean, hit, CASE WHEN m.isin IS NOT NULL THEN s.fund_score END AS fund_score, m.isin IS NOT NULL AS has_master, coalesce(round(net, 3), 0) AS catalyst_score
+  FROM dated d LEFT JOIN f3 ON f3.symbol = d.symbol AND is_last AND bar_no >= 60 LEFT JOIN rsi_exp ON rsi_exp.symbol = d.symbol LEFT JOIN trend ON trend.symbol = d.symbol AND (SELECT count(DISTINCT date) FROM recent) >= 10 LEFT JOIN hist ON hist.symbol = d.symbol
   LEFT JOIN master m ON m.isin = d.isin LEFT JOIN scored s ON s.symbol = m.symbol LEFT JOIN net ON net.company_id = d.symbol WHERE d.td >= 1), {pre_score_sql('rows')}"""
 
 
@@ -161,12 +175,18 @@ def pre_scan(spark, sf_dir):
         F.col("rank").cast("long").alias("rank"))
 
 
-@query("agg05_scan_summary", f"""{SCAN} SELECT (SELECT count(*) FROM pre) AS upcoming, count(score) AS scored, count(score) AS enriched, count(*) FILTER (has_master) AS with_fundamentals, count(deliv_pct_5d) AS with_delivery, count(*) AS with_sector_index,
+@query("agg05_scan_summary", f"""{SCAN}, mk AS (SELECT c / lag(c, 5) OVER w - 1 AS a, c / lag(c, 20) OVER w - 1 AS z, c > avg(c) OVER (ORDER BY date ROWS 49 PRECEDING) AS above, date FROM market
+  WINDOW w AS (ORDER BY date) QUALIFY row_number() OVER (ORDER BY date DESC) = 1) SELECT (SELECT count(*) FROM pre) AS upcoming, count(score) AS scored, count(score) AS enriched, count(*) FILTER (has_master) AS with_fundamentals, count(deliv_pct_5d) AS with_delivery, count(*) FILTER (sector IS NOT NULL) AS with_sector_index,
+  (SELECT CASE WHEN bool_or(has_feed) AND bool_or(has_up) THEN 'nse,upload' WHEN bool_or(has_feed) THEN 'nse' ELSE 'upload' END FROM calendar c WHERE c.isin IN (SELECT isin FROM pre)) AS calendar_sources, (SELECT {r('a', 5, 'market_5d')} FROM mk), (SELECT {r('z', 5, 'market_20d')} FROM mk), (SELECT above FROM mk) AS market_above_50dma,
   (SELECT string_agg(stage || '=' || n, ',' ORDER BY stage) FROM (SELECT stage, count(*) AS n FROM pre GROUP BY stage)) AS stages FROM pre""")
 def scan_summary(spark, sf_dir):
-    s = pre_result_scan.summary(scan_rows(spark, sf_dir))
+    market = pre_result_scan.market_state(market_index(bars_daily(spark, sf_dir)), TODAY)
+    s = pre_result_scan.summary(scan_rows(spark, sf_dir), market)
     stages = F.concat_ws(",", F.transform(F.array_sort(F.map_entries("stages")), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return s.select("upcoming", "scored", "enriched", "with_fundamentals", "with_delivery", "with_sector_index", stages.alias("stages"))
+    return s.select("upcoming", "scored", "enriched", "with_fundamentals", "with_delivery", "with_sector_index",
+                    F.concat_ws(",", "calendar_sources").alias("calendar_sources"), (F.round("market.ret_5d", 5) + 0.0).alias("market_5d"),
+                    (F.round("market.ret_20d", 5) + 0.0).alias("market_20d"), F.col("market.above_50dma").alias("market_above_50dma"),
+                    stages.alias("stages"))
 
 
 @query("flt08_flt10_scan_filter", f"""{SCAN} SELECT isin, score FROM pre WHERE stage IN ('Early', 'Building', 'Weak', 'Extended') AND (adv20_cr IS NULL OR adv20_cr >= 0.01::DOUBLE) AND score IS NOT NULL AND result_date <= DATE '{TODAY}' + 25 AND td >= 2""")
@@ -177,7 +197,7 @@ def scan_filter(spark, sf_dir):
 
 # ---- events, news, runs ----------------------------------------------------------------------------------------------
 
-COMPANY = SUMMARY.replace(
+COMPANY = SUMMARY.replace(BARS, bars_since(400, NOW[:10])).replace(
     "AS src FROM orders)", f"AS src FROM orders WHERE o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE >= TIMESTAMP '{NOW}' - INTERVAL 365 DAY AND o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE <= TIMESTAMP '{NOW}')").replace(
     "FROM scored_events GROUP BY 1)", "FROM scored_events WHERE event_type <> 'routine' GROUP BY 1)")
 
@@ -209,10 +229,11 @@ def news_feed(spark, sf_dir):
 @query("snk01_snk02_saved_runs", f"""WITH {BARS}, runs AS (SELECT year(date) AS y, count(*) AS n FROM bars GROUP BY 1 ORDER BY 1 DESC LIMIT 3)
 SELECT CAST(y AS VARCHAR) || '0101_000000' AS run_id, n AS rows, y || '-01-01' AS generated_at FROM runs""")
 def saved_runs(spark, sf_dir):
-    """A run per year of bars, saved as JSON and CSV; the three newest are kept, listed and read back from JSON."""
-    bars = bars_daily(spark, sf_dir).withColumns({"y": F.year("date"), "extra": F.array("o", "c")})
+    """A run per calendar year of bars, all saved as JSON and CSV; the three newest are kept, listed and read back."""
+    bars = stored_bars(spark, sf_dir).withColumns({"y": F.year("date"), "extra": F.array("o", "c")})
     root = fresh_dir(spark, "runs")
-    for y in range(1997, 2002):
+    years = table(spark, sf_dir, "lineitem").agg(F.year(F.min("l_shipdate")), F.year(F.max("l_shipdate"))).first()
+    for y in range(years[0], years[1] + 1):
         sinks.save_run(bars.filter(F.col("y") == y).drop("y"), root, f"{y}0101_000000", f"{y}-01-01")
     sinks.drop_old_runs(spark, root, "json", keep=3)
     saved = spark.read.option("mergeSchema", False).schema("symbol string, generated_at string, run_id string").json(f"{root}/json")

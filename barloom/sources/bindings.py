@@ -78,6 +78,16 @@ def sector_index(bars: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+INDEXES = ["Nifty Pharma", "Nifty IT", "Nifty Metal", "Nifty Realty", "Nifty Auto"]
+
+
+def index_bars(bars: DataFrame) -> DataFrame:
+    """Named indexes: the mean close of the brands with one remainder by five. Other indexes have no bars."""
+    names = F.array(*[F.lit(x) for x in INDEXES])
+    return bars.withColumn("index_name", F.element_at(names, brand_number(F.col("symbol")) % 5 + 1)).groupBy(
+        "index_name", "date").agg(F.avg("c").alias("c"))
+
+
 def fundamentals(ticks: DataFrame, key: str) -> DataFrame:
     """Fundamentals per company from its trades of the last year and the year before (see README for the rules)."""
     cur = F.col("date").between("2000-07-01", "2001-06-30")
@@ -141,8 +151,8 @@ def listings(members: DataFrame) -> DataFrame:
 
 
 def meeting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raw board-meeting export: one row per order of 2001, dates in six spellings, some unreadable."""
-    o = table(spark, sf_dir, "orders").filter("o_orderdate >= '2001-01-01'")
+    """A raw board-meeting export: one row per order, dates in six spellings, some unreadable; copies differ in purpose."""
+    o = table(spark, sf_dir, "orders")
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
     spelled = (
         F.when(k == 0, F.date_format(d, "dd MMM yyyy")).when(k == 1, F.date_format(d, "dd-MMM-yyyy"))
@@ -153,8 +163,9 @@ def meeting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 50 == 0, "n/a").otherwise((500001 + F.col("o_custkey") % 25).cast("string"))
         .alias(" Security Code"),
         F.concat(F.lit(" Company "), 1 + F.col("o_custkey") % 25, F.lit(" Ltd-$ ")).alias("Company name"),
-        F.lit("Steel").alias("Industry"), F.lit("Quarterly Results").alias("Purpose"),
-        spelled.alias("Meeting Date "), F.lit(None).cast("string").alias("_c5"))
+        F.lit("Steel").alias("Industry"),
+        F.when(F.col("o_orderkey") % 3 == 0, "Results and dividend").otherwise("Quarterly Results").alias("Purpose"),
+        spelled.alias("Meeting Date "), F.lit(None).cast("string").alias("_c5"), F.col("o_orderkey").alias("row_no"))
 
 
 def result_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +178,7 @@ def result_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 11 == 0, "soon").otherwise(F.date_format("o_orderdate", "dd-MMM-yyyy")).alias("bm_date"),
         F.format_string("INE%07d", 1 + F.col("o_custkey") % 25).alias("sm_isin"),
         F.concat(F.lit("Company "), 1 + F.col("o_custkey") % 25).alias("sm_name"),
-        F.when(F.col("o_custkey") % 2 == 0, "-").otherwise("Healthcare").alias("sm_indusrty"))
+        F.when(k % 2 == 0, "-").when(k % 5 == 0, "Realty").otherwise("Healthcare").alias("sm_indusrty"), k.alias("row_no"))
 
 
 HOLIDAYS = ["1999-01-26", "1999-08-15", "2000-01-26", "2000-10-02", "2001-01-26", "2001-07-04", "2001-07-10", "2001-07-14"]
@@ -189,8 +200,8 @@ def quotes(bars: DataFrame) -> DataFrame:
 # ---- filings and headlines derived from orders ----------------------------------------------------
 
 HEADLINES = [
-    "{co} wins order worth Rs {amt} crore from {client} to be executed over {n} months",
-    "{co} bags contract valued at ${n} million, takes YTD intake beyond Rs {amt} crore",
+    "{co} secures order of Rs {amt} crore from {client}, to be executed over {n} months",
+    "{co} bags ${n} million contract, total orders this year Rs {amt} crore",
     "Termination of contract worth Rs {amt} crore by {client}",
     "{co} raises revenue guidance for the year",
     "{co} quarterly net profit rises {n}% on strong demand",
@@ -198,7 +209,7 @@ HEADLINES = [
     "{co} receives show-cause notice with tax demand of Rs {n} lakh",
     "Regulator sends warning letter to {co}",
     "{co} in talks over acquisition valued at Rs {amt} crore",
-    "Board of {co} approves QIP of up to Rs {amt} crore",
+    "{co} to raise Rs {amt} crore through QIP",
     "CFO of {co} resigns citing personal reasons",
     "Auditor of {co} to resign after the audit",
     "Closure of trading window for {co}",

@@ -102,21 +102,26 @@ def meeting_columns(columns: Sequence[str], aliases: Mapping[str, Sequence[str]]
     return {k: v for k, v in found.items() if v}
 
 
+def in_order(raw: DataFrame) -> DataFrame:
+    """Rows with their position ``row_no``: the caller's own, else the order of reading (for a landed file, its lines)."""
+    return raw if "row_no" in raw.columns else raw.withColumn("row_no", F.monotonically_increasing_id())
+
+
 def typed_meetings(raw: DataFrame) -> DataFrame:
-    rows = trim_headers(raw)
+    rows = in_order(trim_headers(raw))
     at = meeting_columns(rows.columns)
     text = lambda k: F.trim(F.col(f"`{at[k]}`")) if k in at else F.lit("")
     return rows.select(
         number(F.col(f"`{at['code']}`")).cast("long").alias("bse_code"), text("company").alias("company"),
         text("industry").alias("bm_industry"), text("purpose").alias("purpose"),
-        any_date(F.col(f"`{at['date']}`")).alias("result_date"))
+        any_date(F.col(f"`{at['date']}`")).alias("result_date"), F.col("row_no").cast("long").alias("row_no"))
 
 
 def parse_board_meetings(raw: DataFrame) -> DataFrame:
-    """Meetings with a code and a readable date, one per (code, date)."""
+    """Meetings with a code and a readable date; of several rows for one (code, date) the first stands."""
     good = typed_meetings(raw).dropna(subset=["bse_code", "result_date"])
     rest = F.struct("company", "bm_industry", "purpose")
-    return good.groupBy("bse_code", "result_date").agg(F.min(rest).alias("r")).select("bse_code", "result_date", "r.*")
+    return good.groupBy("bse_code", "result_date").agg(F.min_by(rest, "row_no").alias("r")).select("bse_code", "result_date", "r.*")
 
 
 def board_meeting_counts(raw: DataFrame) -> DataFrame:
@@ -137,21 +142,22 @@ def is_result_meeting() -> Column:
 
 
 def upcoming_results(raw: DataFrame) -> DataFrame:
-    """Result meetings of the exchange's feed with a readable date, one per (symbol, date)."""
+    """Result meetings of the exchange's feed with a readable date, the first one per (symbol, date)."""
     d = F.to_date(F.try_to_timestamp("bm_date", F.lit("d-MMM-yyyy")))
-    rows = raw.filter(is_result_meeting()).withColumn("result_date", d).filter("result_date is not null")
+    rows = in_order(raw).filter(is_result_meeting()).withColumn("result_date", d).filter("result_date is not null")
     facts = F.struct("sm_isin", "sm_name", "sm_indusrty")
-    one = rows.groupBy("bm_symbol", "result_date").agg(F.min(facts).alias("f"))
+    one = rows.groupBy("bm_symbol", "result_date").agg(F.min_by(facts, "row_no").alias("f"))
     return one.select(
         F.col("bm_symbol").alias("symbol"), F.col("f.sm_isin").alias("isin"), F.col("f.sm_name").alias("company"),
         "result_date", F.nullif(F.col("f.sm_indusrty"), F.lit("-")).alias("industry"))
 
 
-def past_result_dates(raw: DataFrame, today: str) -> DataFrame:
-    """Distinct result dates per symbol, strictly before today."""
+def past_result_dates(raw: DataFrame, today: str, days_back: int = 3 * 365) -> DataFrame:
+    """Distinct result dates per symbol, strictly before today and at most ``days_back`` days old."""
     d = F.to_date(F.try_to_timestamp("bm_date", F.lit("d-MMM-yyyy")))
+    now = F.to_date(F.lit(today))
     return raw.filter(is_result_meeting()).select(F.col("bm_symbol").alias("symbol"), d.alias("date")).filter(
-        F.col("date") < F.to_date(F.lit(today))).distinct()
+        (F.col("date") < now) & (F.col("date") >= F.date_sub(now, days_back))).distinct()
 
 
 # ---- filings and headlines ---------------------------------------------------------------------------
