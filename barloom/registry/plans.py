@@ -177,7 +177,7 @@ def pre_scan(spark, sf_dir):
 
 @query("agg05_scan_summary", f"""{SCAN}, mk AS (SELECT c / lag(c, 5) OVER w - 1 AS a, c / lag(c, 20) OVER w - 1 AS z, c > avg(c) OVER (ORDER BY date ROWS 49 PRECEDING) AS above, date FROM market
   WINDOW w AS (ORDER BY date) QUALIFY row_number() OVER (ORDER BY date DESC) = 1) SELECT (SELECT count(*) FROM pre) AS upcoming, count(score) AS scored, count(score) AS enriched, count(*) FILTER (has_master) AS with_fundamentals, count(deliv_pct_5d) AS with_delivery, count(*) FILTER (sector IS NOT NULL) AS with_sector_index,
-  (SELECT CASE WHEN bool_or(has_feed) AND bool_or(has_up) THEN 'nse,upload' WHEN bool_or(has_feed) THEN 'nse' ELSE 'upload' END FROM calendar c WHERE c.isin IN (SELECT isin FROM pre)) AS calendar_sources, (SELECT {r('a', 5, 'market_5d')} FROM mk), (SELECT {r('z', 5, 'market_20d')} FROM mk), (SELECT above FROM mk) AS market_above_50dma,
+  (SELECT CASE WHEN bool_or(has_feed) AND bool_or(has_up) THEN 'nse,upload' WHEN bool_or(has_feed) THEN 'nse' ELSE 'upload' END FROM calendar c WHERE c.isin IN (SELECT isin FROM pre)) AS calendar_sources, (SELECT {r('a', 5, 'market_5d')} FROM mk) AS market_5d, (SELECT {r('z', 5, 'market_20d')} FROM mk) AS market_20d, (SELECT above FROM mk) AS market_above_50dma,
   (SELECT string_agg(stage || '=' || n, ',' ORDER BY stage) FROM (SELECT stage, count(*) AS n FROM pre GROUP BY stage)) AS stages FROM pre""")
 def scan_summary(spark, sf_dir):
     market = pre_result_scan.market_state(market_index(bars_daily(spark, sf_dir)), TODAY)
