@@ -43,10 +43,10 @@ def of_rule(number: Column, position: int, rules: Sequence = er.RULES) -> Column
 
 def matched_text(text: Column, number: Column, rules: Sequence = er.RULES) -> Column:
     """What the deciding pattern hit: the first pattern of the rule, in order, that matches."""
-    per_rule = F.array(*[F.array(*[F.lit(ANY_CASE + p) for p in rule[4]]) for rule in rules])
-    patterns = F.when(number >= 0, F.element_at(per_rule, F.greatest(number, F.lit(0)) + 1))
-    hits = F.filter(F.transform(patterns, lambda p: F.regexp_substr(text, p)), lambda h: h.isNotNull())
-    return F.coalesce(F.get(hits, F.lit(0)), F.lit(""))
+    chain = F
+    for i, rule in enumerate(rules):
+        chain = chain.when(number == i, F.coalesce(*[found(text, p) for p in rule[4]], F.lit("")))
+    return chain.otherwise(F.lit(""))
 
 
 def tone(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions import event_rules as er
 from barloom.functions import text_events as te
 from barloom.operators.linking import close_vectors, connected_components, token_set_pairs, unit, with_frequency
-from barloom.session import cut_lineage, spread
+from barloom.session import spread, stage
 
 DAY_H = 24.0
 
@@ -60,7 +60,7 @@ def tfidf(titles: DataFrame, stop: Sequence[str] | None = None) -> DataFrame:
     ``titles`` is (key, n): n copies count as n documents.
     """
     terms = titles.select("key", "n", F.explode(title_terms(F.col("key"), stop or english_stop_words())).alias("term"))
-    tf = cut_lineage(terms.groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = stage(terms.groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = tf.groupBy("term").agg(F.sum("n").alias("df"))
     total = titles.agg(F.sum("n")).scalar()
     raw = with_frequency(tf, df, "term", "df").select(
@@ -69,8 +69,29 @@ def tfidf(titles: DataFrame, stop: Sequence[str] | None = None) -> DataFrame:
     return raw.select("key", "term", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_title))).alias("weight"))
 
 
-def similar_titles(vectors: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
-    """(day, p, c, sim) of different titles whose cosine is at least the threshold, compared in shared days.
+ANY, NONE = "*", "-"                                         # in place of an entity: whatever it is, and none at all
+
+
+def veto_keys(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two frames (key, entity, tone), for asking and for answering titles, that meet exactly if neither veto holds.
+
+    A title with entities asks for each of them and for titles without any; one without asks for all. A title that only rises
+    or only falls does not ask for the opposite.
+    """
+    has = F.size("entities") > 0
+    one = lambda x: F.array(F.lit(x))
+    tone = F.when(F.col("up") & ~F.col("down"), 1).when(F.col("down") & ~F.col("up"), -1).otherwise(0)
+    tones = F.filter(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda t: t * tone >= 0)
+    asks = facts.select("key", F.explode(F.when(has, F.concat("entities", one(NONE))).otherwise(one(ANY))).alias("entity"), tones.alias("t"))
+    gives = facts.select("key", F.explode(F.when(has, F.concat("entities", one(ANY))).otherwise(F.array(F.lit(NONE), F.lit(ANY)))).alias(
+        "entity"), tone.alias("tone"))
+    return asks.select("key", "entity", F.explode("t").alias("tone")), gives
+
+
+def similar_titles(vectors: DataFrame, places: DataFrame, threshold: float, facts: DataFrame) -> DataFrame:
+    """(p, c, sim) of different titles whose cosine is at least the threshold, compared in shared days.
+
+    ``facts`` (``title_facts``) keeps titles with other entities or the opposite direction from meeting at all.
 
     Terms are taken rare first. If two titles share no term before the point where the rest of one of them is
     shorter than the threshold, their cosine is below it; so only those leading terms are joined. Lossless.
@@ -79,10 +100,11 @@ def similar_titles(vectors: DataFrame, places: DataFrame, threshold: float) -> D
     rest = Window.partitionBy("key").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     lead = vectors.select("key", "term", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest)).alias("tail")).filter(
         F.col("tail") >= threshold - 1e-9)
-    spread = places.join(lead, "key")
-    p = spread.filter("role = 'p'").select("day", "term", F.col("key").alias("p"))
-    c = spread.filter("role = 'c'").select("day", "term", F.col("key").alias("c"))
-    maybe = p.join(c, ["day", "term"]).filter("p < c").select("p", "c").distinct()
+    asks, gives = veto_keys(facts)
+    at = ["day", "term", "entity", "tone"]
+    side = lambda role, keys: places.filter(F.col("role") == role).join(lead, "key").join(keys, "key").select(
+        *at, F.col("key").alias(role))
+    maybe = side("p", asks).join(side("c", gives), at).filter("p < c").select("p", "c").distinct()
     packed = vectors.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))
     both = maybe.join(packed.select(F.col("key").alias("p"), F.col("v").alias("pv")), "p").join(
         packed.select(F.col("key").alias("c"), F.col("v").alias("cv")), "c")
@@ -156,17 +178,18 @@ def story_links(articles: DataFrame, aliases: DataFrame, window_h: float = DAY_H
     ``articles``: item_id, title, source, hours_ago. With ``vectors`` (item_id, vec) the similarity is theirs,
     otherwise it is TF-IDF over the titles. With vectors, equal titles count as equal vectors.
     """
-    keyed = cut_lineage(articles.select("item_id", "hours_ago", te.headline_title(F.col("title"), F.col("source")).alias("key")))
-    runs = cut_lineage(title_runs(keyed, window_h))
-    titles = spread(cut_lineage(runs.groupBy("key").agg(F.sum("n").alias("n"))))
-    facts = cut_lineage(title_facts(titles, aliases))
+    keyed = stage(articles.select("item_id", "hours_ago", te.headline_title(F.col("title"), F.col("source")).alias("key")))
+    runs = stage(title_runs(keyed, window_h))
+    titles = spread(stage(runs.groupBy("key").agg(F.sum("n").alias("n"))))
+    facts = stage(title_facts(titles, aliases))
     days = lambda lo, hi: F.explode(F.sequence(F.floor(lo / window_h), F.floor(hi / window_h)))
     start, end = F.col("start"), F.col("end")
 
     if vectors is None:
         asks = runs.select("key", days(start, end).alias("day"), F.lit("p").alias("role"))
         gives = runs.select("key", days(start - window_h, end + window_h).alias("day"), F.lit("c").alias("role"))
-        pairs = similar_titles(cut_lineage(tfidf(titles, stop)), asks.unionByName(gives).distinct(), er.SAME_STORY_SIM_WITH_WORDS)
+        pairs = similar_titles(stage(tfidf(titles, stop)), asks.unionByName(gives).distinct(), er.SAME_STORY_SIM_WITH_WORDS,
+                               facts)
     else:
         one = keyed.join(vectors, "item_id").groupBy("key").agg(F.min_by("vec", "item_id").alias("vec"))
         pairs = vector_pairs(runs, one, facts, window_h)

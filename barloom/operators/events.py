@@ -13,7 +13,7 @@ from barloom.functions.scalars import drop_nulls, is_true
 from barloom.operators.history import price_reactions
 from barloom.operators.linking import DAY, first_at_or_after, follow_to_root, token_set_pairs
 from barloom.operators.screen import top_per_group
-from barloom.session import cut_lineage, spread
+from barloom.session import spread, stage
 
 REPEAT_DAYS = 10
 REPEAT_JACCARD = 0.45
@@ -62,7 +62,7 @@ def measure(items: DataFrame) -> DataFrame:
     The typed items are written down first: later filters on the type would otherwise be moved in front of
     the classification and repeat its patterns.
     """
-    items = cut_lineage(items)
+    items = stage(items)
     kind, body = F.col("event_type"), F.col("body")
     is_order = kind.isin(*er.ORDER_TYPES)
     largest = F.array_max(te.amounts_in_crore(body, kind == "regulatory_action"))
@@ -142,7 +142,7 @@ def novelty_links(items: DataFrame, window_days: int = REPEAT_DAYS) -> DataFrame
     """
     t = F.unix_micros("ts")
     span = window_days * DAY
-    base = cut_lineage(items.filter(~F.col("event_type").isin(*er.NEVER_REPEATS)).select(
+    base = stage(items.filter(~F.col("event_type").isin(*er.NEVER_REPEATS)).select(
         "item_id", "company_id", "event_type", t.alias("t"), F.floor(t / span).alias("era"),
         F.nullif("amount", F.lit(0.0)).alias("amount"), "tokens",
         F.md5(F.concat_ws(" ", F.array_sort("tokens")).cast("binary")).alias("sig")))
@@ -178,7 +178,7 @@ def novelty_links(items: DataFrame, window_days: int = REPEAT_DAYS) -> DataFrame
     asked = places.withColumn("role", F.lit("p")).unionByName(
         places.select(*scope, eras.alias("era"), "sig").distinct().withColumn("role", F.lit("c")))
     sets = worded.groupBy("sig").agg(F.first("tokens").alias("tokens"))
-    similar = token_set_pairs(asked, sets, [*scope, "era"], REPEAT_JACCARD)
+    similar = token_set_pairs(asked, sets, [*scope, "era"], REPEAT_JACCARD, within=scope)
     by_words = worded.join(similar.withColumnRenamed("p_sig", "sig"), [*scope, "era", "sig"]).select(
         key("words ", F.col("c_sig")), "item_id", "t", (F.col("t") - span).alias("from_t"))
     same_words = worded.select(key("words ", F.col("sig")), "item_id", "t", (F.col("t") - span).alias("from_t"))
@@ -192,7 +192,7 @@ def novelty_links(items: DataFrame, window_days: int = REPEAT_DAYS) -> DataFrame
 
 def mark_novelty(items: DataFrame, window_days: int = REPEAT_DAYS) -> DataFrame:
     """Adds ``repeat_of`` (item id of the first report) and ``novelty``: 1, or 0.15 / 0.10 for repeats."""
-    items = cut_lineage(items)
+    items = stage(items)
     tokens = te.token_set(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), er.NOVELTY_STOP)
     amount = F.coalesce(F.nullif("order_value_cr", F.lit(0.0)), F.col("amount_cr"))
     links = novelty_links(items.select("item_id", "company_id", "event_type", "ts", amount.alias("amount"), tokens.alias("tokens")),

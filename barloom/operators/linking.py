@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.session import cut_lineage
+from barloom.session import stage, unstage
 
 HOUR = 3_600_000_000                       # microseconds
 DAY = 24 * HOUR
@@ -54,12 +54,13 @@ def follow_to_root(parents: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder; the driver only sees whether something changed.
     """
-    current = cut_lineage(parents.select("item_id", F.col("parent").alias("root")))
+    current = stage(parents.select("item_id", F.col("parent").alias("root")))
     while True:
         up = current.select(F.col("item_id").alias("_id"), F.col("root").alias("_up"))
         moved = current.join(up, F.col("root.id") == F.col("_id"), "left").select(
             "item_id", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved"))
-        moved = cut_lineage(moved)
+        moved = stage(moved)
+        unstage(current)
         current = moved.select("item_id", "root")
         if moved.filter("moved").isEmpty():
             return current
@@ -71,8 +72,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Minimum labels travel along edges and then jump to their label's label. Both combine before the shuffle,
     so a node with very many neighbours is no single task.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = stage(nodes.select("node", F.col("node").alias("label")))
     while True:
         heard = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
         lower = labels.join(heard, "node", "left").select(
@@ -80,9 +81,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         jump = lower.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         moved = lower.join(jump, F.col("label") == F.col("_n"), "left").select(
             "node", "old", F.least("label", F.coalesce("_l", "label")).alias("label"))
-        moved = cut_lineage(moved)
+        moved = stage(moved)
+        unstage(labels)
         labels = moved.select("node", "label")
         if moved.filter("old <> label").isEmpty():
+            unstage(both)
             return labels
 
 
@@ -91,7 +94,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 MAX_HOT = 100_000
 
 
-def with_frequency(exploded: DataFrame, freq: DataFrame, key: str, count: str) -> DataFrame:
+def with_frequency(exploded: DataFrame, freq: DataFrame, key: str | list[str], count: str) -> DataFrame:
     """Adds the frequency columns of each key value; frequent keys do not meet in one task.
 
     Keys that make up at least 1/100,000 of all rows are at most 100,000 in number whatever the size of the
@@ -100,39 +103,50 @@ def with_frequency(exploded: DataFrame, freq: DataFrame, key: str, count: str) -
     total = freq.agg(F.sum(count)).scalar()
     hot = freq.filter(F.col(count) * MAX_HOT >= total)
     cold = freq.filter(F.col(count) * MAX_HOT < total)
-    extra = [c for c in freq.columns if c != key]
+    extra = [c for c in freq.columns if c not in ([key] if isinstance(key, str) else key)]
     marked = exploded.join(F.broadcast(hot), key, "left")
     done = marked.filter(F.col(count).isNotNull())
     rest = marked.filter(F.col(count).isNull()).drop(*extra).join(cold, key)
     return done.unionByName(rest)
 
 
-def ordered_tokens(sets: DataFrame) -> DataFrame:
-    """(sig, size, ordered): the tokens of each distinct set, rare ones first."""
-    exploded = sets.select("sig", F.explode("tokens").alias("token"))
-    freq = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = with_frequency(exploded, freq, "token", "df")
-    return ranked.groupBy("sig").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("ordered")
-    ).select("sig", F.size("ordered").alias("size"), "ordered")
+def ordered_tokens(members: DataFrame, within: list[str]) -> DataFrame:
+    """(within..., sig, ordered): the tokens of each set (within..., sig, tokens), the rare ones of its group first.
+
+    A word that is rare overall may stand in every set of one group (a company's own name); there it comes last.
+    """
+    exploded = members.select(*within, "sig", F.explode("tokens").alias("token"))
+    freq = exploded.groupBy(*within, "token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = with_frequency(exploded, freq, [*within, "token"], "df")
+    return ranked.groupBy(*within, "sig").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("ordered"))
 
 
-def token_set_pairs(places: DataFrame, sets: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+def token_set_pairs(places: DataFrame, sets: DataFrame, scope: list[str], threshold: float,
+                    within: list[str] | None = None) -> DataFrame:
     """Pairs (scope..., p_sig, c_sig) of different token sets with Jaccard >= threshold.
 
     ``sets`` is (sig, tokens), one row per distinct set, so copies are compared once however many there are.
     ``places`` says where a set occurs: scope columns, sig and role ('p' asks, 'c' answers).
-    Two such sets share a token among the rarest n - ceil(threshold*n) + 1 of each, so only those are joined.
+    Two such sets share a token among the first n - ceil(threshold*n) + 1 of each, in any order that both sides keep, so only
+    those are joined. ``within`` is a part of the scope: tokens are ranked by their frequency there (default: the whole scope).
+    At the first token they share, the tokens behind it bound the overlap from above; joined tokens whose bound is too low go
+    before the pairs are made distinct.
     """
-    ordered = ordered_tokens(sets)
-    prefix = ordered.select("sig", "size", F.explode(F.slice(
-        "ordered", 1, (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))).alias("token"))
-    spread = places.join(prefix, "sig")
-    p = spread.filter("role = 'p'").select(*scope, "token", F.col("sig").alias("p_sig"), F.col("size").alias("p_size"))
-    c = spread.filter("role = 'c'").select(*scope, "token", F.col("sig").alias("c_sig"), F.col("size").alias("c_size"))
-    maybe = p.join(c, [*scope, "token"]).filter(
+    within = scope if within is None else within
+    members = places.select(*within, "sig").distinct().join(sets, "sig")
+    size = F.size("ordered")
+    prefix = ordered_tokens(members, within).select(*within, "sig", size.alias("size"), F.posexplode(F.slice(
+        "ordered", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("at", "token")).withColumn(
+        "behind", F.col("size") - F.col("at") - 1)
+    spread = places.join(prefix, [*within, "sig"])
+    side = lambda role: spread.filter(F.col("role") == role).select(
+        *scope, "token", *[F.col(x).alias(f"{role}_{x}") for x in ("sig", "size", "behind")])
+    both = F.col("p_size") + F.col("c_size")
+    maybe = side("p").join(side("c"), [*scope, "token"]).filter(
         (F.col("p_sig") != F.col("c_sig"))
         & (F.least("p_size", "c_size") >= threshold * F.greatest("p_size", "c_size") - 1e-9)
+        & (F.least("p_behind", "c_behind") + 1 >= threshold / (1 + threshold) * both - 1e-9)
     ).select(*scope, "p_sig", "c_sig").distinct()
     # similarity is a matter of the two sets, not of the place: compare each pair once
     pairs = maybe.select(F.least("p_sig", "c_sig").alias("s1"), F.greatest("p_sig", "c_sig").alias("s2")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.operators import dedup, events, screen
-from barloom.session import cut_lineage
+from barloom.session import stage
 
 
 def company_events(filings: DataFrame, news: DataFrame, bars: DataFrame, now: Column, days: int = 45,
@@ -21,7 +21,7 @@ def company_events(filings: DataFrame, news: DataFrame, bars: DataFrame, now: Co
     span = screen.look_back_days(days)
     both = screen.union_all(filings, news.withColumn("source_type", F.coalesce("source_type", F.lit("media"))))
     recent = both.filter((F.col("ts") >= now - F.expr(f"INTERVAL {span} DAYS")) & (F.col("ts") <= now))
-    items = cut_lineage(events.analyse(recent, bars))
+    items = stage(events.analyse(recent, bars))
     shown = items if include_routine else items.filter("event_type <> 'routine'")
     return shown, events.summarise(shown, now)
 
@@ -33,4 +33,4 @@ def news_feed(headlines: DataFrame, aliases: DataFrame, max_age_h: float = 720,
     ``headlines``: item_id (arrival order), title, source, hours_ago and whatever else is to be kept.
     """
     unique = screen.recency_buckets(screen.distinct_titles(headlines, ["item_id"]), max_age_h)
-    return dedup.dedupe_articles(cut_lineage(unique), aliases, window_h, stop).orderBy("hours_ago", "item_id")
+    return dedup.dedupe_articles(stage(unique), aliases, window_h, stop).orderBy("hours_ago", "item_id")

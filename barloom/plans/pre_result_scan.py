@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.functions import bar_windows as b
 from barloom.functions.clock import trading_days
 from barloom.operators import events, features, history, joins, scoring, screen
-from barloom.session import cut_lineage
+from barloom.session import stage
 
 
 HISTORY_DAYS = 1100
@@ -47,18 +47,18 @@ def scan(calendar: DataFrame, bars: DataFrame, market: DataFrame, index_bars: Da
     rows = named.join(priced, "symbol", "left").join(trend, "symbol", "left")
     rows = scoring.add_fundamental_score(rows, include_liquidity=False)
     rows = rows.withColumn("fund_score", F.when(F.col("fund_source") != "none", F.col("fund_score")))
-    first = cut_lineage(rows)
+    first = stage(rows)
     scored = scoring.pre_result_score(first)
 
     best = screen.best_first(scored.select("isin", "symbol", "score"), k, F.desc_nulls_last("score"), F.asc("isin")).filter("score is not null")
-    best = cut_lineage(best.select("isin", "symbol"))
+    best = stage(best.select("isin", "symbol"))
     chosen = best.select("symbol").distinct()
     past = history.results_history(
         bars.join(chosen, "symbol", "left_semi"), past_dates.join(chosen, "symbol", "left_semi"), market)
     end = F.lit(today).cast("timestamp")
     recent = filings.join(chosen.withColumnRenamed("symbol", "company_id"), "company_id", "left_semi").filter(
         (F.col("ts") >= end - F.expr(f"INTERVAL {int(filing_days)} DAYS")) & (F.col("ts") < end))
-    typed = cut_lineage(events.analyse(recent, bars.join(chosen, "symbol", "left_semi")))
+    typed = stage(events.analyse(recent, bars.join(chosen, "symbol", "left_semi")))
     news = events.summarise(typed, end).select(
         F.col("company_id").alias("symbol"), F.col("net_score").alias("catalyst_score"),
         F.col("event_counts").alias("catalyst_counts"), F.col("top_events").alias("catalyst_top"),

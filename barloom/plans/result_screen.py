@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.clock import trading_days
 from barloom.operators import features, joins, scoring, screen
-from barloom.session import cut_lineage
+from barloom.session import stage
 from barloom.sources import feeds
 
 
@@ -32,7 +32,7 @@ def result_screen(meetings: DataFrame, listings: DataFrame, master: DataFrame, p
     joined = rows.join(priced, "isin", "left").join(rates, "isin", "left").join(last_prices, "isin", "left")
     price, source = screen.price_with_source(F.col("live"), F.col("last_close"), F.col("Current Price"))
     facts = joined.withColumns({**features.base_rate_columns(), "ltp": price, "ltp_source": source}).drop(*stats, "live")
-    scored = cut_lineage(scoring.result_screen_scores(facts))
+    scored = stage(scoring.result_screen_scores(facts))
     flagged = scored.withColumn("flags", scoring.result_screen_flags(scored))
     tie = F.concat_ws(":", F.format_string("%020d", F.col("bse_code")), F.col("result_date").cast("string"))
     return screen.global_rank(flagged.withColumn("row_key", tie), "composite", "row_key")

@@ -807,8 +807,8 @@ QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY price DESC, k1, k2, k3,
 def top_per_group(spark, sf_dir):
     ticks = trade_ticks(spark, sf_dir)
     top = screen.top_per_group(ticks, ["symbol"], [F.desc("price"), F.asc("seq")], 24, salt_on="seq")
-    return top.select("symbol", F.col("seq.l_orderkey").alias("k1"), F.col("seq.l_linenumber").alias("k2"), F.col("seq.l_partkey").alias("k3"),
-                      F.col("seq.l_suppkey").alias("k4"), "price")
+    return top.select("symbol", F.col("line.l_orderkey").alias("k1"), F.col("line.l_linenumber").alias("k2"), F.col("line.l_partkey").alias("k3"),
+                      F.col("line.l_suppkey").alias("k4"), "price")
 
 
 @query("set03_symbol_union", """SELECT DISTINCT 'C' || o_custkey AS symbol FROM orders UNION SELECT DISTINCT 'C' || c_custkey FROM customer WHERE c_acctbal < 0""")

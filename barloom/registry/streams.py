@@ -113,7 +113,7 @@ def refreshed_signals(spark, sf_dir):
     from barloom.operators.scoring import signal_inputs
 
     landing, bars_path, signals_path = (fresh_dir(spark, n) for n in ("landing", "bars", "signals"))
-    daily = bar_source.roll_up_ticks(event_ticks(spark, sf_dir, False).withColumn("seq", F.struct("ts", "tick_id")), ["symbol", F.to_date("ts").alias("date")])
+    daily = bar_source.roll_up_ticks(event_ticks(spark, sf_dir, False).withColumn("seq", bar_source.order_key((F.unix_micros("ts"), 18), (F.col("tick_id"), 19))), ["symbol", F.to_date("ts").alias("date")])
     daily.withColumn("load_ts", F.lit(1)).write.parquet(landing)
     schema = spark.read.parquet(landing).schema
     step = st.refresh_signals(bars_path, signals_path, lambda b: signal_inputs(b).select("symbol", "bars", "sma14"), bar_source.upsert_bars)

@@ -1,4 +1,4 @@
-"""Session helpers: the UTC clock, the shared folder and reliable checkpoints."""
+"""Session helpers: the UTC clock, the shared folder and intermediate tables in it."""
 
 from __future__ import annotations
 
@@ -67,16 +67,14 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so a lost executor does not replay the loop."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """More partitions for heavy row work when the input has fewer than there are cores (a few small files).
+    """One partition per core for heavy row work on an input too small to fill the cores by its splits.
 
-    Large inputs have more partitions than that and pass through without a shuffle.
+    The planner's size estimate decides, so nothing runs while the plan is built. The shuffle moves at most a split per
+    core; every larger input passes through.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df

@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BAR_FIELDS = ["o", "h", "l", "c", "v"]
 
 
+def order_key(*parts: tuple[Column, int]) -> Column:
+    """One decimal from whole numbers of 0 or more, the most significant first, each with at most so many digits (38 in all).
+
+    Orders rows as a struct of the parts would (null as 0), but has a fixed width, so that ``min_by`` and ``max_by`` update it in
+    place in a hash aggregate; a struct makes Spark sort the whole input. A part with too many digits fails loudly.
+    """
+    key = F.lit(0).cast("decimal(1,0)")
+    for column, digits in parts:
+        part = F.coalesce(column, F.lit(0)).cast(f"decimal({digits},0)")
+        key = key * F.lit(Decimal(10 ** digits)) + part
+    return key.cast("decimal(38,0)")
+
+
 def roll_up_ticks(ticks: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     """Open/high/low/close/volume per key; every aggregate combines before the shuffle.
 
-    ``seq`` is the total order of the ticks within a key.
+    ``seq`` is the total order of the ticks within a key, of a fixed width (``order_key``).
     """
     return ticks.groupBy(*keys).agg(
         F.min_by("price", "seq").alias("o"),
@@ -28,11 +42,10 @@ def parse_bars(raw: DataFrame, arrival: str = "arrival") -> DataFrame:
 
     The stamp carries the exchange's own midnight; its first ten characters are the date.
     """
-    fields = F.struct(*[F.col(f).try_cast("double").alias(f) for f in BAR_FIELDS])
+    fields = [F.col(f).try_cast("double").alias(f) for f in BAR_FIELDS]
     return (
-        raw.select("symbol", F.to_date(F.substring("t", 1, 10)).alias("date"), fields.alias("bar"), arrival)
-        .groupBy("symbol", "date").agg(F.min_by("bar", arrival).alias("bar"))
-        .select("symbol", "date", "bar.*")
+        raw.select("symbol", F.to_date(F.substring("t", 1, 10)).alias("date"), *fields, arrival)
+        .groupBy("symbol", "date").agg(*[F.min_by(f, arrival).alias(f) for f in BAR_FIELDS])
     )
 
 
@@ -54,12 +67,8 @@ def refetch_from(history: DataFrame, overlap_days: int = 7) -> DataFrame:
 def upsert_bars(history: DataFrame, fetched: DataFrame) -> DataFrame:
     """Union of stored and newly fetched bars; the freshest copy (``load_ts``) of a day wins."""
     both = history.unionByName(fetched)
-    payload = F.struct(*BAR_FIELDS)
-    return (
-        both.groupBy("symbol", "date")
-        .agg(F.max_by(payload, "load_ts").alias("bar"), F.max("load_ts").alias("load_ts"))
-        .select("symbol", "date", "bar.*", "load_ts")
-    )
+    freshest = [F.max_by(f, "load_ts").alias(f) for f in BAR_FIELDS]
+    return both.groupBy("symbol", "date").agg(*freshest, F.max("load_ts").alias("load_ts"))
 
 
 def build_panel(bars: DataFrame, index_bars: DataFrame, min_bars: int = 60) -> DataFrame:

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.session import cut_lineage
-from barloom.sources.bars import roll_up_ticks
+from barloom.session import stage
+from barloom.sources.bars import order_key, roll_up_ticks
 
 TODAY = "2001-06-30"
 
@@ -30,7 +30,8 @@ def trade_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("l_shipdate").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
+        order_key((F.col("l_orderkey"), 13), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 12), (F.col("l_suppkey"), 10)).alias("seq"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line"),
         F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("status"),
         F.col("l_partkey").alias("part_id"),
@@ -44,7 +45,7 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily bars written down once, for jobs that read them several times (as a bars table would be)."""
-    return cut_lineage(bars_daily(spark, sf_dir))
+    return stage(bars_daily(spark, sf_dir))
 
 
 def brand_number(symbol: Column) -> Column:
