@@ -97,12 +97,15 @@ def postings(weights: dict[str, float], templates: tuple[Template, ...] = TEMPLA
 
 
 def _starts(words: Column, looked_up: Column, p: Posting) -> Column:
-    """Where the template starts, given the places of indexed words."""
+    """Where the template starts, given the places of indexed words.
+
+    Only key words must stand in the text: optional leading words may lie before it, so a start can be negative (``F.get`` is
+    null there, which lowers the score only).
+    """
     text = p.template.words
     stands = lambda start, j: F.get(words, start + j) == text[j]
     order = [p.place, p.second, *[j for j in p.template.key_places if j not in (p.place, p.second)]]
-    found = F.filter(looked_up, lambda at: (at >= p.place) & reduce(
-        lambda a, b: a & b, [stands(at - p.place, j) for j in dict.fromkeys(order)]))
+    found = F.filter(looked_up, lambda at: reduce(lambda a, b: a & b, [stands(at - p.place, j) for j in dict.fromkeys(order)]))
     return F.transform(found, lambda at: at - p.place)
 
 
