@@ -170,10 +170,14 @@ def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The documents that stand for their group (smallest doc_id), with all their columns; repeated rows leave one."""
-    stay = near_copies(docs.select("doc_id", "text"), shingle_words, radius).filter(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+def first_of_group(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents whose doc_id is the component_id ``found`` for them; repeated rows leave one."""
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"))
     return rows.join(stay, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").withColumn(
         "nth", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row")))).filter("nth = 1").select("row.*")
+
+
+def without_near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """The documents that stand for their group (smallest doc_id), with all their columns; repeated rows leave one."""
+    return first_of_group(docs, near_copies(docs.select("doc_id", "text"), shingle_words, radius))
