@@ -216,14 +216,14 @@ def relative_sort_value(k: int) -> Column:
     return F.coalesce(f"rel_sec_{k}d", f"rel_mkt_{k}d")
 
 
-def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+def row_positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """1..n over all rows in ``order``; no task sees more than its share of rows.
 
     Rows are range-partitioned by the order - its last column should split equal ones - and written down once, so that the
     partition numbers are the same when they are counted and when they are ranked.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "positions")
+    placed = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "row_positions")
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))   # one row per partition
@@ -233,7 +233,7 @@ def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
 
 def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank") -> DataFrame:
     """1..n by score (high first), null for rows without one; those stand last, so they shift nobody."""
-    ranked = positions(df, [F.col(score).desc_nulls_last(), F.col(tie).asc()], name)
+    ranked = row_positions(df, [F.col(score).desc_nulls_last(), F.col(tie).asc()], name)
     return ranked.withColumn(name, F.when(F.col(score).isNotNull(), F.col(name)))
 
 

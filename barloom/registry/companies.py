@@ -613,7 +613,7 @@ def technical_presets(spark, sf_dir):
 @query("flt05_watchlist", "SELECT l_orderkey AS k, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN ('Brand#3', 'Brand#8') GROUP BY 1")
 def watchlist(spark, sf_dir):
     watched = spark.createDataFrame([("Brand#3",), ("Brand#8",)], "symbol string")
-    return screen.only_watched(trade_ticks(spark, sf_dir), watched).groupBy(F.col("seq.l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    return screen.only_watched(trade_ticks(spark, sf_dir), watched).groupBy(F.col("line.l_orderkey").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("flt06_fundamental_presets", f"""{PARTS} SELECT part_id, coalesce(pg >= 25 AND sg >= 15, false) AS growth, coalesce(roce >= 20 AND de <= 0.5::DOUBLE AND cfo >= 0.7::DOUBLE, false) AS quality,
@@ -780,7 +780,7 @@ row_number() OVER (ORDER BY pg DESC NULLS LAST, part_id) AS down FROM facts""")
 def nulls_lowest(spark, sf_dir):
     m = part_master(trade_ticks(spark, sf_dir)).select("part_id", F.col("YOY Quarterly profit growth").alias("pg"))
     for name, descending in (("up", False), ("down", True)):
-        m = screen.positions(m, [screen.nulls_as_lowest("pg", descending), F.asc("part_id")], name)
+        m = screen.row_positions(m, [screen.nulls_as_lowest("pg", descending), F.asc("part_id")], name)
     return m.select("part_id", *rounded("pg", digits=4), "up", "down")
 
 
@@ -790,7 +790,7 @@ def nulls_last(spark, sf_dir):
     m = part_master(trade_ticks(spark, sf_dir)).select(
         "part_id", F.coalesce("YOY Quarterly profit growth", "YOY Quarterly sales growth").alias("v"))
     for name, descending in (("up", False), ("down", True)):
-        m = screen.positions(m, [screen.nulls_always_last(F.col("v"), descending), F.asc("part_id")], name)
+        m = screen.row_positions(m, [screen.nulls_always_last(F.col("v"), descending), F.asc("part_id")], name)
     return m.select("part_id", *rounded("v", digits=4), "up", "down")
 
 
