@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.tokens import PieceTokenizer
+from barloom.llm import tokens
 from barloom.session import stage
 
 SEQUENCE = 1024
@@ -41,12 +41,12 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = PieceTokenizer(tokenizer)
+        known = tokens.tokenizer(tokenizer)
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 batch = big.slice(at, 500)
                 out: list[tuple] = []
-                for doc, key, data in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), tokens.encode(
+                for doc, key, data in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), known.encode(
                         [t or "" for t in batch["text"].to_pylist()])):
                     data += end
                     for i, (start, length) in enumerate(cut(len(data) // 4, size)):

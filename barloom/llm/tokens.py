@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from functools import cache
+from itertools import islice
 
 import numpy as np
 
-#: Pieces that one Python worker remembers before it starts anew.
-CACHE_PIECES = 600_000
+#: Words that one Python worker remembers; beyond that the older half goes.
+CACHE_WORDS = 600_000
+#: Marks that end a word; together they are one pre-token of a byte-level BPE.
+MARKS = string.punctuation
 #: A blank between two characters that are no white space starts a new pre-token of a byte-level BPE, whatever surrounds it.
 BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 
@@ -16,8 +21,9 @@ BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 class PieceTokenizer:
     """Ids of a text, piece by piece: a piece ends before a blank that separates two words, where no token can reach across.
 
-    Pieces seen before come from a bounded cache. New ones are joined and encoded together; each starts with a blank and holds
-    no other, so the tokens that start with a blank mark where the next piece begins.
+    A piece is a blank and a word; words seen before come from a bounded cache, which a worker process keeps from task to task.
+    New ones are joined and encoded together; each piece holds no other blank, so the tokens that start with one mark where the
+    next piece begins. A text in which a blank stands beside other white space is cut at its plain boundaries only.
     """
 
     def __init__(self, path: str):
@@ -29,46 +35,73 @@ class PieceTokenizer:
         for token, i in self.library.get_vocab().items():
             self.starts[i] = token.startswith("Ġ")
         self.known: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self.known = {}
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at:at + 2000]
-            ids = np.array(self.library.encode("".join(some), add_special_tokens=False).ids, "<u4")
+    def _first(self, text: str) -> bytes:
+        if (data := self.firsts.get(text)) is None:
+            data = self.firsts[text] = self._ids([text])[0].tobytes()
+        return data
+
+    def _learn(self, words: set[str]) -> None:
+        """Letters and the marks after them are tokens apart, so a word that differs by its marks only is not encoded again."""
+        known, marked, whole = self.known, [], set()
+        for word in words:
+            letters = word.rstrip(MARKS)
+            if len(letters) == len(word) or not letters.isalpha():
+                whole.add(word)
+            else:
+                marked.append((word, letters))
+                if letters not in known:
+                    whole.add(letters)
+        whole_words = sorted(whole)
+        for at in range(0, len(whole_words), 2000):
+            some = whole_words[at:at + 2000]
+            ids = self._ids([" " + " ".join(some)])[0]
             begins = np.flatnonzero(self.starts[ids])
             if len(begins) == len(some) and begins[0] == 0:
-                data, ends = ids.tobytes(), [*(begins[1:] * 4).tolist(), len(ids) * 4]
-                for piece, a, b in zip(some, (begins * 4).tolist(), ends):
-                    self.known[piece] = data[a:b]
+                data, ends = ids.tobytes(), (begins * 4).tolist()
+                known.update(zip(some, map(data.__getitem__, map(slice, ends, [*ends[1:], len(data)]))))
             else:
-                for piece in some:
-                    self.known[piece] = self._whole(piece)
+                known.update(zip(some, [one.tobytes() for one in self._ids([" " + w for w in some])]))
+        for word, letters in marked:
+            known[word] = known[letters] + self._first(word[len(letters):])
+
+    def _by_boundaries(self, text: str) -> bytes:
+        first, *parts = BOUNDARY.split(text)
+        known = [self.known.get(p[1:]) for p in parts]
+        return b"".join([self._first(first), *[k if k is not None else self._ids([p])[0].tobytes() for k, p in zip(known, parts)]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            pieces = [" " + p for p in rest]
-            split.append((first, pieces))
-        known = self.known
-        new = {p for _, pieces in split for p in pieces if p not in known}
-        plain = [p for p in new if len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
-        odd = new.difference(plain)
-        self._learn(sorted(plain))
-        known = self.known
-        out = []
-        for text, (first, pieces) in zip(texts, split):
-            if not pieces or first[-1:].isspace() or not first or (odd and not odd.isdisjoint(pieces)):
-                parts = BOUNDARY.split(text)
-                out.append(b"".join([known.get(p) or self._whole(p) for p in parts]) if len(parts) > 1 else self._whole(text))
-                continue
-            try:
-                out.append(self._whole(first) + b"".join([known[p] for p in pieces]))
-            except KeyError:                                        # the cache was emptied in between
-                out.append(self._whole(first) + b"".join([known.get(p) or self._whole(p) for p in pieces]))
+        for name in ("known", "firsts"):
+            old = getattr(self, name)
+            if len(old) > CACHE_WORDS:
+                setattr(self, name, dict(islice(old.items(), len(old) // 2, None)))
+        known, out, rest = self.known, [b""] * len(texts), []
+        new: set[str] = set()
+        for i, text in enumerate(texts):
+            first, *words = text.split(" ")
+            found = list(map(known.get, words))
+            beside = bool(words) and (not first or first[-1].isspace())
+            if beside or None in found:
+                new.update([w for w, ids in zip(words, found) if ids is None])
+                rest.append((i, first, words, found, beside))
+            else:
+                out[i] = b"".join([self._first(first), *found])
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        self._learn(new - odd)
+        for i, first, words, found, beside in rest:
+            if beside or (odd and not odd.isdisjoint(words)):
+                out[i] = self._by_boundaries(texts[i])
+            else:
+                out[i] = b"".join([self._first(first), *[known[w] if ids is None else ids for w, ids in zip(words, found)]])
         return out
+
+
+@cache
+def tokenizer(path: str) -> PieceTokenizer:
+    """The worker process's tokenizer of a file; Spark uses a worker for many tasks, so its words need not be learnt again."""
+    return PieceTokenizer(path)
