@@ -8,7 +8,8 @@ import pytest
 
 import corpus_pipeline
 from barloom.llm import registry, rules
-from tests.llm.test_operators import WS, brute_components, brute_fingerprint
+from tests.llm.test_operators import WS, brute_components
+from tests.llm.test_similar import linked, shingle_set
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -28,8 +29,8 @@ def test_stages(spark):
     for i in sorted(kept):
         first.setdefault(re.sub(WS, " ", rows[i].text), i)
     assert sorted(r.doc_id for r in after["exact_dedup"]) == sorted(first.values())
-    fps = {i: brute_fingerprint(rows[i].text) for i in first.values()}
-    roots = set(brute_components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4).values())
+    sets = {i: shingle_set(rows[i].text) for i in first.values()}
+    roots = set(brute_components(sorted(sets), lambda a, b: linked(sets[a], sets[b])).values())
     assert {r.doc_id for r in after["near_dedup"]} == roots
     copies = Counter(r.doc_id for r in after["source_mixing"])
     assert set(copies) <= roots and max(copies.values()) <= 2
@@ -54,3 +55,10 @@ def test_queries_match_sql(spark, name):
     columns = [d[0] for d in cur.description]
     assert sorted(columns) == sorted(df.columns)
     assert sorted(map(tuple, df.select(*columns).collect())) == sorted(cur.fetchall())
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    for name, function in corpus_pipeline.STAGES:
+        docs = function(spark, docs, FOLDER)
+    assert docs.count() == 0
