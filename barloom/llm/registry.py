@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import chat, classifier, exact, licenses, mixing, packing, rules, sharding, simhash, suffixes
+from barloom.llm import centroids, chat, classifier, codes, exact, licenses, mixing, packing, rules, sharding, simhash, suffixes, wrappers
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,30 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+SQL["op11_html_extraction"] = wrappers.SQL
+
+
+@query
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encoded(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_vector_code_compression"] = codes.encoded_sql()
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_centroid_clustering"] = centroids.clustered_sql()
+
+
 SQL["op3_exact_dedup"] = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
