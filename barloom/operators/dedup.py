@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -54,15 +55,32 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def tfidf(titles: DataFrame, stop: Sequence[str] | None = None) -> DataFrame:
+class Corpus(NamedTuple):
+    """How often terms stand in the titles that weights are measured on: df is (term, df)."""
+
+    df: DataFrame
+    titles: int
+
+
+def corpus_of(titles: DataFrame, stop: Sequence[str] | None = None) -> Corpus:
+    """Term frequencies of (key, n) titles; n copies count as n documents. Stored, to be used for later titles too."""
+    terms = titles.select("n", F.explode(F.array_distinct(title_terms(F.col("key"), stop or english_stop_words()))).alias("term"))
+    return Corpus(stage(terms.groupBy("term").agg(F.sum("n").alias("df")), "corpus"), titles.agg(F.sum("n")).first()[0] or 0)
+
+
+def tfidf(titles: DataFrame, stop: Sequence[str] | None = None, corpus: Corpus | None = None) -> DataFrame:
     """(key, term, weight): length-one TF-IDF vectors of distinct titles, smooth idf ln((1+n)/(1+df)) + 1.
 
-    ``titles`` is (key, n): n copies count as n documents.
+    ``titles`` is (key, n): n copies count as n documents. With ``corpus`` the weights are those of another set of titles,
+    so that they stay as they are while titles come in; a term that is new to it has df 0.
     """
     terms = titles.select("key", "n", F.explode(title_terms(F.col("key"), stop or english_stop_words())).alias("term"))
     tf = stage(terms.groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df = tf.groupBy("term").agg(F.sum("n").alias("df"))
-    total = titles.agg(F.sum("n")).scalar()
+    if corpus is None:
+        df, total = tf.groupBy("term").agg(F.sum("n").alias("df")), titles.agg(F.sum("n")).scalar()
+    else:
+        own = tf.select("term").distinct().join(corpus.df, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+        df, total = stage(own, "frequencies"), corpus.titles
     raw = with_frequency(tf, df, "term", "df").select(
         "key", "term", "df", (F.col("tf") * (F.ln((1 + total) / (1 + F.col("df"))) + 1)).alias("w"))
     of_title = Window.partitionBy("key")                     # the terms of one title
@@ -172,11 +190,11 @@ def _within(a: str, b: str, window_h: float) -> Column:
 # ---- clusters -------------------------------------------------------------------------------------------------
 
 def story_links(articles: DataFrame, aliases: DataFrame, window_h: float = DAY_H, stop: Sequence[str] | None = None,
-                vectors: DataFrame | None = None) -> DataFrame:
+                vectors: DataFrame | None = None, corpus: Corpus | None = None) -> DataFrame:
     """(item_id, story): articles of one story share the smallest node id.
 
     ``articles``: item_id, title, source, hours_ago. With ``vectors`` (item_id, vec) the similarity is theirs,
-    otherwise it is TF-IDF over the titles. With vectors, equal titles count as equal vectors.
+    otherwise it is TF-IDF over the titles (or weighted by ``corpus``). With vectors, equal titles count as equal vectors.
     """
     keyed = stage(articles.select("item_id", "hours_ago", te.headline_title(F.col("title"), F.col("source")).alias("key")))
     runs = stage(title_runs(keyed, window_h))
@@ -188,7 +206,7 @@ def story_links(articles: DataFrame, aliases: DataFrame, window_h: float = DAY_H
     if vectors is None:
         asks = runs.select("key", days(start, end).alias("day"), F.lit("p").alias("role"))
         gives = runs.select("key", days(start - window_h, end + window_h).alias("day"), F.lit("c").alias("role"))
-        pairs = similar_titles(stage(tfidf(titles, stop)), asks.unionByName(gives).distinct(), er.SAME_STORY_SIM_WITH_WORDS,
+        pairs = similar_titles(stage(tfidf(titles, stop, corpus)), asks.unionByName(gives).distinct(), er.SAME_STORY_SIM_WITH_WORDS,
                                facts)
     else:
         one = keyed.join(vectors, "item_id").groupBy("key").agg(F.min_by("vec", "item_id").alias("vec"))

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from datetime import timedelta
 
+from pyspark.sql import DataFrame, Window, functions as F
+
+from barloom.functions import text_events as te
+from barloom.functions.folds import SERIES_FIELDS
 from barloom.operators import dedup
-from barloom.functions import event_rules as er
+from barloom.plans.screener import screener_signals
+from barloom.registry.companies import SCREEN
 from barloom.registry.core import query
-from barloom.registry.market import rounded
-from barloom.session import fresh_dir
+from barloom.registry.events import REPS, brand_aliases, stop_list
+from barloom.registry.market import RECURSIVE, day, rounded
+from barloom.registry.snippets import r, rs
+from barloom.session import fresh_dir, stage
 from barloom.sources import bars as bar_source
-from barloom.sources.bindings import table
-from barloom.streaming import quotes as st
+from barloom.sources.bindings import brand_number, filings, stored_bars, table, universe
+from barloom.streaming import quotes as st, state, stories
+from barloom.streaming.feed import in_parts, save_batches
 
 
 def event_ticks(spark, sf_dir, stream: bool) -> DataFrame:
@@ -121,20 +129,63 @@ def refreshed_signals(spark, sf_dir):
     return st.newest_signals(spark.read.parquet(signals_path)).select("symbol", "bars", *rounded("sma14"))
 
 
-@query("str06_rolling_news")
+@query("str05_carried_signals", f"{RECURSIVE} SELECT symbol, CAST(date AS VARCHAR) AS date, {rs(*SERIES_FIELDS, digits=5)} FROM series")
+def carried_signals(spark, sf_dir):
+    """Daily bars come in four parts, each with a restart; every recursive indicator goes on from the state the part before left."""
+    out, bars = fresh_dir(spark, "carried"), stored_bars(spark, sf_dir).withColumn("load_ts", F.lit(1))
+    year = F.least(F.greatest(F.year("date") - 1996, F.lit(0)), F.lit(3))
+    in_parts(bars, year, 4, lambda rows: state.carried_indicators(rows).writeStream.outputMode("append").foreachBatch(save_batches(out)))
+    return spark.read.parquet(out).filter("not late").select("symbol", day(), *rounded(*SERIES_FIELDS, digits=5))
+
+
+LATE, EXPIRY_DAYS = 10, 150
+
+
+@query("str01_pip05_live_screener", f"""{SCREEN}, hist AS (SELECT symbol, date, h, l, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM bars),
+told AS (SELECT symbol, max(date) AS newest, arg_max(CASE WHEN n % 3 = 0 THEN h * 1.5::DOUBLE END, n) AS hi_last, last(h * 1.5::DOUBLE ORDER BY n) FILTER (n % 3 = 0) AS hi_kept,
+  last(CASE WHEN n % 3 = 0 THEN h * 1.5::DOUBLE END ORDER BY n) AS hi_now, last(CASE WHEN n % 4 = 0 THEN l * 0.5::DOUBLE END ORDER BY n) AS lo_now,
+  last(l * 0.5::DOUBLE ORDER BY n) FILTER (n % 4 = 0) AS lo_kept, max(n) AS bars FROM hist GROUP BY symbol)
+SELECT symbol, name, sector, cap, ltp, {r('changePct', 5)}, volume, {rs('relVol', digits=5)}, CASE WHEN bars >= 50 THEN CAST(signal_score AS DOUBLE) END AS signalScore,
+  coalesce(hi_now, CASE WHEN bars >= 50 THEN hi52 END, hi_kept) AS week52High, coalesce(lo_now, CASE WHEN bars >= 50 THEN lo52 END, lo_kept) AS week52Low, fs AS fundamentalScore
+FROM screen JOIN told USING (symbol) WHERE newest + INTERVAL {EXPIRY_DAYS} DAY > (SELECT max(newest) FROM told) - INTERVAL {LATE} DAY""")
+def streamed_screener(spark, sf_dir):
+    """Every daily bar is a quote; quotes come in four parts with late and repeated ones, tables are joined in each batch."""
+    bars = stored_bars(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("date"))
+    number = brand_number(F.col("symbol"))
+    prev = F.lag("c").over(Window.partitionBy("symbol").orderBy("date"))
+    ticks = bars.select(
+        "symbol", F.col("date").cast("timestamp").alias("ts"), n.alias("tick_id"), F.col("c").alias("ltp"), F.col("o").alias("open"),
+        F.col("h").alias("high"), F.col("l").alias("low"), F.col("v").alias("volume"), prev.alias("before")).select(
+        "*", F.when(number % 6 != 5, F.col("before")).alias("prev_close"), F.when(number % 3 == 0, F.lit(1.5) - number % 4).alias("given_pct"),
+        F.when(number % 3 != 2, F.col("ltp") - F.col("before")).alias("net_change"),
+        F.when(F.col("tick_id") % 3 == 0, F.col("high") * 1.5).alias("high52"), F.when(F.col("tick_id") % 4 == 0, F.col("low") * 0.5).alias("low52"))
+    scores = bars.select("symbol").distinct().filter(number % 2 == 0).select("symbol", (40 + number).cast("double").alias("fundamentalScore"))
+    signals = stage(screener_signals(bars, scores).select("symbol", "signalScore", "signal", "avgVolume", "week52High", "week52Low"), "signals")
+    listed, out = stage(universe(bars).select("symbol", "name", "sector", "cap"), "universe"), fresh_dir(spark, "screener")
+    span = F.datediff(F.to_date("ts"), F.lit("1995-01-01"))
+    part = F.least(F.greatest(F.floor(span / 650), F.lit(0)), F.lit(3)).cast("int")
+    late = (F.col("tick_id") % 9 == 0) & (F.floor((span + 5) / 650) > F.floor(span / 650))      # comes with the next part, up to five days late
+    again = ticks.filter(F.col("tick_id") % 11 == 0).withColumn("part", F.least(part + late.cast("int"), F.lit(3)))
+    dealt = ticks.withColumn("part", F.least(part + late.cast("int"), F.lit(3))).unionByName(again)
+
+    def start(rows: DataFrame):
+        live = state.live_screener(rows.drop("part"), listed, signals, scores, f"{LATE} days", timedelta(days=EXPIRY_DAYS))
+        return live.writeStream.outputMode("update").foreachBatch(save_batches(out))
+
+    in_parts(dealt, F.col("part"), 4, start)
+    return state.newest_rows(spark.read.parquet(out)).select(
+        "symbol", "name", "sector", "cap", "ltp", *rounded("changePct", digits=5), "volume", *rounded("relVol", digits=5),
+        F.col("signalScore").cast("double").alias("signalScore"), "week52High", "week52Low", "fundamentalScore")
+
+
+@query("str06_rolling_news", f"WITH RECURSIVE {REPS} SELECT story, b.item_id, copies, array_to_string(list_filter(srcs, lambda s: s <> a.source), ', ') AS related FROM best b JOIN art a USING (item_id)")
 def rolling_news(spark, sf_dir):
-    """Page headlines arrive as a stream and are de-duplicated over the look-back before them."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html").schema
-    aliases = spark.createDataFrame(list(er.COMMON_ALIASES.items()), "alias string, symbol string")
-    heads = spark.readStream.schema(pages).option("pathGlobFilter", "pages.parquet").parquet(sf_dir).select(
-        F.col("page_id").alias("item_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit("web").alias("source"),
-        F.timestamp_seconds(F.lit(978307200) + F.col("page_id") * 600).alias("ts"))
-    items, out = fresh_dir(spark, "news"), fresh_dir(spark, "stories")
-    end = F.lit("2002-01-01 00:00:00").cast("timestamp")
-
-    def dedupe(batch: DataFrame) -> DataFrame:
-        aged = batch.withColumn("hours_ago", (F.unix_timestamp(end) - F.unix_timestamp("ts")) / 3600)
-        return dedup.dedupe_articles(aged.select("item_id", "title", "source", "hours_ago"), aliases).select("story", "item_id", "copies")
-
-    st.run_to_end(heads.writeStream.foreachBatch(st.rolling_news(items, out, dedupe)), fresh_dir(spark, "cp"))
-    return spark.read.parquet(out).groupBy("story").agg(F.max_by(F.struct("item_id", "copies"), "batch_id").alias("s")).select("story", "s.*")
+    """Headlines come in three parts, some with a later one; after the last the live stories are those of all items."""
+    items = filings(spark, sf_dir).select("item_id", "title", "source", "ts")
+    keys = items.select(te.headline_title(F.col("title"), F.col("source")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    out = fresh_dir(spark, "stories")
+    step = stories.rolling_stories(out, brand_aliases(spark, sf_dir), dedup.corpus_of(keys, stop_list()), stop=stop_list())
+    part = F.when(F.col("item_id") % 17 == 0, 2).when(F.col("ts") < "1997-01-01", 0).when(F.col("ts") < "1999-06-01", 1).otherwise(2)
+    in_parts(items, part, 3, lambda rows: rows.writeStream.foreachBatch(step))
+    return stories.live_stories(spark, out).select("story", "item_id", "copies", F.concat_ws(", ", "related_sources").alias("related"))
