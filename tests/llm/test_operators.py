@@ -159,13 +159,26 @@ def test_rules(docs, empty):
     assert rules.without_rejected(docs).count() == sum(r.kept for r in got) and rules.quality(empty).count() == 0
 
 
-def test_rule_order_follows_rejections(spark):
-    rows = spark.range(1000).withColumn("n", F.col("id"))
-    none, half = rules.Rule("none", F.col("n") < 0), rules.Rule("half", F.col("n") < 500)
+def test_rule_order_follows_rejections_per_cost(spark):
+    rows = spark.range(3000).select(F.concat_ws(" ", F.array_repeat(F.concat(F.lit("w"), F.col("id") % 7), (F.col("id") % 400).cast("int"))).alias("text"))
+    none, half = rules.Rule("none", lambda m: m["n_words"] < 0), rules.Rule("half", lambda m: m["n_words"] < 200)
+    dear = rules.Rule("dear", lambda m: (m["n_repeat_words"] >= 0) & (m["n_words"] < 200))
     assert [r.name for r in rules.ordered(rows, [none, half])] == ["half", "none"]
+    assert [r.name for r in rules.ordered(rows.cache(), [none, dear, half])] == ["half", "dear", "none"]
     assert rules.ordered(rows.limit(0), [none, half]) == [none, half]
 
 
+def test_cascade_computes_no_measure_behind_a_rejection(spark):
+    """A measure that fails the job is not reached for documents that an earlier rule rejects, and is for others."""
+    rows = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    dear = rules.Rule("dear", lambda m: F.raise_error(F.concat(F.lit("reached "), m["n_words"])).cast("boolean"))
+    cheap = rules.Rule("cheap", lambda m: m["n_words"] < 50)
+    kept = lambda order: rows.filter(rules.bind(rules.words_of(F.col("text")), lambda w: rules.cascade(order, rules.measures(rules._text(), w))))
+    assert kept([cheap, dear]).count() == 0
+    with pytest.raises(Exception, match="reached"):
+        kept([dear, cheap]).count()
+
+
 # ---- suffixes ---------------------------------------------------------------------------------------------------
 
 def test_suffix_array_is_sorted():
@@ -176,9 +189,9 @@ def test_suffix_array_is_sorted():
         assert got == sorted(range(len(data)), key=lambda i: data[i:])
 
 
-@pytest.mark.parametrize("hot", [8192, 1])
+@pytest.mark.parametrize("hot", [suffixes.HOT_BYTES, 1])
 def test_repeated_bytes(docs, empty, hot):
-    """With hot = 1 every value with several regions is counted by windows instead of sorted."""
+    """With hot = 1 byte every value with several regions is counted by windows instead of sorted."""
     texts = [(i, t.encode()) for i, t in plain(docs)]
     seen = Counter(t[k:k + 400] for _, t in texts for k in range(len(t) - 399))
     want = []
@@ -189,7 +202,7 @@ def test_repeated_bytes(docs, empty, hot):
                 gone[k:k + 400] = True
         edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int)))) == 1)
         want.append((i, len(t), int(gone.sum()), len(edges), hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
-    got = suffixes.removed(docs, hot_regions=hot, batch_bytes=5000)
+    got = suffixes.removed(docs, hot_bytes=hot, batch_bytes=5000)
     same_rows([tuple(r)[:5] for r in got.collect()], want)
     assert suffixes.removed(empty).count() == 0
 
