@@ -3,10 +3,15 @@
 A suffix array of all texts is no unit of distributed work, so the texts are cut into regions first, without losing a match. The
 smallest hash of the 32-byte grams inside a window of ``length`` bytes is the window's value; neighbouring windows with one value
 form a region. Equal windows have equal values, so all that can be equal lies in regions of one value. Regions whose value stands
-alone are done. Of equal regions every byte is repeated, wherever they stand. What is left, the different regions of one value, goes
+alone are done. Of equal regions every byte is repeated, wherever they stand. Of the different regions of one value only those can have
+a string in common that have the same 184 bytes on the left or on the right of the value's gram, since a window reaches that far on
+one side of it; the others are done too (values whose gram stands twice in a region are left as they are). What is left goes
 through suffix arrays: two-stage sorting (suffixes smaller than their successors are sorted directly, all others induced by bucket
-scans) and the common prefixes of neighbours. A value with very many different regions - a passage that a third of all documents
-quotes, each in its own surroundings - is not brought to one task: its windows are counted by their hashes, in two steps.
+scans) and the common prefixes of neighbours. A value with very many bytes in different regions - a passage that a third of all
+documents quotes, each in its own surroundings - is not brought to one task: its windows are counted by two 64-bit hashes, in two steps.
+
+Null text is empty; empty and short texts have no regions. Very long texts are read whole, in tasks of few texts. Repeated rows are
+copies of each other. Ties do not arise. An empty table gives no rows; extra columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.session import stage
+from barloom.session import stage, unstage
 
 LENGTH = 400
 GRAM = 32
@@ -27,8 +32,8 @@ GRAM = 32
 REGION = 4096
 #: Bytes of regions in one suffix array.
 BATCH_BYTES = 2 << 20
-#: Different regions of one value beyond which they are counted by windows.
-HOT_REGIONS = 8192
+#: Bytes in the different regions of one value beyond which they are counted by windows.
+HOT_BYTES = 8 << 20
 #: Windows that share the first of the two counting steps.
 STEP = 32
 
@@ -56,8 +61,12 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:len(m) - (width - w)], m[width - w:]) if width > w else m
 
 
-def regions(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int, int, bool]]:
-    """(value, hash high, hash low, start, bytes, whether the value stands there twice) of each region of a text."""
+def regions(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int, int, bool, int | None, int | None]]:
+    """(value, hash high, hash low, start, bytes, whether the value stands there twice, left, right) of each region of a text.
+
+    ``left`` and ``right`` are hashes of the bytes beside the value's gram that every window reaches on one of the two sides; null
+    where the region has not so many there.
+    """
     if len(data) < length:
         return []
     h = gram_hashes(np.frombuffer(data, np.uint8))
@@ -65,25 +74,30 @@ def regions(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int,
     m = window_minima(h, width)
     starts = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1))
     ends = np.append(starts[1:], len(m))
-    out, digest = [], xxhash.xxh3_128_intdigest
+    out, digest, short = [], xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
+    side = -(-(length - GRAM) // 2)
     for s, e, v in zip(starts.tolist(), ends.tolist(), m[starts].tolist()):
+        gram = s + int((h[s:s + width] == np.uint64(v)).argmax())
+        left = short(data[gram - side:gram]) if gram - side >= s else None
+        right = short(data[gram + GRAM:gram + GRAM + side], 1) if gram + GRAM + side <= e - 1 + length else None
         twice = e - s > 1 and np.count_nonzero(h[s:e - 1 + width] == np.uint64(v)) > 1
         for at in range(s, e, REGION):
             size = min(at + REGION, e) - at + length - 1
             d = digest(data[at:at + size])
-            out.append((v, d >> 64, d & 0xFFFFFFFFFFFFFFFF, at, size, twice))
+            out.append((v, d >> 64, d & 0xFFFFFFFFFFFFFFFF, at, size, twice, left, right))
     return out
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).astype(np.int64))
+def _signed(values: list[int | None]) -> pa.Array:
+    known = pa.array([v is None for v in values], pa.bool_()).to_numpy(zero_copy_only=False)
+    return pa.array(np.array([v or 0 for v in values], np.uint64).astype(np.int64), mask=known)
 
 
 def _utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-REGIONS = "doc_id long, text_key long, value long, high long, low long, start long, size long, twice boolean"
+REGIONS = "doc_id long, text_key long, value long, high long, low long, start long, size long, twice boolean, left long, right long"
 
 
 def all_regions(texts: DataFrame, length: int) -> DataFrame:
@@ -97,10 +111,11 @@ def all_regions(texts: DataFrame, length: int) -> DataFrame:
                     rows += found
                     docs += [doc] * len(found)
                     keys += [key] * len(found)
-                v, hi, lo, start, size, twice = zip(*rows) if rows else ([],) * 6
+                v, hi, lo, start, size, twice, left, right = zip(*rows) if rows else ([],) * 8
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), _signed(v), _signed(hi), _signed(lo), pa.array(start, pa.int64()),
-                     pa.array(size, pa.int64()), pa.array(twice, pa.bool_())], ["doc_id", "text_key", "value", "high", "low", "start", "size", "twice"])
+                     pa.array(size, pa.int64()), pa.array(twice, pa.bool_()), _signed(left), _signed(right)],
+                    ["doc_id", "text_key", "value", "high", "low", "start", "size", "twice", "left", "right"])
 
     return texts.select("doc_id", "text_key", "text").mapInArrow(run, REGIONS)
 
@@ -309,7 +324,7 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BATCH_BYTES, hot_regions: int = HOT_REGIONS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BATCH_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, text, spans) per document: spans (start, end) in UTF-8 bytes, unmerged and unordered, null where nothing repeats.
 
     Null text is empty. Repeated rows are copies of each other. A document is known by doc_id and a hash of its text.
@@ -321,15 +336,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
         F.count("*").alias("n"), F.max("twice").alias("twice"),
         ((F.min("high") != F.max("high")) | (F.min("low") != F.max("low"))).alias("several"))
     values = stage(values.filter("n > 1 or twice").select(
-        "value", (F.col("several") | F.col("twice")).alias("several")), "values")
+        "value", (F.col("several") | F.col("twice")).alias("several"), F.col("twice").alias("any_twice")), "values")
     met = stage(found.join(values, "value"), "met")
+    unstage(found)
+    unstage(values)
     plain = met.filter("not several").select(*key, "start", (F.col("start") + F.col("size")).alias("end"))
     differ = met.filter("several")
-    distinct = stage(differ.groupBy(*whole).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*key, "start", "size")]), "distinct")
+    distinct = stage(differ.groupBy(*whole).agg(F.count("*").alias("n"), *[
+        F.first(c).alias(c) for c in (*key, "start", "size", "left", "right", "any_twice")]), "distinct")
     many = distinct.filter("n > 1").select(*whole)
     copied = differ.join(many, whole).select(*key, "start", (F.col("start") + F.col("size")).alias("end"))
 
-    wanted = distinct.groupBy(*key).agg(F.collect_list(F.struct(*whole, "start", "size")).alias("wanted")).withColumnsRenamed(
+    sides = distinct.select(*whole, "any_twice", F.posexplode(F.array("left", "right")).alias("side", "beside"))
+    alike = sides.filter("beside is not null").groupBy("value", "side", "beside").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    may = sides.filter("not any_twice").join(alike, ["value", "side", "beside"], "left_semi").select(*whole).unionByName(
+        distinct.filter("any_twice").select(*whole)).distinct()
+    met_again = stage(distinct.join(may, whole, "left_semi"), "alike")
+
+    wanted = met_again.groupBy(*key).agg(F.collect_list(F.struct(*whole, "start", "size")).alias("wanted")).withColumnsRenamed(
         {"doc_id": "w_doc", "text_key": "w_key"})
     held = texts.join(wanted, _same(F.col("doc_id"), F.col("w_doc")) & (F.col("text_key") == F.col("w_key"))).select("text", "wanted")
 
@@ -346,13 +370,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
                                                   pa.array(c, pa.binary())], ["value", "high", "low", "content"])
 
     contents = stage(held.mapInArrow(cut, "value long, high long, low long, content binary"), "contents")
-    hot = stage(distinct.groupBy("value").count().filter(F.col("count") > hot_regions).select("value"), "hot")
+    hot = stage(met_again.groupBy("value").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > hot_bytes).select("value"), "hot")
     if hot.isEmpty():
         spans = _solved(contents, length, batch_bytes)
     else:
         spans = _solved(contents.join(hot, "value", "left_anti"), length, batch_bytes).unionByName(
             _counted(contents.join(hot, "value"), length))
-    alone = stage(spans, "spans").withColumnsRenamed({"start": "from", "end": "to"}).join(distinct.filter("n = 1"), whole).select(
+    spans = stage(spans, "spans")
+    unstage(contents)
+    alone = spans.withColumnsRenamed({"start": "from", "end": "to"}).join(distinct.filter("n = 1"), whole).select(
         *key, (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
     covered = plain.unionByName(copied).unionByName(alone).groupBy(*key).agg(
         F.collect_list(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "c_doc", "text_key": "c_key"})
@@ -370,7 +396,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def removed(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BATCH_BYTES, hot_regions: int = HOT_REGIONS) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BATCH_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, spans (start, end)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -391,5 +417,5 @@ def removed(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BATCH_BYTE
                         pa.struct([("start", pa.int64()), ("end", pa.int64())]))))],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return repeated_spans(docs, length, batch_bytes, hot_regions).mapInArrow(
+    return repeated_spans(docs, length, batch_bytes, hot_bytes).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
