@@ -18,7 +18,7 @@ from barloom.registry.snippets import r, rs
 from barloom.session import fresh_dir, stage
 from barloom.sources import bars as bar_source
 from barloom.sources.bindings import brand_number, filings, stored_bars, table, universe
-from barloom.streaming import quotes as st, state, stories
+from barloom.streaming import alerts as alert_stream, quotes as st, state, stories
 from barloom.streaming.feed import in_parts, save_batches
 
 
@@ -57,6 +57,28 @@ def last_session(spark, sf_dir):
     return bars.select("symbol", F.date_format("bar_start", "yyyy-MM-dd HH:mm").alias("bar_start"), "o", "h", "l", "c", "v")
 
 
+PARTS = """parted AS (SELECT *, least(CASE WHEN ts < TIMESTAMP '2024-01-09' THEN 0 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END, 2) AS part,
+  time_bucket(INTERVAL 5 MINUTE, ts) AS s FROM events),
+marks AS (SELECT p AS part, (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM parted WHERE part < p) AS mark FROM (VALUES (0), (1), (2), (3)) AS t(p)),
+timely AS (SELECT e.*, coalesce(s + INTERVAL 5 MINUTE > mark, true) AS ok FROM parted e JOIN marks USING (part))"""
+
+
+@query("str03_final_bars", f"""WITH {PARTS} SELECT event_type AS symbol, strftime(s, '%Y-%m-%d %H:%M') AS bar_start, first(value ORDER BY ts, event_id) FILTER (ok) AS o, max(value) FILTER (ok) AS h,
+  min(value) FILTER (ok) AS l, last(value ORDER BY ts, event_id) FILTER (ok) AS c, count(*) FILTER (ok) AS n, count(*) FILTER (NOT ok) AS late
+FROM timely GROUP BY 1, 2, s HAVING count(*) FILTER (ok) > 0 AND s + INTERVAL 5 MINUTE <= (SELECT mark FROM marks WHERE part = 3)""")
+def final_bars(spark, sf_dir):
+    """Ticks come in three parts, a thirteenth of them a part too late; each bar is written once, when the watermark has passed it."""
+    out = fresh_dir(spark, "final")
+    ticks = event_ticks(spark, sf_dir, False).drop("user_id")
+    base = F.when(F.col("ts") < "2024-01-09", 0).when(F.col("ts") < "2024-01-20", 1).otherwise(2)
+    part = F.least(base + F.when(F.col("tick_id") % 13 == 0, 1).otherwise(0), F.lit(2))
+    in_parts(ticks, part, 3, lambda rows: st.final_bars(rows).writeStream.outputMode("append").foreachBatch(save_batches(out)))
+    bars = spark.read.parquet(out)
+    late = st.late_ticks(ticks, bars)
+    return bars.join(late, ["symbol", "bar_start"], "left").select(
+        "symbol", F.date_format("bar_start", "yyyy-MM-dd HH:mm").alias("bar_start"), "o", "h", "l", "c", "n", F.coalesce("late", F.lit(0)).alias("late"))
+
+
 def quote_ticks(spark, sf_dir, stream: bool) -> DataFrame:
     """One ticker per user; every third tick carries a signal, the others lack it."""
     k = F.col("tick_id")
@@ -103,6 +125,33 @@ def one_shot_alerts(spark, sf_dir):
     return done.join(ticks, ["symbol", "ts", "ltp"]).select("alert_id", "tick_id")
 
 
+@query("str02_level_alerts", """WITH t AS (SELECT event_id, ts, value, 'U' || user_id AS symbol, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS part FROM events),
+a AS (SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN (SELECT 'U' || min(user_id) FROM events) ELSE 'U' || user_id END AS symbol, event_id % 5 AS k, event_id % 120 AS lvl, event_id % 2 AS part FROM events WHERE event_id % 3 = 0),
+hits AS (SELECT id, event_id, ts FROM a JOIN t ON a.symbol = t.symbol AND t.part >= a.part WHERE CASE k WHEN 0 THEN value >= lvl WHEN 1 THEN value <= lvl
+  WHEN 2 THEN event_id % 3 = 0 AND event_id % 100 >= lvl WHEN 3 THEN event_id % 3 = 0 AND event_id % 100 <= lvl ELSE event_id % 3 = 0 AND event_id % 2 = lvl % 2 END)
+SELECT 'A' || id AS alert_id, arg_min(event_id, (ts, event_id)) AS tick_id FROM hits GROUP BY id""")
+def level_alerts(spark, sf_dir):
+    """An alert for every third event, a third of them on one symbol; alerts and ticks come in three parts."""
+    ticks = quote_ticks(spark, sf_dir, False)
+    first = table(spark, sf_dir, "events").agg(F.min("user_id").alias("u")).first()["u"]
+    e, k = F.col("event_id"), F.col("event_id") % 5
+    level = (e % 120).cast("string")
+    alerts = table(spark, sf_dir, "events").filter(e % 3 == 0).select(
+        F.concat(F.lit("A"), e).alias("alert_id"), F.concat(F.lit("U"), F.when(e % 9 == 0, first).otherwise(F.col("user_id"))).alias("symbol"),
+        F.when(k < 2, "price").when(k < 4, "rsi").otherwise("signal").alias("metric"), F.when((k == 1) | (k == 3), "below").otherwise("above").alias("condition"),
+        F.when(k < 4, level).when(e % 2 == 0, "BUY").otherwise("SELL").alias("value"), (e % 2).cast("int").alias("part"))
+    said = ticks.withColumn("part", F.when(F.col("ts") < "2024-01-11", 0).when(F.col("ts") < "2024-01-21", 1).otherwise(2))
+    both = said.unionByName(alerts, allowMissingColumns=True)
+    out = fresh_dir(spark, "fired")
+
+    def start(rows: DataFrame):
+        fired = alert_stream.level_alerts(rows.filter("alert_id is null"), rows.filter("alert_id is not null"))
+        return fired.writeStream.outputMode("append").foreachBatch(save_batches(out))
+
+    in_parts(both, F.col("part"), 3, start)
+    return spark.read.parquet(out).select("alert_id", "tick_id")
+
+
 @query("str04_session_quotes", """SELECT 'U' || user_id AS symbol, count(*) AS n FROM events WHERE isodow(ts + INTERVAL 330 MINUTE) < 6
   AND hour(ts + INTERVAL 330 MINUTE) * 60 + minute(ts + INTERVAL 330 MINUTE) BETWEEN 540 AND 929 GROUP BY 1""")
 def session_quotes(spark, sf_dir):

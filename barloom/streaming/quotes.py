@@ -1,4 +1,4 @@
-"""Live quotes, one-shot alerts, intraday bars and rolling news with Structured Streaming.
+"""Live quotes, one-shot alerts and intraday bars with Structured Streaming.
 
 Stateful parts are streaming aggregates (state per ticker or per bar) or ``foreachBatch`` merges whose output is
 keyed by batch, so a batch that runs again after a failure replaces its own result.
@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 
 from barloom.functions.clock import exchange_date, skip_quotes
 from barloom.functions.scalars import is_true
+from barloom.sources.bars import order_key
 
 
 # ---- quotes --------------------------------------------------------------------------------------------
@@ -50,6 +51,25 @@ def five_minute_bars(ticks: DataFrame, watermark: str | None = "10 minutes", wid
     ).select("symbol", F.col("window.start").alias("bar_start"), "o", "h", "l", "c", "v")
 
 
+def final_bars(ticks: DataFrame, watermark: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
+    """Bars of a stream that are finished by the watermark, for append mode: a bar comes once and never changes; ``n`` is its ticks.
+
+    Ticks that come after their bar is finished are not in it; ``late_ticks`` counts them. Ticks of one time are ordered by tick_id.
+    """
+    order = order_key((F.unix_micros("ts"), 18), (F.col("tick_id"), 19))
+    return ticks.withWatermark("ts", watermark).groupBy("symbol", F.window("ts", width)).agg(
+        F.min_by("price", order).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"),
+        F.max_by("price", order).alias("c"), F.sum("qty").alias("v"), F.count("*").alias("n"),
+    ).select("symbol", F.col("window.start").alias("bar_start"), "o", "h", "l", "c", "v", "n")
+
+
+def late_ticks(arrived: DataFrame, bars: DataFrame, width: str = "5 minutes") -> DataFrame:
+    """(symbol, bar_start, late): ticks that arrived for a finished bar (``final_bars``) but are not in it."""
+    came = arrived.groupBy("symbol", F.window("ts", width).start.alias("bar_start")).agg(F.count("*").alias("came"))
+    return came.join(bars.select("symbol", "bar_start", "n"), ["symbol", "bar_start"]).filter("came > n").select(
+        "symbol", "bar_start", (F.col("came") - F.col("n")).alias("late"))
+
+
 def last_session(bars: DataFrame) -> DataFrame:
     """Only the bars of each symbol's newest exchange date."""
     dated = bars.withColumn("_d", exchange_date(F.col("bar_start")))
@@ -99,7 +119,7 @@ def alert_latch(alerts: DataFrame, out: str) -> Callable[[DataFrame, int], None]
     return step
 
 
-# ---- history and news --------------------------------------------------------------------------------------------
+# ---- history --------------------------------------------------------------------------------------------
 
 def refresh_signals(history_path: str, signals_path: str, compute: Callable[[DataFrame], DataFrame],
                     upsert: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -130,24 +150,6 @@ def newest_signals(signals: DataFrame) -> DataFrame:
     return signals.groupBy("symbol").agg(F.max_by(payload, "batch_id").alias("p")).select("symbol", "p.*")
 
 
-def rolling_news(items_path: str, out: str, dedupe: Callable[[DataFrame], DataFrame], look_back_h: float = 48.0) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` step: stores the batch, then de-duplicates it together with the look-back before it."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        def save(df: DataFrame, path: str) -> None:
-            (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
-
-        spark = batch.sparkSession
-        save(batch, items_path)
-        known = spark.read.parquet(items_path).filter(F.col("batch_id") <= batch_id)
-        newest = known.filter(F.col("batch_id") == batch_id).agg(F.min("ts")).scalar()
-        recent = known.filter(F.unix_timestamp("ts") >= F.unix_timestamp(newest) - look_back_h * 3600).drop("batch_id")
-        save(dedupe(recent), out)
-
-    return step
-
-
 # ---- running ----------------------------------------------------------------------------------------------------------
 
 def run_to_end(query_writer, checkpoint: str) -> None:

@@ -13,6 +13,7 @@ from barloom.functions.event_rules import COMMON_ALIASES
 from barloom.operators import dedup
 from barloom.session import fresh_dir
 from barloom.streaming import state, stories
+from barloom.streaming.alerts import level_alerts
 from barloom.streaming.feed import in_parts, save_batches
 
 
@@ -146,3 +147,44 @@ def test_rolling_stories_equal_all_items_after_each_batch(spark):
     assert len(seen) == 3
     retired = stories.read(spark, out, "stories").filter("not live").select("story").distinct().collect()
     assert {x.story for x in retired} >= {11}                                     # 11 was a story of its own until 13 joined it to 10
+
+
+def test_level_alerts_by_brute_force(spark):
+    """Nulls, NaN, bad levels, equal times, an alert armed twice and one symbol with most alerts, over three parts."""
+    r = random.Random(9)
+    num = lambda hi: r.choice([None, float("nan"), round(r.uniform(0, hi), 1), round(r.uniform(0, hi), 1)])
+    t0, ticks, alerts = dt.datetime(2024, 6, 1), [], []
+    for i in range(240):
+        ticks.append((r.choice("AAAB"), t0 + timedelta(minutes=i // 3), i, num(100), num(100), r.choice([None, "STRONG BUY", "SELL", "NEUTRAL"]), i // 80))
+    for i in range(90):
+        metric = r.choice(["price", "rsi", "signal"])
+        value = r.choice(["BUY", "SELL", "NEUTRAL", "gone"]) if metric == "signal" else r.choice(["soon", str(r.randint(0, 130)), str(r.randint(40, 60))])
+        alerts.append((f"a{i}", r.choice("AAAAB"), metric, r.choice(["above", "below"]), value, i % 3))
+    alerts.append(alerts[0])
+
+    def fires(a, t):
+        _, _, metric, condition, value, _ = a
+        if metric == "signal":
+            return t[5] is not None and (t[5] == value or (value in ("BUY", "SELL") and value in t[5]))
+        seen = t[3] if metric == "price" else t[4]
+        if seen is None or np.isnan(seen) or value == "soon":
+            return False
+        return seen >= float(value) if condition == "above" else seen <= float(value)
+
+    want = {}
+    for a in alerts:
+        hit = next((t[2] for t in ticks if t[0] == a[1] and t[6] >= a[5] and fires(a, t)), None)
+        if hit is not None:
+            want[a[0]] = hit
+    said = spark.createDataFrame(ticks, "symbol string, ts timestamp, tick_id long, ltp double, rsi double, signal string, part int")
+    both = said.unionByName(spark.createDataFrame(alerts, "alert_id string, symbol string, metric string, condition string, value string, part int"),
+                            allowMissingColumns=True)
+    out = fresh_dir(spark, "fired")
+
+    def start(rows):
+        fired = level_alerts(rows.filter("alert_id is null"), rows.filter("alert_id is not null"), spread=3)
+        return fired.writeStream.outputMode("append").foreachBatch(save_batches(out))
+
+    in_parts(both.repartition(4), F.col("part"), 3, start)
+    got = spark.read.parquet(out).collect()
+    assert len(got) == len(want) > 30 and {x.alert_id: x.tick_id for x in got} == want
