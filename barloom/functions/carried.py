@@ -25,6 +25,20 @@ BAND_START, BAND_WIDTH = 10, 3.0
 SKIPPED = 14                                                  # the directional figure that is left out, counted from 0
 
 
+def smoothed_on(held: list[float], x: np.ndarray, period: int, alpha: float) -> tuple[np.ndarray, list[float]]:
+    """(means on each of the next values ``x``, what is held after them); held = [values seen, their sum before the first mean, the mean]."""
+    seen, total, value = held
+    out = np.full(len(x), np.nan)
+    head = min(len(x), max(0, period - int(seen)))
+    total += x[:head].sum()
+    if head and seen + head == period:
+        value = out[head - 1] = total / period
+    if seen + len(x) > period and head < len(x):
+        out[head:] = pd.Series(np.append(value, x[head:])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+        value = out[-1]
+    return out, [seen + len(x), total, value]
+
+
 @dataclass
 class State:
     """``means``: name -> [values seen, their sum, the mean]; nan where nothing is known."""
@@ -52,17 +66,7 @@ class State:
 
     def mean(self, name: str, x: np.ndarray) -> np.ndarray:
         """The exponential means on each of the next values ``x``."""
-        period, alpha = MEANS[name]
-        seen, total, value = self.means[name]
-        out = np.full(len(x), np.nan)
-        head = min(len(x), max(0, period - int(seen)))
-        total += x[:head].sum()
-        if head and seen + head == period:
-            value = out[head - 1] = total / period
-        if seen + len(x) > period and head < len(x):
-            out[head:] = pd.Series(np.append(value, x[head:])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
-            value = out[-1]
-        self.means[name] = [seen + len(x), total, value]
+        out, self.means[name] = smoothed_on(self.means[name], x, *MEANS[name])
         return out
 
     def mean_of_known(self, name: str, x: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from barloom.functions import event_rules as er
 from barloom.functions import fixed_values as fv
+from barloom.functions.literals import folded, may_match
 
 ANY_CASE = "(?iU)"
 
@@ -25,14 +26,17 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
-def rule_number(text: Column, rules: Sequence = er.RULES) -> Column:
-    """Index of the first rule with a matching pattern, -1 when none matches.
+def rule_number(text: Column, fold: Column | None = None, rules: Sequence = er.RULES) -> Column:
+    """Index of the first rule with a matching pattern, -1 when none matches; ``fold`` is ``folded(text)`` if it is there already.
 
-    Rules are tried in order and the rest is not evaluated once one matches.
+    Rules are tried in order and the rest is not evaluated once one matches. A pattern is tried only on texts that hold a word it needs.
     """
-    chain = F
+    chain, fold = F, folded(text) if fold is None else fold
     for i, rule in enumerate(rules):
-        chain = chain.when(search(text, "(?:" + "|".join(f"(?:{p})" for p in rule[4]) + ")"), F.lit(i))
+        hit = F.lit(False)
+        for pattern in rule[4]:
+            hit = hit | (may_match(fold, pattern) & search(text, pattern))
+        chain = chain.when(hit, F.lit(i))
     return chain.otherwise(F.lit(-1))
 
 
@@ -41,11 +45,11 @@ def of_rule(number: Column, position: int, rules: Sequence = er.RULES) -> Column
     return F.element_at(values, F.when(number < 0, F.lit(len(rules) + 1)).otherwise(number + 1))
 
 
-def matched_text(text: Column, number: Column, rules: Sequence = er.RULES) -> Column:
+def matched_text(text: Column, fold: Column, number: Column, rules: Sequence = er.RULES) -> Column:
     """What the deciding pattern hit: the first pattern of the rule, in order, that matches."""
     chain = F
     for i, rule in enumerate(rules):
-        chain = chain.when(number == i, F.coalesce(*[found(text, p) for p in rule[4]], F.lit("")))
+        chain = chain.when(number == i, F.coalesce(*[F.when(may_match(fold, p), found(text, p)) for p in rule[4]], F.lit("")))
     return chain.otherwise(F.lit(""))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.functions import event_rules as er
 from barloom.functions import text_events as te
 from barloom.functions.clock import local_time
+from barloom.functions.literals import folded
 from barloom.functions.scalars import drop_nulls, is_true
 from barloom.operators.history import price_reactions
 from barloom.operators.linking import DAY, first_at_or_after, follow_to_root, token_set_pairs
@@ -35,14 +36,14 @@ def classify(items: DataFrame) -> DataFrame:
     exchange = F.coalesce(F.col("source_type") == "exchange", F.lit(False))
     title = F.when(exchange, F.coalesce("title", F.lit(""))).otherwise(te.strip_publisher(F.col("title"), F.col("source")))
     one = items.withColumn("body", F.concat(title, F.lit(". "), F.coalesce("text", F.lit(""))))
-    two = one.withColumn("_flat", te.squeeze(F.col("body")))
-    three = two.withColumn("_rule", te.rule_number(F.col("_flat")))
+    two = one.withColumn("_flat", te.squeeze(F.col("body"))).withColumn("_fold", folded(F.col("_flat")))
+    three = two.withColumn("_rule", te.rule_number(F.col("_flat"), F.col("_fold")))
     update = (F.col("_rule") < 0) & F.lower(F.coalesce("category", F.lit(""))).contains("press release")
     pick = lambda i: F.when(update, F.lit(er.COMPANY_UPDATE[i])).otherwise(te.of_rule(F.col("_rule"), i))
     return three.select(
         *items.columns, "body", pick(0).alias("event_type"), pick(1).alias("event_label"),
         pick(2).alias("rule_direction"), pick(3).cast("double").alias("base_materiality"),
-        te.matched_text(F.col("_flat"), F.col("_rule")).alias("matched"))
+        te.matched_text(F.col("_flat"), F.col("_fold"), F.col("_rule")).alias("matched"))
 
 
 def order_percentages(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.functions import event_rules as er
 from barloom.functions import text_events as te
+from barloom.functions.literals import folded
 from barloom.operators import dedup, events, linking, screen
 from barloom.registry.core import query
 from barloom.registry.market import rounded
@@ -183,7 +184,8 @@ SELECT doc_id, {pick_sql('rule', 0)} AS event_type FROM c""")
 def classify_documents(spark, sf_dir):
     """Whole documents, up to their last word."""
     flat = spread(table(spark, sf_dir, "documents")).select("doc_id", te.squeeze(F.col("text")).alias("flat"))
-    return flat.select("doc_id", te.of_rule(te.rule_number(F.col("flat")), 0).alias("event_type"))
+    flat = flat.withColumn("fold", folded(F.col("flat")))
+    return flat.select("doc_id", te.of_rule(te.rule_number(F.col("flat"), F.col("fold")), 0).alias("event_type"))
 
 
 @query("evt02_strip_publisher", f"WITH {ITEMS} SELECT item_id, head AS title FROM items")

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.functions import text_events as te
+from barloom.functions.blocked import LONG_FIELDS, long_indicators
 from barloom.functions.folds import SERIES_FIELDS
 from barloom.operators import dedup
 from barloom.plans.screener import screener_signals
@@ -14,7 +15,7 @@ from barloom.registry.companies import SCREEN
 from barloom.registry.core import query
 from barloom.registry.events import REPS, brand_aliases, stop_list
 from barloom.registry.market import RECURSIVE, day, rounded
-from barloom.registry.snippets import r, rs
+from barloom.registry.snippets import BARS, r, rs
 from barloom.session import fresh_dir, stage
 from barloom.sources import bars as bar_source
 from barloom.sources.bindings import brand_number, filings, stored_bars, table, universe
@@ -57,6 +58,14 @@ def last_session(spark, sf_dir):
     return bars.select("symbol", F.date_format("bar_start", "yyyy-MM-dd HH:mm").alias("bar_start"), "o", "h", "l", "c", "v")
 
 
+@query("ind_long_series", f"""{RECURSIVE.replace(BARS, BARS5 + ", bars AS (SELECT symbol, s AS date, o, h, l, c, v FROM bars5)")}
+SELECT symbol, strftime(date, '%Y-%m-%d %H:%M') AS bar_start, {rs(*LONG_FIELDS, digits=5)} FROM series""")
+def long_series(spark, sf_dir):
+    """IND-02/03/05/08/09 on five-minute bars, a month of them per symbol, in blocks of two days."""
+    bars = st.five_minute_bars(event_ticks(spark, sf_dir, False), watermark=None).withColumnRenamed("bar_start", "ts")
+    return long_indicators(bars).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("bar_start"), *rounded(*LONG_FIELDS, digits=5))
+
+
 PARTS = """parted AS (SELECT *, least(CASE WHEN ts < TIMESTAMP '2024-01-09' THEN 0 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END, 2) AS part,
   time_bucket(INTERVAL 5 MINUTE, ts) AS s FROM events),
 marks AS (SELECT p AS part, (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM parted WHERE part < p) AS mark FROM (VALUES (0), (1), (2), (3)) AS t(p)),
