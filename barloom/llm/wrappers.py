@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm import dom
-from barloom.session import stage
+from barloom.session import stage, unstage
 
 #: A text that stands in this share of the different pages of a host, in one slot, is template.
 SHARE = 0.9
@@ -86,7 +86,10 @@ def alignments(shapes: DataFrame) -> DataFrame:
 
 
 def constants(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """(host, shape, template): the (node, hash of text) of a shape's blocks that are the same in nearly all pages of its host."""
+    """(host, shape, template): the (node, hash of text) of a shape's blocks that are the same in nearly all pages of its host.
+
+    Stored, so that the planner sees how small it is and need not move the pages to join it.
+    """
     hashes = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("value"))))
     different = pages.filter("host is not null").withColumn("hashes", hashes).groupBy(
         "host", "shape", F.xxhash64("blocks").alias("content")).agg(F.first("hashes").alias("hashes"), F.first("skeleton").alias("skeleton"))
@@ -99,7 +102,10 @@ def constants(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
     fixed = placed.groupBy("host", "slot", "value").agg(F.sum("n").alias("n")).join(hosts, "host").filter(F.col("n") >= share * F.col("pages"))
     fixed = fixed.groupBy("host").agg(F.collect_list(F.struct("slot", "value")).alias("fixed"))
     template = F.transform("fixed", lambda x: F.struct((F.array_position("slots", x["slot"]) - 1).cast("int").alias("node"), x["value"].alias("value")))
-    return aligned.join(fixed, "host").select("host", "shape", template.alias("template"))
+    out = stage(aligned.join(fixed, "host").select("host", "shape", template.alias("template")), "template")
+    for old in (different, aligned):
+        unstage(old)
+    return out
 
 
 def main_text(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
