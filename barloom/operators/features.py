@@ -220,3 +220,17 @@ def recent_sessions(delivery: DataFrame, sessions: int = 25, at_least: int = 0)
     newest = delivery.select("date").distinct().orderBy(F.col("date").desc()).limit(sessions)
     first = newest.agg(F.when(F.count(F.lit(1)) >= at_least, F.min("date"))).scalar()
     return delivery.filter(F.col("date") >= first)
+
+
+def recent_stored_sessions(delivery: DataFrame, sessions: int = 25, at_least: int = 0) -> DataFrame:
+    """As ``recent_sessions`` for rows stored by ``month``: only the newest months are read, as many as hold ``sessions`` dates.
+
+    Which months there are is known without reading rows. They are asked for newest first, twice as many each time.
+    """
+    months = [r["month"] for r in delivery.select("month").distinct().orderBy(F.desc("month")).collect()]     # bounded by the calendar
+    n = 2
+    while True:
+        newest = delivery.filter(F.col("month").isin(months[:n]))
+        if n >= len(months) or newest.select("date").distinct().count() >= max(sessions, at_least):
+            return recent_sessions(newest, sessions, at_least).drop("month")
+        n *= 2

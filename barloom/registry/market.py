@@ -9,8 +9,9 @@ from barloom.functions.folds import SERIES_FIELDS, indicator_series
 from barloom.operators import features, scoring
 from barloom.registry.core import query
 from barloom.registry.snippets import ALL_FEATURES, BARS, MARKET, RSI_EXP, SECTORS, TICKS, UNIVERSE, r, rs
-from barloom.sources import bars as bar_source
-from barloom.sources.bindings import bars_daily, market_index, stored_bars, sector_index, trade_ticks, universe
+from barloom.session import fresh_dir
+from barloom.sources import bars as bar_source, sinks
+from barloom.sources.bindings import bars_daily, market_index, monthly_bars, stored_bars, sector_index, trade_ticks, universe
 
 
 def rounded(*names: str, digits: int = 6) -> list:
@@ -60,14 +61,14 @@ both_ AS (SELECT * FROM stored UNION ALL SELECT * FROM fetched)
 SELECT symbol, CAST(date AS VARCHAR) AS date, o, h, l, c, v, load_ts FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY load_ts DESC) AS n FROM both_) WHERE n = 1""")
 def history_upsert(spark, sf_dir):
-    """Stored history to the end of 2000, then a refetch that starts 7 days before each symbol's last bar."""
-    bars = bars_daily(spark, sf_dir)
-    stored = bars.filter("date <= '2000-12-31'").withColumn("load_ts", F.lit(1))
-    start = bar_source.refetch_from(stored)
+    """History stored by month to the end of 2000, then a refetch from 7 days before each symbol's last bar; old months are not touched."""
+    bars, path = stored_bars(spark, sf_dir), fresh_dir(spark, "history")
+    sinks.write_bars(bars.filter("date <= '2000-12-31'").withColumn("load_ts", F.lit(1)), path)
+    start = bar_source.refetch_from(sinks.read_bars(spark, path))
     fetched = bars.join(start, "symbol").filter("date >= from_date").drop("from_date") \
         .withColumns({"c": F.col("c") * 1.01, "load_ts": F.lit(2)})
-    return bar_source.upsert_bars(stored, fetched).select(
-        "symbol", day(), "o", "h", "l", "c", "v", "load_ts")
+    sinks.upsert_stored(fetched, path)
+    return sinks.read_bars(spark, path).select("symbol", day(), "o", "h", "l", "c", "v", "load_ts")
 
 
 @query("src04_panel", f"""WITH {BARS}, {MARKET}, kept AS (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) > 60),
@@ -97,7 +98,9 @@ def index_fill(spark, sf_dir):
 @query("src20_bar_export", f"""WITH {BARS} SELECT symbol, CAST(date AS VARCHAR) AS date, o, h, l, c, v FROM bars
 WHERE date BETWEEN DATE '2001-06-30' - 400 AND DATE '2001-06-30'""")
 def bar_export(spark, sf_dir):
-    return bar_source.export_window(bars_daily(spark, sf_dir), "2001-06-30", 400).select(
+    """From bars stored by month: only the months of the range are read."""
+    stored = sinks.read_bars(spark, monthly_bars(spark, sf_dir))
+    return sinks.between(stored, *bar_source.export_range("2001-06-30", 400)).orderBy("symbol", "date").select(
         "symbol", day(), "o", "h", "l", "c", "v")
 
 
@@ -169,7 +172,10 @@ def delivery_days(spark, sf_dir) -> DataFrame:
 @query("src08_recent_delivery", f"""WITH {DELIVERY} SELECT symbol, CAST(date AS VARCHAR) AS date,
   {rs('deliv_qty', 'traded_qty', 'deliv_pct')} FROM recent""")
 def recent_delivery(spark, sf_dir):
-    return features.recent_sessions(delivery_days(spark, sf_dir)).select(
+    """From delivery rows stored by month: the newest months alone say where the newest 25 dates begin."""
+    path = fresh_dir(spark, "delivery")
+    sinks.write_bars(delivery_days(spark, sf_dir), path)
+    return features.recent_stored_sessions(sinks.read_bars(spark, path)).select(
         "symbol", day(), *rounded("deliv_qty", "traded_qty", "deliv_pct"))
 
 

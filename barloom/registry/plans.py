@@ -14,10 +14,11 @@ from barloom.registry.core import query
 from barloom.registry.events import ITEMS, NOW, STORY, SUMMARY, brand_aliases, stop_list
 from barloom.registry.market import DELIVERY_TREND, RESULT_FEATURES, day, delivery_days, rounded, scanner_rows
 from barloom.registry.snippets import ALL_FEATURES, BARS, FEATURES, MARKET, RSI_EXP, TICKS, UNIVERSE, r, rs
-from barloom.session import fresh_dir
+from barloom.session import fresh_dir, stage
 from barloom.sources import feeds, sinks
 from barloom.sources.bindings import (
-    HOLIDAYS, INDEXES, TODAY, bars_daily, brand_master, brand_number, filings, index_bars, listings, market_index, meeting_rows, stored_bars, table,
+    HOLIDAYS, INDEXES, TODAY, bars_daily, brand_master, brand_number, filings, index_bars, listings, market_index, meeting_rows, monthly_bars,
+    stored_bars, table,
     trade_ticks, universe,
 )
 
@@ -145,7 +146,9 @@ def result_summary(spark, sf_dir):
 # ---- pre-result scan ---------------------------------------------------------------------------------------------
 
 def scan_rows(spark, sf_dir) -> DataFrame:
-    bars = stored_bars(spark, sf_dir)
+    path = monthly_bars(spark, sf_dir)
+    end = F.lit(TODAY).cast("date")
+    bars = sinks.between(sinks.read_bars(spark, path), F.date_sub(end, pre_result_scan.HISTORY_DAYS), end)
     members = universe(bars)
     calendar = merged_calendar(spark, sf_dir).drop("symbol").join(members.select("isin", "symbol"), "isin")
     return pre_result_scan.scan(
@@ -226,18 +229,28 @@ def news_feed(spark, sf_dir):
     return feed.select("story", "copies", (F.size("related_sources") + 1).cast("long").alias("sources"))
 
 
-@query("snk01_snk02_saved_runs", f"""WITH {BARS}, runs AS (SELECT year(date) AS y, count(*) AS n FROM bars GROUP BY 1 ORDER BY 1 DESC LIMIT 3)
-SELECT CAST(y AS VARCHAR) || '0101_000000' AS run_id, n AS rows, y || '-01-01' AS generated_at FROM runs""")
+@query("snk01_snk02_saved_runs", f"""WITH {BARS}, runs AS (SELECT CAST(year(date) AS VARCHAR) || '0101_000000' AS run_id, count(*) AS rows, CAST(year(date) AS VARCHAR) || '-01-01' AS generated_at,
+  round(sum(round(c, 4)), 1) AS closes FROM bars GROUP BY year(date)), numbered AS (SELECT *, row_number() OVER (ORDER BY run_id DESC) AS k FROM runs)
+SELECT 'kept 20' AS part, run_id, rows, generated_at, CAST(NULL AS DOUBLE) AS closes FROM numbered WHERE k <= 20
+UNION ALL SELECT 'latest', run_id, rows, generated_at, closes FROM numbered WHERE k = 1
+UNION ALL SELECT 'by id', run_id, rows, generated_at, closes FROM numbered WHERE run_id = '19960101_000000'
+UNION ALL SELECT 'kept 3', run_id, rows, generated_at, NULL FROM numbered WHERE k <= 3""")
 def saved_runs(spark, sf_dir):
-    """A run per calendar year of bars, all saved as JSON and CSV; the three newest are kept, listed and read back."""
+    """A run per calendar year of bars, one of them saved twice: listed with 20 kept, the latest and one by id read, and listed with 3 kept."""
     bars = stored_bars(spark, sf_dir).withColumns({"y": F.year("date"), "extra": F.array("o", "c")})
     root = fresh_dir(spark, "runs")
     years = table(spark, sf_dir, "lineitem").agg(F.year(F.min("l_shipdate")), F.year(F.max("l_shipdate"))).first()
+    sinks.save_run(bars.limit(7).drop("y"), root, "19960101_000000", "1996-01-01")
     for y in range(years[0], years[1] + 1):
         sinks.save_run(bars.filter(F.col("y") == y).drop("y"), root, f"{y}0101_000000", f"{y}-01-01")
-    sinks.drop_old_runs(spark, root, "json", keep=3)
-    saved = spark.read.option("mergeSchema", False).schema("symbol string, generated_at string, run_id string").json(f"{root}/json")
-    return sinks.list_runs(saved).select("run_id", "rows", "generated_at")
+    listed = lambda part, keep: sinks.list_runs(spark, root, keep).select(
+        F.lit(part).alias("part"), "run_id", "rows", "generated_at", F.lit(None).cast("double").alias("closes"))
+    read = lambda part, run: sinks.read_run(spark, root, run).groupBy(F.lit(part).alias("part"), "run_id").agg(
+        F.count("*").alias("rows"), F.max("generated_at").alias("generated_at"), F.round(F.sum("c"), 1).alias("closes"))
+    sinks.drop_old_runs(spark, root)
+    before = stage(listed("kept 20", None).unionByName(read("latest", "latest")).unionByName(read("by id", "19960101_000000")), "before")
+    sinks.drop_old_runs(spark, root, keep=3)
+    return before.unionByName(listed("kept 3", None))
 
 
 @query("jon14_quotes_joined", f"""WITH {BARS}, {UNIVERSE}, l AS (SELECT symbol, arg_max(c, date) AS ltp FROM bars GROUP BY symbol), alerts AS (SELECT c_custkey AS id, 'Brand#' || (1 + c_custkey % 30) AS symbol, abs(c_acctbal) AS level FROM customer)

@@ -94,8 +94,7 @@ def fill_index(index_bars: DataFrame, dates: DataFrame) -> DataFrame:
         "index_name", "date", F.last("c", ignorenulls=True).over(w).alias("close"))
 
 
-def export_window(bars: DataFrame, today: str, days: int) -> DataFrame:
-    """The bars of the last ``days`` calendar days, kept between 30 and 1100."""
-    span = min(max(int(days), 30), 1100)
-    start = F.date_sub(F.to_date(F.lit(today)), span)
-    return bars.filter(F.col("date").between(start, F.to_date(F.lit(today)))).orderBy("symbol", "date")
+def export_range(today: str, days: int) -> tuple[Column, Column]:
+    """First and last date of an export: the last ``days`` calendar days, kept between 30 and 1100."""
+    end = F.to_date(F.lit(today))
+    return F.date_sub(end, min(max(int(days), 30), 1100)), end

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.session import stage
+from barloom.session import fresh_dir, stage
 from barloom.sources.bars import order_key, roll_up_ticks
+from barloom.sources.sinks import write_bars
 
 TODAY = "2001-06-30"
 
@@ -48,6 +49,13 @@ def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(bars_daily(spark, sf_dir))
 
 
+def monthly_bars(spark: SparkSession, sf_dir: str) -> str:
+    """The daily bars stored by month (``sinks.write_bars``); returns their path."""
+    path = fresh_dir(spark, "bars")
+    write_bars(bars_daily(spark, sf_dir), path)
+    return path
+
+
 def brand_number(symbol: Column) -> Column:
     return F.substring_index(symbol, "#", -1).cast("int")
 

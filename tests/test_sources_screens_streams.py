@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import joins, screen, sectors
+from barloom.operators import features, joins, screen, sectors
 from barloom.session import fresh_dir
 from barloom.sources import feeds, sinks
 from barloom.streaming import quotes as st
@@ -105,13 +105,59 @@ def test_strict_clean_and_runs(spark):
     r = sinks.strict_clean(df).first()
     assert (r["x"], r["y"], r["z"]) == (None, [None, 0.1235], {"k": 7.0, "m": None})
     root = fresh_dir(spark, "runs")
+    assert sinks.read_run(spark, root) is None and sinks.list_runs(spark, root).count() == 0
     for day in range(1, 5):
         sinks.save_run(df, root, f"2026010{day}_000000", f"2026-01-0{day}")
-    saved = spark.read.json(f"{root}/json")
-    assert sinks.read_run(saved).select("generated_at").first()[0] == "2026-01-04"
-    assert {r[0] for r in sinks.kept_runs(saved, 2).select("run_id").distinct().collect()} == {"20260103_000000", "20260104_000000"}
-    assert sinks.drop_old_runs(spark, root, "json", keep=3) == ["20260101_000000"]
-    assert sinks.list_runs(spark.read.json(f"{root}/json")).count() == 3
+    assert sinks.read_run(spark, root).select("generated_at").first()[0] == "2026-01-04"
+    assert sinks.read_run(spark, root, "20260102_000000", "csv").select("generated_at").first()[0] == "2026-01-02"
+    assert sinks.read_run(spark, root, "20990101_000000") is None
+    assert [r["run_id"] for r in sinks.list_runs(spark, root, 2).collect()] == ["20260104_000000", "20260103_000000"]
+    assert sinks.drop_old_runs(spark, root, keep=3) == ["20260101_000000"]
+    assert sinks.list_runs(spark, root).count() == 3 and sinks.read_run(spark, root, "20260101_000000") is None
+
+
+def test_unfinished_saves_are_never_seen(spark):
+    root = fresh_dir(spark, "runs")
+    one = spark.createDataFrame([("a", 1.0)], "s string, x double")
+    sinks.save_run(one, root, "r1", "first")
+    bad = one.select("s", F.raise_error(F.lit("lost")).cast("double").alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.save_run(bad, root, "r1", "second")
+    one.withColumn("generated_at", F.lit("third")).write.json(f"{root}/data/run_id=r2/save=torn/json")       # files without a manifest row
+    assert [(r["run_id"], r["generated_at"]) for r in sinks.list_runs(spark, root).collect()] == [("r1", "first")]
+    assert sinks.read_run(spark, root).select("generated_at").first()[0] == "first"
+    sinks.save_run(one.union(one), root, "r1", "fourth")
+    assert [tuple(r) for r in sinks.list_runs(spark, root).collect()] == [("r1", "fourth", 2)]
+    assert sinks.read_run(spark, root, "r1").count() == 2
+    sinks.drop_old_runs(spark, root)
+    assert sinks.read_run(spark, root, "r1").count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.json(f"{root}/data/run_id=r2/save=torn/json")
+
+
+def test_bars_by_month(spark):
+    """An upsert rewrites the months it touches and no other; a date range reads its months only."""
+    rows = [("A", dt.date(2024, m, d), float(m), 1) for m in range(1, 7) for d in (1, 15)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, c double, load_ts int").withColumns({f: F.col("c") for f in "ohlv"})
+    path = fresh_dir(spark, "bars")
+    sinks.write_bars(bars, path)
+    files = lambda: {f.rsplit("/", 2)[1]: f for f in sinks.read_bars(spark, path).inputFiles()}
+    before = files()
+    new = bars.filter("date in ('2024-05-15', '2024-06-15')").withColumns({"c": F.lit(9.0), "load_ts": F.lit(2)})
+    later = new.limit(1).withColumn("date", F.lit("2024-07-01").cast("date"))
+    assert sinks.upsert_stored(new.unionByName(later), path) == ["2024-05", "2024-06", "2024-07"]
+    after = files()
+    assert {m for m in after if after[m] != before.get(m)} == {"month=2024-05", "month=2024-06", "month=2024-07"}
+    stored = {(r["date"], r["c"], r["load_ts"]) for r in sinks.read_bars(spark, path).collect()}
+    assert len(stored) == 13 and (dt.date(2024, 6, 15), 9.0, 2) in stored and (dt.date(2024, 6, 1), 6.0, 1) in stored
+    part = sinks.between(sinks.read_bars(spark, path), F.lit("2024-02-10").cast("date"), F.lit("2024-03-20").cast("date"))
+    assert sorted(r["date"].month for r in part.collect()) == [2, 3, 3]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2024-02" in plan and "2024-03" in plan
+    newest = features.recent_stored_sessions(sinks.read_bars(spark, path), 4)
+    assert sorted(r["date"] for r in newest.collect()) == [dt.date(2024, 5, 15), dt.date(2024, 6, 1), dt.date(2024, 6, 15), dt.date(2024, 7, 1)]
+    assert "month" in newest._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1][:20]
+    assert features.recent_stored_sessions(sinks.read_bars(spark, path), 25).count() == 13
 
 
 def test_fundamentals_upsert(spark):
