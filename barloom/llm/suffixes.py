@@ -34,6 +34,8 @@ REGION = 4096
 BATCH_BYTES = 2 << 20
 #: Bytes in the different regions of one value beyond which they are counted by windows.
 HOT_BYTES = 8 << 20
+#: Bytes that are compared at a time in a suffix array; strings are at least as long.
+BLOCK = 64
 #: Windows that share the first of the two counting steps.
 STEP = 32
 
@@ -61,12 +63,8 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:len(m) - (width - w)], m[width - w:]) if width > w else m
 
 
-def regions(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int, int, bool, int | None, int | None]]:
-    """(value, hash high, hash low, start, bytes, whether the value stands there twice, left, right) of each region of a text.
-
-    ``left`` and ``right`` are hashes of the bytes beside the value's gram that every window reaches on one of the two sides; null
-    where the region has not so many there.
-    """
+def regions(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int, int, bool]]:
+    """(value, hash high, hash low, start, bytes, whether the value stands there twice) of each region of a text."""
     if len(data) < length:
         return []
     h = gram_hashes(np.frombuffer(data, np.uint8))
@@ -74,20 +72,29 @@ def regions(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int,
     m = window_minima(h, width)
     starts = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1))
     ends = np.append(starts[1:], len(m))
-    out, digest, short = [], xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
-    side = -(-(length - GRAM) // 2)
+    out, digest = [], xxhash.xxh3_128_intdigest
     for s, e, v in zip(starts.tolist(), ends.tolist(), m[starts].tolist()):
-        gram = s + int((h[s:s + width] == np.uint64(v)).argmax())
-        left = short(data[gram - side:gram]) if gram - side >= s else None
-        right = short(data[gram + GRAM:gram + GRAM + side], 1) if gram + GRAM + side <= e - 1 + length else None
         twice = e - s > 1 and np.count_nonzero(h[s:e - 1 + width] == np.uint64(v)) > 1
         for at in range(s, e, REGION):
             size = min(at + REGION, e) - at + length - 1
             d = digest(data[at:at + size])
-            out.append((v, d >> 64, d & 0xFFFFFFFFFFFFFFFF, at, size, twice, left, right))
+            out.append((v, d >> 64, d & 0xFFFFFFFFFFFFFFFF, at, size, twice))
     return out
 
 
+def sides(content: bytes, value: int, length: int) -> tuple[int | None, int | None]:
+    """Hashes of the bytes on the left and on the right of the value's first gram, as many as a window reaches on one side at least.
+
+    Null where the region has not so many there.
+    """
+    h = gram_hashes(np.frombuffer(content, np.uint8))
+    gram = int((h == np.uint64(value % (1 << 64))).argmax())
+    reach = -(-(length - GRAM) // 2)
+    short = xxhash.xxh3_64_intdigest
+    return (short(content[gram - reach:gram]) if gram >= reach else None,
+            short(content[gram + GRAM:gram + GRAM + reach], 1) if gram + GRAM + reach <= len(content) else None)
+
+
 def _signed(values: list[int | None]) -> pa.Array:
     known = pa.array([v is None for v in values], pa.bool_()).to_numpy(zero_copy_only=False)
     return pa.array(np.array([v or 0 for v in values], np.uint64).astype(np.int64), mask=known)
@@ -97,7 +104,7 @@ def _utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-REGIONS = "doc_id long, text_key long, value long, high long, low long, start long, size long, twice boolean, left long, right long"
+REGIONS = "doc_id long, text_key long, value long, high long, low long, start long, size long, twice boolean"
 
 
 def all_regions(texts: DataFrame, length: int) -> DataFrame:
@@ -111,11 +118,11 @@ def all_regions(texts: DataFrame, length: int) -> DataFrame:
                     rows += found
                     docs += [doc] * len(found)
                     keys += [key] * len(found)
-                v, hi, lo, start, size, twice, left, right = zip(*rows) if rows else ([],) * 8
+                v, hi, lo, start, size, twice = zip(*rows) if rows else ([],) * 6
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), _signed(v), _signed(hi), _signed(lo), pa.array(start, pa.int64()),
-                     pa.array(size, pa.int64()), pa.array(twice, pa.bool_()), _signed(left), _signed(right)],
-                    ["doc_id", "text_key", "value", "high", "low", "start", "size", "twice", "left", "right"])
+                     pa.array(size, pa.int64()), pa.array(twice, pa.bool_())],
+                    ["doc_id", "text_key", "value", "high", "low", "start", "size", "twice"])
 
     return texts.select("doc_id", "text_key", "text").mapInArrow(run, REGIONS)
 
@@ -142,27 +149,52 @@ def smaller_than_next(data: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
-def sorted_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in order of their suffixes, compared up to ``depth`` bytes, eight at a time, ties only."""
-    n = len(words) - 1
-    key = words[at]
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks 1, 2, ... of the keys; equal keys have equal ranks."""
+    order = np.argsort(keys)
+    new = np.append(1, keys[order[1:]] != keys[order[:-1]])
+    ranks = np.empty(len(keys), np.int64)
+    ranks[order] = np.cumsum(new)
+    return ranks
+
+
+def block_ranks(data: np.ndarray) -> np.ndarray:
+    """The rank of the BLOCK bytes from each position on among all of them, 0 beyond the end; built by doubling from eight bytes."""
+    n = len(data)
+    ranks = np.append(_dense(_words(data)[:n]), 0)
+    width = 8
+    while width < BLOCK:
+        ranks = np.append(_dense(ranks[:n] * (n + 2) + ranks[np.minimum(np.arange(width, n + width), n)]), 0)
+        width *= 2
+    return ranks
+
+
+def _offsets(depth: int) -> list[int]:
+    """Where blocks start that together cover ``depth`` bytes; the last one may overlap the one before it."""
+    return [*range(0, depth - BLOCK, BLOCK), max(0, depth - BLOCK)]
+
+
+def sorted_directly(ranks: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in order of their suffixes, compared up to ``depth`` bytes (one block at least), a block at a time, ties only."""
+    n = len(ranks) - 1
+    key = ranks[at]
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
     head = np.concatenate(([True], key[1:] != key[:-1]))
-    for d in range(8, depth, 8):
+    for d in _offsets(depth)[1:]:
         tied = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(tied):
             break
         group = np.cumsum(head)[tied]
-        key = words[np.minimum(at[tied] + d, n)]
-        order = np.lexsort((key, group))
+        key = group * (n + 2) + ranks[np.minimum(at[tied] + d, n)]
+        order = np.argsort(key, kind="stable")
         at[tied] = at[tied][order]
         key = key[order]
-        head[tied[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        head[tied[1:]] |= key[1:] != key[:-1]
     return at
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(data: np.ndarray, depth: int, ranks: np.ndarray | None = None) -> np.ndarray:
     """All suffixes in order (up to ``depth`` bytes) by two-stage sorting.
 
     A bucket holds the suffixes with one first byte: first the larger-than-next ones, then the smaller-than-next ones. Buckets are
@@ -170,8 +202,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(data)
     small = smaller_than_next(data)
-    words = _words(data)
-    direct = sorted_directly(words, np.flatnonzero(small), depth)
+    direct = sorted_directly(block_ranks(data) if ranks is None else ranks, np.flatnonzero(small), depth)
     starts = np.searchsorted(data[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[data[-1]].append(np.array([n - 1]))                    # the last suffix is larger than the empty one
@@ -213,18 +244,12 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    sa = suffix_array(data, length)
-    whole = ends[owner[sa]] - 1 - sa >= length
-    sa = sa[whole]
-    words = _words(data)
+    ranks = block_ranks(data)
+    sa = suffix_array(data, length, ranks)
+    sa = sa[ends[owner[sa]] - 1 - sa >= length]
     same = np.arange(len(sa) - 1)
-    tail = length % 8
-    for d in range(0, length - tail, 8):                            # common prefixes of neighbours, survivors only
-        same = same[words[sa[same] + d] == words[sa[same + 1] + d]]
-    if tail and len(same):
-        shift = np.uint64(64 - 8 * tail)
-        d = length - tail
-        same = same[words[sa[same] + d] >> shift == words[sa[same + 1] + d] >> shift]
+    for d in _offsets(length):                                      # common prefixes of neighbours, survivors only
+        same = same[ranks[sa[same] + d] == ranks[sa[same + 1] + d]]
     hit = np.unique(np.concatenate((sa[same], sa[same + 1])))
     cuts = np.searchsorted(hit, ends[:-1])
     begins = np.concatenate(([0], ends[:-1]))
@@ -343,17 +368,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
     plain = met.filter("not several").select(*key, "start", (F.col("start") + F.col("size")).alias("end"))
     differ = met.filter("several")
     distinct = stage(differ.groupBy(*whole).agg(F.count("*").alias("n"), *[
-        F.first(c).alias(c) for c in (*key, "start", "size", "left", "right", "any_twice")]), "distinct")
+        F.first(c).alias(c) for c in (*key, "start", "size", "any_twice")]), "distinct")
     many = distinct.filter("n > 1").select(*whole)
     copied = differ.join(many, whole).select(*key, "start", (F.col("start") + F.col("size")).alias("end"))
 
-    sides = distinct.select(*whole, "any_twice", F.posexplode(F.array("left", "right")).alias("side", "beside"))
-    alike = sides.filter("beside is not null").groupBy("value", "side", "beside").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    may = sides.filter("not any_twice").join(alike, ["value", "side", "beside"], "left_semi").select(*whole).unionByName(
-        distinct.filter("any_twice").select(*whole)).distinct()
-    met_again = stage(distinct.join(may, whole, "left_semi"), "alike")
-
-    wanted = met_again.groupBy(*key).agg(F.collect_list(F.struct(*whole, "start", "size")).alias("wanted")).withColumnsRenamed(
+    wanted = distinct.groupBy(*key).agg(F.collect_list(F.struct(*whole, "start", "size", "any_twice")).alias("wanted")).withColumnsRenamed(
         {"doc_id": "w_doc", "text_key": "w_key"})
     held = texts.join(wanted, _same(F.col("doc_id"), F.col("w_doc")) & (F.col("text_key") == F.col("w_key"))).select("text", "wanted")
 
@@ -364,18 +383,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
                 rows = []
                 for text, some in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist()):
                     data = _utf8(text)
-                    rows += [(x["value"], x["high"], x["low"], data[x["start"]:x["start"] + x["size"]]) for x in some]
-                v, hi, lo, c = zip(*rows) if rows else ([],) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
-                                                  pa.array(c, pa.binary())], ["value", "high", "low", "content"])
-
-    contents = stage(held.mapInArrow(cut, "value long, high long, low long, content binary"), "contents")
-    hot = stage(met_again.groupBy("value").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > hot_bytes).select("value"), "hot")
+                    for x in some:
+                        content = data[x["start"]:x["start"] + x["size"]]
+                        beside = (None, None) if x["any_twice"] else sides(content, x["value"], length)
+                        rows.append((x["value"], x["high"], x["low"], content, x["any_twice"], *beside))
+                v, hi, lo, c, twice, left, right = zip(*rows) if rows else ([],) * 7
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(c, pa.binary()),
+                     pa.array(twice, pa.bool_()), _signed(left), _signed(right)], ["value", "high", "low", "content", "any_twice", "left", "right"])
+
+    contents = stage(held.mapInArrow(
+        cut, "value long, high long, low long, content binary, any_twice boolean, left long, right long"), "contents")
+    beside = contents.select(*whole, F.col("any_twice"), F.posexplode(F.array("left", "right")).alias("side", "beside"))
+    alike = beside.filter("beside is not null").groupBy("value", "side", "beside").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    may = stage(beside.filter("not any_twice").join(alike, ["value", "side", "beside"], "left_semi").select(*whole).unionByName(
+        contents.filter("any_twice").select(*whole)).distinct(), "alike")
+    open_ = contents.join(may, whole, "left_semi").select(*whole, "content")
+    size = contents.select(*whole, F.octet_length("content").alias("size")).join(may, whole, "left_semi")
+    hot = stage(size.groupBy("value").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > hot_bytes).select("value"), "hot")
     if hot.isEmpty():
-        spans = _solved(contents, length, batch_bytes)
+        spans = _solved(open_, length, batch_bytes)
     else:
-        spans = _solved(contents.join(hot, "value", "left_anti"), length, batch_bytes).unionByName(
-            _counted(contents.join(hot, "value"), length))
+        spans = _solved(open_.join(hot, "value", "left_anti"), length, batch_bytes).unionByName(
+            _counted(open_.join(hot, "value"), length))
     spans = stage(spans, "spans")
     unstage(contents)
     alone = spans.withColumnsRenamed({"start": "from", "end": "to"}).join(distinct.filter("n = 1"), whole).select(
