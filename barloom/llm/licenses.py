@@ -53,6 +53,10 @@ TEMPLATES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
              ("redistribution and use in source and binary forms", "without modification")),
+    Template("cc-by-nc", "cc by nc", ("cc by nc",)),
+    Template("cc-by-nc-nd", "cc by nc nd", ("cc by nc nd",)),
+    Template("cc-by-nc-sa", "cc by nc sa", ("cc by nc sa",)),
+    Template("cc-by-nd", "cc by nd", ("cc by nd",)),
     Template("cc-by-sa", "cc by sa", ("cc by sa",)),
     Template("gpl-2.0", "gnu general public license version 2", ("general public license version 2",)),
     Template("gpl-3.0", "gnu general public license version 3", ("general public license version 3",)),
@@ -117,7 +121,8 @@ def _score(words: Column, starts: Column, t: Template) -> Column:
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Null text has no words, no labels and score 0. Nothing is shuffled but the counts of licence words.
+    Null text has no words, no labels and score 0; so has every text of an empty table. Very long texts are read whole, repeated rows
+    are scanned each, and of equally good places the score takes any. Nothing is shuffled but the counts of licence words.
     """
     index = postings(idf(docs, templates), templates)
     rare = sorted({p.template.words[p.place] for p in index})
@@ -155,7 +160,7 @@ need AS (SELECT label, count(*) AS n_words, count(*) FILTER (WHERE is_key) AS n_
 head AS (SELECT t.label, t.j, t.word FROM template t JOIN need n ON t.label = n.label AND t.j = n.j0),
 text AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM text),
-place AS (SELECT w.doc_id, h.label, w.i - h.j AS start FROM words w JOIN head h ON w.word = h.word WHERE w.i >= h.j),
+place AS (SELECT w.doc_id, h.label, w.i - h.j AS start FROM words w JOIN head h ON w.word = h.word),
 found AS (SELECT p.doc_id, p.label, p.start, any_value(t.base) AS base, count(*) FILTER (WHERE t.is_key) AS keys, count(*) AS n
   FROM place p JOIN template t ON t.label = p.label JOIN words w ON w.doc_id = p.doc_id AND w.i = p.start + t.j AND w.word = t.word
   GROUP BY p.doc_id, p.label, p.start),

@@ -1,5 +1,6 @@
 """Licence texts that begin with a key phrase: the template's optional leading words are then before the text."""
 
+import duckdb
 import pytest
 
 from barloom.llm import licenses
@@ -22,3 +23,15 @@ def test_a_text_may_begin_with_the_key_words(spark):
 def test_first_lines_of_licence_files(spark, text, label, score):
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row.labels, row.score) == (label, pytest.approx(score))
+
+
+def test_sql_agrees_on_texts_that_begin_with_the_key_phrase(spark):
+    texts = [" ".join(t.words[t.key_places[0]:]) for t in licenses.TEMPLATES] + [t.text for t in licenses.TEMPLATES] + [
+        "MIT License Copyright", "Apache License Version 2.0", "x CC BY-NC 4.0", "CC BY-NC-SA", "version 2", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    cur = con.execute(licenses.scan_sql())
+    names = [d[0] for d in cur.description]
+    got = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in licenses.scan(docs).select(*names).collect())
+    assert got == sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in cur.fetchall())
