@@ -50,7 +50,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 def solved(histogram: DataFrame, goals: DataFrame, cap: float = CAP, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
     """(position, multiplier, mean) of the dual; ``histogram`` is (position, size, n) without sizes of 0.
 
-    A Newton step that leaves the bracket of its source is replaced by bisection, so every source converges. A source whose
+    A Newton step that leaves the bracket of its source is replaced by bisection, so every source converges; one that has not after
+    ``rounds`` rounds is an error. A source whose
     target is cap times its size takes every document cap times; its multiplier is infinite.
     """
     start = histogram.groupBy("position").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"),
@@ -79,8 +80,8 @@ def solved(histogram: DataFrame, goals: DataFrame, cap: float = CAP, tolerance:
         unstage(state)
         state = following.drop("done")
         if following.filter("not done").isEmpty():
-            break
-    return state.select("position", "multiplier", "mean")
+            return state.select("position", "multiplier", "mean")
+    raise RuntimeError(f"a source has not reached its target after {rounds} rounds")
 
 
 def _rounded(group: pd.DataFrame) -> pd.DataFrame:
