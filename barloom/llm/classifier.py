@@ -1,9 +1,17 @@
 """Quality classifier by co-training of two views.
 
 One classifier reads the text (hashed byte trigrams), the other the page's metadata (source, language, length). Both learn from a
-bounded sample of labelled documents. In each round both score a bounded pool of unlabelled ones, and each hands the documents it is
-surest of, with its label, to the other's training set. Views are calibrated on labelled documents kept apart from training, and the
-calibrated log-odds are combined by weights learned there. Every document of the table is then scored over its whole text.
+bounded sample of labelled documents. In each round both score every unlabelled document of the table, and each hands the ones it is
+surest of, a fixed number per class, with its label to the other's training set. Views are calibrated on labelled documents kept apart
+from training, and the calibrated log-odds are combined by weights learned there. Every document is then scored over its whole text.
+
+A round is a scoring job that writes ids and probabilities only; labelled documents and those handed on before are taken out by id, the
+surest are found by a distributed top-k, and only their features come to the driver.
+
+Null text, source, language and length have values of their own; very long texts are read whole. Repeated rows are scored alike; as a
+pseudo-label one row stands for an id, rows without an id give none. Equal probabilities go by id. If the labels show one class only, or
+there are none, nothing can be learned: scores are null and all documents are kept. An empty table gives no rows; extra columns are
+not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -17,14 +25,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from barloom.session import stage, unstage
+
 TRIGRAMS, SHAPES = 1024, 24
 TEXT_SIZE, SOURCES, LANGS, LENGTHS = TRIGRAMS + SHAPES, 64, 16, 24
 META_SIZE = SOURCES + LANGS + LENGTHS
-#: Labelled and unlabelled documents that training sees, about; chosen by a hash of doc_id.
-LABELLED, POOL = 6000, 6000
+#: Labelled documents that training sees, about; chosen by a hash of doc_id.
+LABELLED = 6000
+#: Pseudo-labels a round, view and class, of all unlabelled documents the surest, and the calibrated probability they need.
+HANDED, SURE = 300, 0.95
 ROUNDS = 4
-#: A pseudo-label is given at this calibrated probability; at most this share of the pool a round, view and class.
-SURE, SHARE = 0.95, 0.05
 KEEP = 0.5
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -105,94 +115,125 @@ class Model:
         return a, b, _sigmoid(self.weights[0] * _logit(a) + self.weights[1] * _logit(b) + self.weights[2])
 
 
-def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
-               rounds: int = ROUNDS, sure: float = SURE, share: float = SHARE) -> Model | None:
-    """None where the training or the held-out rows show one class only."""
+def matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a batch of documents in both views."""
+    text = np.array([text_features(t.as_py()) for t in batch["text"]], np.float32).reshape(-1, TEXT_SIZE)
+    meta = np.array([meta_features(*x) for x in zip(*[batch[c].to_pylist() for c in ("source", "lang", "n_chars")])], np.float32)
+    return text, meta.reshape(-1, META_SIZE)
+
+
+def handed_on(mine: np.ndarray, other: np.ndarray, sure: float = SURE) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(label, rows, their probabilities) that a view is sure of, without those of which the other view is as sure of the opposite."""
+    out = []
+    for label, p, against in ((1.0, mine, other <= 1 - sure), (0.0, 1 - mine, other >= sure)):
+        rows = np.flatnonzero((p >= sure) & ~against)
+        out.append((label, rows, p[rows]))
+    return out
+
+
+def candidates(docs: DataFrame, views: list[View], sure: float = SURE) -> DataFrame:
+    """(doc_id, view, label, p): what each view is sure of among all documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 512):
+                batch = big.slice(at, 512)
+                scores = [view.score(x) for view, x in zip(views, matrices(batch))]
+                ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+                for k in (0, 1):
+                    for label, rows, p in handed_on(scores[k], scores[1 - k], sure):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[rows].astype(np.int64)), pa.array(np.full(len(rows), k), pa.int32()), pa.array(np.full(len(rows), label)), pa.array(p)],
+                            ["doc_id", "view", "label", "p"])
+
+    return docs.filter("doc_id is not null").select(*DOCUMENT).mapInArrow(run, "doc_id long, view int, label double, p double")
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_x, meta_x): one row per id, of its rows the one with the smallest hash of its text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, meta = matrices(batch)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x.tobytes() for x in text], pa.binary()),
+                                              pa.array([x.tobytes() for x in meta], pa.binary())], ["doc_id", "text_x", "meta_x"])
+
+    one = docs.groupBy("doc_id").agg(F.min_by(F.struct(*DOCUMENT[1:]), F.xxhash64("text")).alias("d")).select("doc_id", "d.*")
+    return one.mapInArrow(run, "doc_id long, text_x binary, meta_x binary")
+
+
+def quality_marks(labels: DataFrame) -> DataFrame:
+    """(marked, good): labels of one document averaged, from one half on it is good; null ones are left out."""
+    return labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("marked")).agg(
+        (F.avg("quality") >= 0.5).cast("int").alias("good"))
+
+
+def sample(docs: DataFrame, marks: DataFrame, labelled: int = LABELLED) -> DataFrame:
+    """(doc_id, good, text_x, meta_x) of the bounded sample of labelled documents."""
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
+    share = min(1.0, labelled / max(1, marks.count()))
+    near = marks.filter(F.pmod(F.xxhash64(F.col("marked"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20) < share)
+    chosen = docs.filter(place < share).select(*DOCUMENT).join(near.select("marked"), F.col("doc_id") == F.col("marked"), "left_semi")
+    return features(chosen).join(near, F.col("doc_id") == F.col("marked")).select("doc_id", "good", "text_x", "meta_x")
+
+
+def _matrix(rows: list, name: str, size: int) -> np.ndarray:
+    return np.array([np.frombuffer(r[name], np.float32) for r in rows], np.float32).reshape(-1, size)
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed: int = HANDED, rounds: int = ROUNDS, sure: float = SURE) -> Model | None:
+    """Co-trained model; every fifth labelled document (by hash) is held out for calibration and combination.
+
+    None where the training or the held-out rows show one class only.
+    """
+    spark = docs.sparkSession
+    marks = stage(quality_marks(labels), "marks")
+    known = sorted(sample(docs, marks, labelled).collect(), key=lambda r: r["doc_id"])                 # bounded by ``labelled``
+    held = np.array([xxhash.xxh32_intdigest(str(r["doc_id"])) % 5 == 0 for r in known], bool)
+    y = np.array([r["good"] for r in known], float)
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         return None
-    views = [[text, pool_text], [meta, pool_meta]]
-    given: list[tuple[list[int], list[float]]] = [([], []), ([], [])]               # pool rows and labels each view has been handed
+    x = [_matrix(known, "text_x", TEXT_SIZE), _matrix(known, "meta_x", META_SIZE)]
+    more = [x[0][:0], x[1][:0]]                                            # features each view has been handed
+    given: list[list[tuple[int, float]]] = [[], []]                                                   # ids and labels each view has been handed
 
     def learn(k: int) -> View:
-        x, pool = views[k]
-        rows, labels = given[k]
-        return trained(np.concatenate((x[~held], pool[rows])), np.concatenate((y[~held], labels)), x[held], y[held])
+        return trained(np.concatenate((x[k][~held], more[k])), np.concatenate((y[~held], [label for _, label in given[k]])), x[k][held], y[held])
 
     now = [learn(0), learn(1)]
     for _ in range(rounds):
-        most = max(1, int(share * len(pool_text)))
-        scores = [now[k].score(views[k][1]) for k in (0, 1)]
-        moved = 0
+        found = candidates(docs, now, sure).groupBy("doc_id", "view", "label").agg(F.max("p").alias("p"))
+        found = stage(found.join(marks, F.col("doc_id") == F.col("marked"), "left_anti"), "sure")
+        new: list[list[tuple[int, float]]] = [[], []]
         for k in (0, 1):
-            mine, other = scores[k], scores[1 - k]
-            taken = np.isin(np.arange(len(mine)), given[1 - k][0])
-            for label, p, against in ((1.0, mine, other <= 1 - sure), (0.0, 1 - mine, other >= sure)):
-                open_rows = np.flatnonzero((p >= sure) & ~taken & ~against)
-                best = open_rows[np.argsort(-p[open_rows], kind="stable")[:most]]
-                given[1 - k][0].extend(best.tolist())
-                given[1 - k][1].extend([label] * len(best))
-                moved += len(best)
-        if not moved:
+            taken = spark.createDataFrame([(i,) for i, _ in given[1 - k]], "taken long")
+            open_ = found.filter(F.col("view") == k).join(F.broadcast(taken), F.col("doc_id") == F.col("taken"), "left_anti")
+            for label in (1.0, 0.0):
+                best = open_.filter(F.col("label") == label).orderBy(F.desc("p"), "doc_id").limit(handed).collect()    # at most ``handed``
+                new[1 - k] += [(r["doc_id"], label) for r in best]
+        unstage(found)
+        if not any(new):
             break
+        ids = spark.createDataFrame([(i,) for i in sorted({i for some in new for i, _ in some})], "wanted long")
+        rows = features(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("wanted"), "left_semi")).collect()        # four times ``handed``
+        by_id = {r["doc_id"]: r for r in rows}
+        for k, (name, size) in enumerate((("text_x", TEXT_SIZE), ("meta_x", META_SIZE))):
+            more[k] = np.concatenate((more[k], _matrix([by_id[i] for i, _ in new[k]], name, size)))
+            given[k] += new[k]
         now = [learn(0), learn(1)]
-    stacked = np.column_stack([_logit(now[k].score(views[k][0][held])) for k in (0, 1)])
+    unstage(marks)
+    stacked = np.column_stack([_logit(now[k].score(x[k][held])) for k in (0, 1)])
     w = fit(stacked / 10, y[held], penalty=1e-3, rate=0.1)
-    return Model(now[0], now[1], (max(w[0] / 10, 0.0), max(w[1] / 10, 0.0), w[2]), len(given[0][0]) + len(given[1][0]))
+    return Model(now[0], now[1], (max(w[0] / 10, 0.0), max(w[1] / 10, 0.0), w[2]), len(given[0]) + len(given[1]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """(doc_id, good, text features, metadata features) of the bounded training sample; good is null for the pool.
-
-    Labels of one document are averaged, from one half on it is good; labels without a document, and null ones, are left out.
-    """
-    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("marked")).agg(
-        (F.avg("quality") >= 0.5).cast("int").alias("good"))
-    part = lambda n, of: min(1.0, n / max(1, of))
-    of_labelled, of_pool = part(labelled, marks.count()), part(pool, docs.count())
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    near = docs.select(*DOCUMENT, place.alias("place")).filter(F.col("place") < max(of_labelled, of_pool)).dropDuplicates(["doc_id"])
-    chosen = near.join(marks.select("marked", "good"), F.col("doc_id") == F.col("marked"), "left").filter(
-        F.when(F.col("good").isNull(), F.col("place") < of_pool).otherwise(F.col("place") < of_labelled))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["good"] for r in rows], pa.int32()),
-                 pa.array([text_features(r["text"]).tobytes() for r in rows], pa.binary()),
-                 pa.array([meta_features(r["source"], r["lang"], r["n_chars"]).tobytes() for r in rows], pa.binary())],
-                ["doc_id", "good", "text_x", "meta_x"])
-
-    return chosen.select(*DOCUMENT, "good").mapInArrow(run, "doc_id long, good int, text_x binary, meta_x binary")
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Co-trained model; every fifth labelled document (by hash) is held out for calibration and combination."""
-    rows = sample(docs, labels, labelled, pool).collect()                                # bounded by the two parameters
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"]))
-    matrix = lambda some, name, size: np.array([np.frombuffer(r[name], np.float32) for r in some], np.float32).reshape(-1, size)
-    known, free = [r for r in rows if r["good"] is not None], [r for r in rows if r["good"] is None]
-    held = np.array([xxhash.xxh32_intdigest(str(r["doc_id"])) % 5 == 0 for r in known], bool)
-    return co_trained(matrix(known, "text_x", TEXT_SIZE), matrix(known, "meta_x", META_SIZE), np.array([r["good"] for r in known], float), held,
-                      matrix(free, "text_x", TEXT_SIZE), matrix(free, "meta_x", META_SIZE))
-
-
-def classified(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, keep: float = KEEP) -> DataFrame:
-    """Per document: doc_id, text_score, meta_score, score (all 0 to 1), kept (score of at least ``keep``).
-
-    Null text, source, language and length have values of their own. Repeated rows are scored alike. If the labels show one class
-    only, or there are none, nothing can be learned: scores are null and all documents are kept.
-    """
-    model = train(docs, labels, labelled, pool)
+def classified(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed: int = HANDED, keep: float = KEEP) -> DataFrame:
+    """Per document: doc_id, text_score, meta_score, score (all 0 to 1), kept (score of at least ``keep``)."""
+    model = train(docs, labels, labelled, handed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 batch = big.slice(at, 512)
-                text = np.array([text_features(t.as_py()) for t in batch["text"]], np.float32).reshape(-1, TEXT_SIZE)
-                meta = np.array([meta_features(*x) for x in zip(*[batch[c].to_pylist() for c in ("source", "lang", "n_chars")])],
-                                np.float32).reshape(-1, META_SIZE)
-                scores = model.score(text, meta)
+                scores = model.score(*matrices(batch))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(s, pa.float64()) for s in scores], pa.array(scores[2] >= keep)],
                                                  ["doc_id", "text_score", "meta_score", "score", "kept"])
 

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from barloom.llm import chat, classifier, components, exact, licenses, mixing, packing, rules, sharding, simhash, suffixes
 from barloom.llm.registry import tokenizer_path
+from barloom.session import fresh_dir
 
 WS = r"[\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id string, value string, `names` int, bucket long"
@@ -290,6 +291,29 @@ def test_sharding(docs, empty):
     assert {r.law for r in got} == {"bytes"} and sharding.shard(empty).count() == 0
 
 
+def test_stored_map_is_read_back_and_edited(spark):
+    """A grown table moves few slots of the newest version; old versions stay readable; another number of slots is an error."""
+    path = fresh_dir(spark, "map")
+    r = random.Random(12)
+    rows = [(i, "x" * r.randint(50, 900)) for i in range(3000)]
+    table = lambda n: spark.createDataFrame(rows[:n], "doc_id long, text string")
+    run = lambda n: sharding.shard(table(n), shards=4, slots=256, map_path=path).select("map_version", "virtual_slot", "shard", "size").collect()
+    first, again, grown = run(2800), run(2800), run(3000)
+    assert {x.map_version for x in first} == {1} == {x.map_version for x in again} and {x.map_version for x in grown} == {2}
+    one, two = sharding.read_map(spark, path, 1)[1], sharding.read_map(spark, path, 2)[1]
+    assert sharding.read_map(spark, path)[0] == 2 and sharding.read_map(spark, path, 0) == (0, sharding.first_map(256, 4))
+    assert 0 < sum(a != b for a, b in zip(one, two)) < 40
+    for found, current in ((first, one), (grown, two)):
+        assert all(current[x.virtual_slot] == x.shard for x in found)
+        load = Counter()
+        for x in found:
+            load[x.shard] += x["size"]
+        assert max(load.values()) <= 1.01 * min(load.values())
+    assert sharding.read_map(spark, path, 9) is None
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard(table(10), shards=4, slots=128, map_path=path)
+
+
 def test_rebalancing_moves_slots_towards_the_mean():
     r = random.Random(4)
     load = {s: r.randint(1, 1000) for s in range(300)}
@@ -361,12 +385,50 @@ def test_classifier_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     kept_apart = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    scored = classifier.classified(docs, labels.filter(~kept_apart), labelled=1500, pool=1500)
+    scored = classifier.classified(docs, labels.filter(~kept_apart), labelled=1500, handed=100)
     got = labels.filter(kept_apart).join(scored, "doc_id").select("quality", "kept").collect()
     assert sum(r.quality == r.kept for r in got) >= 0.97 * len(got)
     assert scored.count() == docs.count()
 
 
+def test_co_training_rounds_by_brute_force(spark):
+    """The rounds over all unlabelled documents in plain Python: the same pseudo-labels in the same order, the same scores."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    docs = docs.unionByName(docs.filter("doc_id < 5")).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    few = labels.filter("doc_id % 2 = 0")
+    model = classifier.train(docs, few, handed=7, rounds=3, sure=0.6)
+    rows = {r.doc_id: r for r in docs.collect() if r.doc_id is not None}
+    text = {i: classifier.text_features(r.text) for i, r in rows.items()}
+    meta = {i: classifier.meta_features(r.source, r.lang, r.n_chars) for i, r in rows.items()}
+    good = {r.doc_id: float(r.quality >= 0.5) for r in few.collect() if r.doc_id in rows and r.quality is not None}
+    ids = sorted(good)
+    held = [i for i in ids if xxhash.xxh32_intdigest(str(i)) % 5 == 0]
+    rest, free = [i for i in ids if i not in held], sorted(set(rows) - set(good))
+    given = [[], []]
+
+    def learn(k):
+        x = (text, meta)[k]
+        mine = rest + [i for i, _ in given[k]]
+        y = [good[i] for i in rest] + [label for _, label in given[k]]
+        return classifier.trained(np.array([x[i] for i in mine]), np.array(y), np.array([x[i] for i in held]), np.array([good[i] for i in held]))
+
+    now = [learn(0), learn(1)]
+    for _ in range(3):
+        p = [dict(zip(free, now[k].score(np.array([(text, meta)[k][i] for i in free], np.float32)))) for k in (0, 1)]
+        new = [[], []]
+        for k in (0, 1):
+            taken = {i for i, _ in given[1 - k]}
+            for label, sure, against in ((1.0, lambda v: v, lambda v: v <= 0.4), (0.0, lambda v: 1 - v, lambda v: v >= 0.6)):
+                open_ = [i for i in free if i not in taken and sure(p[k][i]) >= 0.6 and not against(p[1 - k][i])]
+                new[1 - k] += [(i, label) for i in sorted(open_, key=lambda i: (-sure(p[k][i]), i))[:7]]
+        given = [given[k] + new[k] for k in (0, 1)]
+        now = [learn(0), learn(1)]
+    assert model.pseudo_labels == len(given[0]) + len(given[1]) > 20
+    for k, view in enumerate((model.text, model.meta)):
+        assert np.allclose(view.weights, now[k].weights, atol=1e-4) and abs(view.slope - now[k].slope) < 1e-4
+
+
 def test_classifier_without_anything_to_learn(docs, empty):
     none = docs.select("doc_id", F.lit(1).alias("quality"))
     for labels in (none, none.limit(0), none.withColumn("quality", F.lit(None).cast("int"))):
