@@ -238,12 +238,14 @@ def impact(items: DataFrame) -> DataFrame:
         "reasons": F.concat("reasons", drop_nulls([run_up, again]))})
 
 
-def analyse(items: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+def analyse(items: DataFrame, bars: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """The whole event job.
 
-    ``items``: item_id, company_id, ts, title, text, category, source, source_type, company, annual_revenue_cr,
+    ``items``: item_id, company_id, ts (or time as text and hours_ago before ``now``, see ``parse_times``), title, text, category, source, source_type, company, annual_revenue_cr,
     market_cap_cr. ``bars``: daily bars whose symbol is the company id.
     """
+    if "ts" not in items.columns:
+        items = parse_times(items, now).drop("time", "hours_ago")
     measured = measure(classify(items))
     if bars is None:
         none = {"pre_move": "double", "pre_move_z": "double", "post_move": "double", "post_move_z": "double", "post_sessions": "int"}

@@ -38,11 +38,14 @@ def result_screen(meetings: DataFrame, listings: DataFrame, master: DataFrame, p
     return screen.global_rank(flagged.withColumn("row_key", tie), "composite", "row_key")
 
 
-def summary(rows: DataFrame) -> DataFrame:
+def summary(rows: DataFrame, counts: DataFrame, meetings: DataFrame, last_prices: DataFrame, today: str) -> DataFrame:
+    """One row about a screen: its rows, the landed file (``feeds.board_meeting_counts``), meetings that are past, and live prices."""
     source = F.col("fundamentals_source")
+    past = meetings.filter(F.col("result_date") < F.to_date(F.lit(today))).agg(F.count(F.lit(1)))
+    known = counts.select(F.struct("rows_read", "rows_unparseable", "duplicates_removed")).scalar()
     return rows.agg(
         F.count(F.lit(1)).alias("meetings_upcoming"), F.count_if(source != "none").alias("with_fundamentals"),
         F.count_if(source == "master").alias("from_master"), F.count_if(source == "provider").alias("from_provider"),
-        F.count("last_close").alias("with_prices"), F.count("composite").alias("scored"))
-
-
+        F.count("last_close").alias("with_prices"), F.count("composite").alias("scored"),
+    ).withColumns({"live_prices": last_prices.agg(F.count(F.lit(1)) > 0).scalar(), "_counts": known, "past_dates_dropped": past.scalar()}).select(
+        "*", "_counts.*").drop("_counts")

@@ -11,6 +11,7 @@ from barloom.registry.market import (
     DELIVERY, RESULT_FEATURES, SIGNAL, day, delivery_days, rounded, signal_rows,
 )
 from barloom.registry.snippets import BARS, MARKET, SECTORS, TICKS, UNIVERSE, r, rs
+from barloom.session import stage
 from barloom.sources import feeds, sinks
 from barloom.sources.bindings import (
     HOLIDAYS, TODAY, bars_daily, brand_master, brand_number, listings, market_index, meeting_rows, part_master, quotes,
@@ -794,12 +795,21 @@ def nulls_last(spark, sf_dir):
     return m.select("part_id", *rounded("v", digits=4), "up", "down")
 
 
-@query("srt04_sector_order", f"""{SCREEN}, g AS (SELECT sector || '/' || cap AS sector, count(*) AS n, count(*) FILTER (changePct > 0) AS adv FROM screen GROUP BY ALL)
-SELECT sector, row_number() OVER (ORDER BY n < 3, adv / n DESC, sector) AS position FROM g""")
+@query("srt04_sector_order", f"""{SCREEN}, g AS (SELECT sector || '/' || cap AS sector, count(*) AS n, count(*) FILTER (changePct > 0) AS adv, median(changePct) AS today,
+  median(lr5) AS rel5, median(lr20) AS rel20 FROM screen JOIN (SELECT symbol, (c / lag(c, 5) OVER w - 1) * 100 AS lr5, (c / lag(c, 20) OVER w - 1) * 100 AS lr20, lead(date) OVER w IS NULL AS newest FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) USING (symbol)
+  WHERE newest GROUP BY ALL)
+SELECT sector, row_number() OVER (ORDER BY n < 3, today DESC NULLS LAST, sector) AS by_today, row_number() OVER (ORDER BY n < 3, rel5 DESC NULLS LAST, sector) AS by_rel5,
+  row_number() OVER (ORDER BY n < 3, rel20 DESC NULLS LAST, sector) AS by_rel20, row_number() OVER (ORDER BY n < 3, adv / n DESC, sector) AS by_breadth FROM g""")
 def sector_order(spark, sf_dir):
+    """Sectors by size bucket in each of the four orders; groups under three stocks stand last."""
     rows = screener(spark, sf_dir).withColumns({"sector": F.concat_ws("/", "sector", "cap"), "signal_score": F.col("signalScore")})
-    ordered = sectors.sector_rollup(rows).withColumn("key", -F.when(F.col("n") < 3, 1e6).otherwise(0.0) + F.col("adv") / F.col("n"))
-    return screen.global_rank(ordered, "key", "sector", "position").select("sector", F.col("position").cast("long").alias("position"))
+    rows = stage(rows.select("symbol", "sector", "changePct", "signal_score"))
+    moves = sectors.stock_returns(bars_daily(spark, sf_dir)).select("symbol", "own_5", "own_20").join(rows.select("symbol", "sector"), "symbol")
+    trend = moves.groupBy("sector").agg(F.median("own_5").alias("rel5"), F.median("own_20").alias("rel20"))
+    out = sectors.sector_rollup(rows).join(trend, "sector", "left")
+    for metric in ("today", "rel5", "rel20", "breadth"):
+        out = screen.row_positions(out, [*sectors.sector_order(metric), F.asc("sector")], f"by_{metric}")
+    return out.select("sector", *[F.col(f"by_{m}").cast("long").alias(f"by_{m}") for m in ("today", "rel5", "rel20", "breadth")])
 
 
 @query("srt05_top_per_group", f"""WITH {TICKS} SELECT symbol, k1, k2, k3, k4, price FROM ticks

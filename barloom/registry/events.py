@@ -277,6 +277,21 @@ def event_impact(spark, sf_dir):
                                           "materiality", (F.col("priced_in") > 0).alias("ran_up"), *rounded("impact", digits=3))
 
 
+@query("evt14_item_times", f"""WITH {ITEMS}, o AS (SELECT item_id, ts, item_id % 5 AS k FROM items)
+SELECT item_id, strftime(CASE k WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN TIMESTAMP '{NOW}' - INTERVAL 36 HOUR
+  ELSE TIMESTAMP '{NOW}' - INTERVAL 24 HOUR END, '%Y-%m-%d %H:%M:%S') AS ts FROM o""")
+def item_times(spark, sf_dir):
+    """A feed whose times are text with and without a zone, hours, an unreadable text or nothing, read before items are typed and measured."""
+    f = filings(spark, sf_dir)
+    k = F.col("item_id") % 5
+    local = F.from_utc_timestamp("ts", "Asia/Kolkata")
+    told = f.withColumns({
+        "time": F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).when(k == 1, F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss")).when(k == 3, F.lit("soon")),
+        "hours_ago": F.when(k == 2, 36.0).when(k == 4, 0.0)}).drop("ts")
+    out = events.measure(events.classify(events.parse_times(told, F.lit(NOW).cast("timestamp"))))
+    return out.select("item_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
 SUMMARY = f"""{IMPACT}, net AS (SELECT company_id, tanh(sum(impact * pow(0.5, greatest((epoch(TIMESTAMP '{NOW}') - epoch(ts)) / 86400, 0) / 10))) AS net FROM scored_events GROUP BY 1),
 cnt AS (SELECT company_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM (SELECT company_id, event_type, count(*) AS n FROM scored_events WHERE event_type <> 'routine' GROUP BY ALL) GROUP BY 1),
 top5 AS (SELECT company_id, string_agg(title, ' / ' ORDER BY rn) AS top_titles FROM (SELECT company_id, title, row_number() OVER (PARTITION BY company_id ORDER BY abs(impact) DESC, ts DESC, item_id) AS rn

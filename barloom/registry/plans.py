@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.functions import clock
+from barloom.functions import clock, fixed_values as fv
 from barloom.operators import features, joins, scoring, screen
 from barloom.plans import company_events as ce, pre_result_scan, result_screen as rscreen
 from barloom.registry.companies import (
@@ -83,14 +83,60 @@ def price_rows(spark, sf_dir) -> DataFrame:
     return scoring.pre_result_score(rows)
 
 
-@query("sco04_reasons_and_risks")
+def signed_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '–' ELSE printf('%+.1f%%', {x} * 100) END"
+
+
+WHEN_TEXT = "printf('Results on {} (%d trading day%s away)', td, CASE WHEN td <> 1 THEN 's' ELSE '' END)".replace("{}", TODAY)
+PACE = f"printf('last 5 sessions %s vs %s the 5 before', {signed_sql('ret_5d')}, {signed_sql('ret_prev5d')})"
+VOLUME = "printf('Volume %.1f× its 50-day average', rvol_5d) || CASE WHEN updown_vol_ratio > 1.2::DOUBLE THEN printf(', heavier on up days (%.1f×)', updown_vol_ratio) ELSE '' END"
+SHARE = "CASE WHEN deliv_pct_5d IS NOT NULL AND deliv_pct_base IS NOT NULL THEN printf('; %.0f%% of volume delivered vs %.0f%% before', deliv_pct_5d, deliv_pct_base) ELSE '' END"
+MARKET_NAME = fv.MARKET_INDEX
+SENTENCES = f"""said AS (SELECT *, CASE WHEN rel_sec_5d IS NOT NULL THEN 'Sector' ELSE '{MARKET_NAME}' END AS bench, {signed_sql('r5')} AS text5, {signed_sql('r10')} AS text10, r5 IS NOT NULL AND r10 IS NOT NULL AS both_ FROM pre),
+lines AS (SELECT symbol, stage,
+  concat_ws(' | ', CASE WHEN td BETWEEN 5 AND 15 THEN {WHEN_TEXT} || ' — inside the 5–15 session pre-results window' WHEN td > 15 THEN {WHEN_TEXT} END,
+    CASE WHEN both_ AND r5 > 0 AND r10 > 0 THEN printf('Outperforming %s: %s over 5 sessions, %s over 10', bench, text5, text10)
+      WHEN both_ AND r5 > 0 THEN printf('Turning up vs %s: %s over 5 sessions after lagging over 10 (%s)', bench, text5, text10) END,
+    CASE WHEN accel > 0.01::DOUBLE THEN 'Momentum accelerating: ' || {PACE} END,
+    CASE WHEN rvol_5d >= 1.2::DOUBLE AND rvol_5d <= 4 THEN {VOLUME} END,
+    CASE WHEN deliv_qty_ratio >= 1.2::DOUBLE THEN printf('Delivered shares %.1f× the prior 20 sessions', deliv_qty_ratio) || {SHARE} END) AS reasons,
+  concat_ws(' | ', CASE WHEN td < 5 THEN {WHEN_TEXT} || ' — little time left for a pre-results move' END,
+    CASE WHEN both_ AND r5 <= 0 AND r10 <= 0 THEN printf('Lagging %s: %s over 5 sessions, %s over 10', bench, text5, text10) END,
+    CASE WHEN rel_sec_5d IS NULL AND rel_mkt_5d IS NOT NULL THEN 'No sector index mapped — relative strength is vs {MARKET_NAME} only' END,
+    CASE WHEN accel < -0.03::DOUBLE THEN 'Momentum fading: ' || {PACE} END,
+    CASE WHEN rvol_5d > 4 THEN {VOLUME} || ' — climactic, could be exhaustion' END,
+    CASE WHEN deliv_qty_ratio < 0.85::DOUBLE AND deliv_pct_5d < deliv_pct_base - 3 THEN printf('Delivery drying up: delivered shares %.1f× usual', deliv_qty_ratio) || {SHARE} END,
+    'No fundamentals on file — add a fundamentals CSV',
+    CASE WHEN z_20d > 1.5::DOUBLE THEN printf('Already up %s in 20 sessions (%.1fσ) — may be priced in', {signed_sql('ret_20d')}, z_20d) END,
+    CASE WHEN rsi14 >= 72 THEN printf('RSI %.0f: overbought', rsi14) END,
+    CASE WHEN adv20_cr < 5 THEN printf('Thin liquidity: ₹%.1f cr/day traded', adv20_cr) END,
+    CASE WHEN vol_ann > 0.6::DOUBLE THEN printf('High volatility: %.0f%% annualised', vol_ann * 100) END) AS risks FROM said)"""
+
+
+@query("sco04_reasons_and_risks", f"""WITH {ALL_FEATURES}, {RSI_EXP}, {TREND}, rows AS (SELECT f3.*, rsi14, deliv_qty_ratio, deliv_pct_change, deliv_pct_5d, deliv_pct_base, CAST(split_part(symbol, '#', 2) AS INT) % 28 AS td,
+  CAST(NULL AS BIGINT) AS hist_events, CAST(NULL AS DOUBLE) AS hist_mean, CAST(NULL AS DOUBLE) AS hit, CAST(NULL AS DOUBLE) AS fund_score, CAST(NULL AS DOUBLE) AS catalyst_score
+  FROM f3 JOIN rsi_exp USING (symbol) LEFT JOIN trend USING (symbol) WHERE is_last AND bar_no >= 60), {pre_score_sql('rows')}, {SENTENCES}
+SELECT symbol, stage, CASE WHEN stage <> 'No data' THEN reasons ELSE '' END AS reasons, CASE WHEN stage <> 'No data' THEN risks ELSE 'not enough price history to score' END AS risks FROM lines""")
 def reasons_and_risks(spark, sf_dir):
-    """The sentences behind each score; checked in the tests sentence by sentence."""
+    """The sentences behind each score; those on past results, fundamentals and filings are checked in the tests."""
     rows = price_rows(spark, sf_dir).withColumns({"result_date": F.lit(TODAY), "sector_index": F.lit("Sector"), "fund_source": F.lit("none")})
     return scoring.explain_pre_result(rows).select(
         "symbol", "stage", F.concat_ws(" | ", "reasons").alias("reasons"), F.concat_ws(" | ", "risks").alias("risks"))
 
 
+@query("srt03_relative_strength", f"""WITH {ALL_FEATURES}, x AS (SELECT symbol, CASE WHEN CAST(split_part(symbol, '#', 2) AS INT) % 5 <> 0 THEN coalesce(CASE WHEN CAST(split_part(symbol, '#', 2) AS INT) % 3 <> 0 THEN rel_sec_5d END, rel_mkt_5d) END AS v
+  FROM f3 WHERE is_last AND bar_no >= 60)
+SELECT symbol, {r('v', 5)}, row_number() OVER (ORDER BY v ASC NULLS LAST, symbol) AS up, row_number() OVER (ORDER BY v DESC NULLS LAST, symbol) AS down FROM x""")
+def relative_strength(spark, sf_dir):
+    """Strength against the sector, where that is unknown against the market; rows without either stand last in both directions."""
+    n = brand_number(F.col("symbol"))
+    rows = scanner_rows(spark, sf_dir).withColumns({"rel_sec_5d": F.when((n % 3 != 0) & (n % 5 != 0), F.col("rel_sec_5d")), "rel_mkt_5d": F.when(n % 5 != 0, F.col("rel_mkt_5d"))})
+    rows = rows.select("symbol", screen.relative_sort_value(5).alias("v"))
+    for name, descending in (("up", False), ("down", True)):
+        rows = screen.row_positions(rows, [screen.nulls_always_last(F.col("v"), descending), F.asc("symbol")], name)
+    return rows.select("symbol", *rounded("v", digits=5), F.col("up").cast("long").alias("up"), F.col("down").cast("long").alias("down"))
+
+
 # ---- result screen --------------------------------------------------------------------------------------------
 
 def result_rows(spark, sf_dir) -> DataFrame:
@@ -138,9 +184,15 @@ def result_filter(spark, sf_dir):
 
 
 @query("agg05_result_summary", f"""{RESULT} SELECT count(*) AS meetings_upcoming, count(*) FILTER (src <> 'none') AS with_fundamentals, count(*) FILTER (src = 'master') AS from_master, count(*) FILTER (src = 'provider') AS from_provider,
-  count(last_close) AS with_prices, count(composite) AS scored FROM m5""")
+  count(last_close) AS with_prices, count(composite) AS scored, (SELECT count(*) FROM universe WHERE CAST(split_part(symbol, '#', 2) AS INT) % 2 = 0) > 0 AS live_prices,
+  (SELECT count(*) FROM orders) AS rows_read, (SELECT count(*) FROM orders WHERE o_orderkey % 8 = 6 OR o_orderkey % 50 = 0) AS rows_unparseable,
+  (SELECT count(*) FROM orders) - (SELECT count(*) FROM orders WHERE o_orderkey % 8 = 6 OR o_orderkey % 50 = 0) - (SELECT count(*) FROM meetings) AS duplicates_removed,
+  (SELECT count(*) FROM meetings WHERE result_date < DATE '{TODAY}') AS past_dates_dropped FROM m5""")
 def result_summary(spark, sf_dir):
-    return rscreen.summary(result_rows(spark, sf_dir))
+    """Counts of the screen's rows, of the landed meeting file, and whether any live price was known."""
+    raw = meeting_rows(spark, sf_dir)
+    live = universe(stored_bars(spark, sf_dir)).filter(brand_number(F.col("symbol")) % 2 == 0)
+    return rscreen.summary(result_rows(spark, sf_dir), feeds.board_meeting_counts(raw), feeds.parse_board_meetings(raw), live, TODAY)
 
 
 # ---- pre-result scan ---------------------------------------------------------------------------------------------
