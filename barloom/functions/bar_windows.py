@@ -107,11 +107,6 @@ def volume_5_over_60() -> Column:
     return ratio(average("v", 5), average("v", 60))
 
 
-def true_range() -> Column:
-    previous = F.lag("c").over(series())
-    return F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - previous), F.abs(F.col("l") - previous))
-
-
 def on_balance_volume(change: str = "change") -> Column:
     return F.sum(F.coalesce(F.signum(change) * F.col("v"), F.lit(0.0))).over(running())
 

@@ -74,10 +74,5 @@ def trading_days(start: Column, end: Column, holidays: Column) -> Column:
     return F.when(end <= start, F.lit(0)).otherwise(count).cast("int")
 
 
-def holiday_array(holidays: DataFrame) -> Column:
-    """The holiday table (about 15 rows a year) as one array value."""
-    return F.coalesce(holidays.agg(F.collect_set("date")).scalar(), F.array().cast("array<date>"))
-
-
 def holiday_literal(*days: str) -> Column:
     return F.array(*[F.to_date(F.lit(d)) for d in days]) if days else F.array().cast("array<date>")

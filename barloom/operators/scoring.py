@@ -409,8 +409,3 @@ def composite_signal(inputs: DataFrame, min_bars: int = 50) -> DataFrame:
         F.when(s >= t["STRONG BUY"], "STRONG BUY").when(s >= t["BUY"], "BUY")
         .when(s <= t["STRONG SELL"], "STRONG SELL").when(s <= t["SELL"], "SELL").otherwise("NEUTRAL"))
     return second.withColumn("signal", label)
-
-
-def known_fundamental(score: Column) -> Column:
-    """The old default of exactly 50 stands for 'unknown'."""
-    return F.when(score != 50, score)

@@ -171,10 +171,6 @@ def relative_volume(volume: Column, average: Column) -> Column:
     return ratio(volume, average)
 
 
-def annual_run_rate(quarter_sales: Column) -> Column:
-    return F.when(quarter_sales != 0, quarter_sales * 4)
-
-
 def range_position(low: Column, high: Column, current: Column) -> Column:
     """Place of the price in its range, 0..100; null for an empty range."""
     value = ratio(current - low, high - low) * 100

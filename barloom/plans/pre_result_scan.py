@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions import bar_windows as b
 from barloom.functions.clock import trading_days
 from barloom.operators import events, features, history, joins, scoring, screen
 from barloom.session import stage
+from barloom.sources.bars import pick_segment
+from barloom.sources.sinks import between
 
 
 HISTORY_DAYS = 1100
@@ -15,6 +19,23 @@ PAST_RESULT_DAYS = 3 * 365
 MIN_DELIVERY_SESSIONS = 10
 
 
+def with_listings(calendar: DataFrame, instruments: DataFrame, bars: DataFrame, segments: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(calendar, bars) for ``scan`` from entries and prices that are known by ISIN.
+
+    ``instruments`` is (isin, segment, symbol), ``bars`` has isin and segment. An entry without a symbol takes the one of its ISIN in the
+    first of ``segments``; one that has none there either is known as "code:" and its exchange code, and filings of such a company carry
+    that as company_id. Prices come from the first segment that has any, named in ``price_segment``.
+    """
+    first = instruments.filter(F.col("segment") == segments[0]).groupBy("isin").agg(F.min("symbol").alias("_listed"))
+    code = F.concat(F.lit("code:"), F.col("bse_code").cast("string"))
+    named = calendar.join(first, "isin", "left").withColumn("symbol", F.coalesce("symbol", "_listed", code)).drop("_listed")
+    priced = pick_segment(bars, segments)
+    chosen = priced.select("isin", F.col("segment").alias("price_segment")).distinct()
+    keys = named.select("isin", "symbol").dropDuplicates(["isin"])
+    fields = [c for c in bars.columns if c not in ("isin", "segment", "symbol")]
+    return named.join(chosen, "isin", "left"), priced.select("isin", *fields).join(keys, "isin").drop("isin")
+
+
 def scan(calendar: DataFrame, bars: DataFrame, market: DataFrame, index_bars: DataFrame, delivery: DataFrame,
          master: DataFrame, past_dates: DataFrame, filings: DataFrame, today: str, holidays: Column,
          top_k: int = 60, min_sessions: int = 1, filing_days: int = 30, history_days: int = HISTORY_DAYS,
@@ -33,7 +54,7 @@ def scan(calendar: DataFrame, bars: DataFrame, market: DataFrame, index_bars: Da
     dated = calendar.withColumnRenamed("industry", "calendar_industry").withColumns({
         "trading_days_left": trading_days(now, F.col("result_date"), holidays),
         "days_left": F.datediff("result_date", now)}).filter(F.col("trading_days_left") >= min_sessions)
-    in_range = lambda df, days: df.filter(F.col("date").between(F.date_sub(now, days), now))
+    in_range = lambda df, days: between(df, F.date_sub(now, days), now)
     bars, market, index_bars = (in_range(df, history_days) for df in (bars, market, index_bars))
     past_dates = in_range(past_dates, past_days).filter(F.col("date") < now)
     known = joins.with_fundamentals(dated, master)

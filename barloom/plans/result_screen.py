@@ -8,6 +8,7 @@ from barloom.functions.clock import trading_days
 from barloom.operators import features, joins, scoring, screen
 from barloom.session import stage
 from barloom.sources import feeds
+from barloom.sources.sinks import between
 
 
 def result_screen(meetings: DataFrame, listings: DataFrame, master: DataFrame, provider: DataFrame | None, bars: DataFrame,
@@ -25,7 +26,7 @@ def result_screen(meetings: DataFrame, listings: DataFrame, master: DataFrame, p
         "days_left": F.datediff("result_date", now)})
     if provider is not None:
         rows = feeds.fill_from_provider(rows, provider)
-    bars = bars.filter(F.col("date").between(F.date_sub(now, history_days), now))
+    bars = between(bars, F.date_sub(now, history_days), now)
     priced = features.result_screen_features(bars).filter("history_days > 20").withColumnRenamed("symbol", "isin")
     rates = features.base_rate_stats(bars).withColumnRenamed("symbol", "isin")
     stats = [c for c in rates.columns if c != "isin"]

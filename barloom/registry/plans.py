@@ -16,6 +16,7 @@ from barloom.registry.market import DELIVERY_TREND, RESULT_FEATURES, day, delive
 from barloom.registry.snippets import ALL_FEATURES, BARS, FEATURES, MARKET, RSI_EXP, TICKS, UNIVERSE, r, rs
 from barloom.session import fresh_dir, stage
 from barloom.sources import feeds, sinks
+from barloom.sources.bars import roll_up_ticks
 from barloom.sources.bindings import (
     HOLIDAYS, INDEXES, TODAY, bars_daily, brand_master, brand_number, filings, index_bars, listings, market_index, meeting_rows, monthly_bars,
     stored_bars, table,
@@ -230,6 +231,26 @@ def pre_scan(spark, sf_dir):
         F.col("rank").cast("long").alias("rank"))
 
 
+@query("pip01_listing_fallback", f"""WITH {TICKS}, entries AS (SELECT p_partkey AS id, 'PRT' || p_partkey AS isin, CASE WHEN p_partkey % 4 = 0 THEN 'S' || p_partkey END AS symbol, 700000 + p_partkey AS code FROM part WHERE p_partkey % 3 <> 0),
+named AS (SELECT isin, id, coalesce(symbol, CASE WHEN id % 5 <> 0 THEN 'N' || id END, 'code:' || code) AS symbol FROM entries),
+seg AS (SELECT part_id AS id, flag AS segment, date, last(price ORDER BY k1, k2, k3, k4) AS c FROM ticks WHERE flag IN ('R', 'A') GROUP BY 1, 2, 3),
+best AS (SELECT * FROM seg QUALIFY segment = first_value(segment) OVER (PARTITION BY id ORDER BY CASE segment WHEN 'R' THEN 1 ELSE 2 END))
+SELECT isin, symbol, max(segment) AS price_segment, count(c) AS bars, arg_max(c, date) AS last_close FROM named LEFT JOIN best USING (id) GROUP BY isin, symbol""")
+def listing_fallback(spark, sf_dir):
+    """A company per part: symbols from the entry, else by ISIN, else the exchange code; prices from return flag R, else A."""
+    k = F.col("p_partkey")
+    isin = lambda c: F.concat(F.lit("PRT"), c)
+    parts = table(spark, sf_dir, "part")
+    entries = parts.filter(k % 3 != 0).select(isin(k).alias("isin"), F.when(k % 4 == 0, F.concat(F.lit("S"), k)).alias("symbol"), (700000 + k).alias("bse_code"))
+    instruments = parts.filter(k % 5 != 0).select(isin(k).alias("isin"), F.lit("R").alias("segment"), F.concat(F.lit("N"), k).alias("symbol")).unionByName(
+        parts.select(isin(k).alias("isin"), F.lit("A").alias("segment"), F.concat(F.lit("B"), k).alias("symbol")))
+    ticks = trade_ticks(spark, sf_dir).withColumns({"isin": isin(F.col("part_id")), "segment": F.col("flag")})
+    calendar, bars = pre_result_scan.with_listings(entries, instruments, roll_up_ticks(ticks, ["isin", "segment", "date"]), ["R", "A"])
+    last = bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.max_by("c", "date").alias("last_close"))
+    return calendar.join(last, "symbol", "left").select(
+        "isin", "symbol", "price_segment", F.coalesce("bars", F.lit(0)).alias("bars"), "last_close")
+
+
 @query("agg05_scan_summary", f"""{SCAN}, mk AS (SELECT c / lag(c, 5) OVER w - 1 AS a, c / lag(c, 20) OVER w - 1 AS z, c > avg(c) OVER (ORDER BY date ROWS 49 PRECEDING) AS above, date FROM market
   WINDOW w AS (ORDER BY date) QUALIFY row_number() OVER (ORDER BY date DESC) = 1) SELECT (SELECT count(*) FROM pre) AS upcoming, count(score) AS scored, count(score) AS enriched, count(*) FILTER (has_master) AS with_fundamentals, count(deliv_pct_5d) AS with_delivery, count(*) FILTER (sector IS NOT NULL) AS with_sector_index,
   (SELECT CASE WHEN bool_or(has_feed) AND bool_or(has_up) THEN 'nse,upload' WHEN bool_or(has_feed) THEN 'nse' ELSE 'upload' END FROM calendar c WHERE c.isin IN (SELECT isin FROM pre)) AS calendar_sources, (SELECT {r('a', 5, 'market_5d')} FROM mk) AS market_5d, (SELECT {r('z', 5, 'market_20d')} FROM mk) AS market_20d, (SELECT above FROM mk) AS market_above_50dma,

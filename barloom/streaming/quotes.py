@@ -19,10 +19,6 @@ from barloom.sources.bars import order_key
 
 # ---- quotes --------------------------------------------------------------------------------------------
 
-#: Seconds between polls by market status.
-POLL_SECONDS = {"open": 30, "pre-open": 60, "closed": 300, "before-open": 600}
-
-
 def latest_quotes(ticks: DataFrame, fields: list[str], kept_fields: list[str], order: Column) -> DataFrame:
     """The newest row per symbol; ``kept_fields`` keep their last known value when the newest row lacks them.
 
@@ -158,8 +154,3 @@ def run_to_end(query_writer, checkpoint: str) -> None:
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-
-
-def poll_trigger(status: str) -> dict[str, str]:
-    """How often to poll in a market status; the same seconds as ``clock.poll_seconds``."""
-    return {"processingTime": f"{POLL_SECONDS[status]} seconds"}

@@ -210,3 +210,18 @@ def test_late_ticks_and_quote_merge(spark):
     q = spark.createDataFrame([("X", t(1), 1.0, "BUY"), ("X", t(2), 2.0, None)], "symbol string, ts timestamp, ltp double, signal string")
     r = st.latest_quotes(q, ["ltp"], ["signal"], F.col("ts")).first()
     assert (r["ltp"], r["signal"]) == (2.0, "BUY")
+
+
+def test_readers_of_landed_files(spark, tmp_path):
+    (tmp_path / "bars.json").write_text('{"symbol": "A", "t": "2024-01-02T00:00:00+05:30", "o": "1", "h": "2", "l": "0.5", "c": "x", "v": "7", "arrival": 1}\n')
+    from barloom.sources import bars as bar_source
+
+    bar = bar_source.parse_bars(feeds.read_bars_json(spark, str(tmp_path / "bars.json"))).first()
+    assert (bar["symbol"], bar["date"], bar["h"], bar["c"], bar["v"]) == ("A", dt.date(2024, 1, 2), 2.0, None, 7.0)
+    (tmp_path / "instruments.json").write_text('[{"segment": "NSE_EQ", "instrument_type": "EQ", "exchange_token": "1", "isin": "I1", "trading_symbol": "AA", "name": "Alpha"},\n {"isin": "I2"}]')
+    assert [(r["isin"], r["name"]) for r in feeds.read_instruments(spark, str(tmp_path / "instruments.json")).orderBy("isin").collect()] == [("I1", "Alpha"), ("I2", None)]
+    names = [f.name for f in feeds.FUNDAMENTALS_SCHEMA]
+    row = {"Name": "Alpha Ltd", "ISIN Code": "I1", "OPM": "12.5"}
+    (tmp_path / "master.csv").write_text(",".join(names) + "\n" + ",".join(row.get(n, "") for n in names) + "\n" + ",".join(["Beta"] + [""] * (len(names) - 1)) + "\n")
+    got = feeds.read_fundamentals(spark, str(tmp_path / "master.csv")).collect()
+    assert [(r["Name"], r["ISIN Code"], r["OPM"]) for r in got][0] == ("Alpha Ltd", "I1", 12.5) and len({r["row_no"] for r in got}) == len(got)
