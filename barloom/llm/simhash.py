@@ -7,8 +7,13 @@ and only survivors are compared bit by bit.
 
 The tables discard pairs but do not say which pairs to look at, and looking at all is quadratic. So fingerprints first meet by
 equal parts: of k parts at least k - radius are untouched in a close pair, so a pair meets under some choice of k - radius equal
-parts (lossless). Where many meet, no pairs are formed: one after the other takes all that are close to it out of the rest, and a
+parts (lossless). Where more than HOT meet under one choice - the lightly edited copies of one template - the bits outside the choice
+are cut into parts in the same way, and members meet there under more equal parts only (lossless as well), so a task never holds such a
+group. Where many meet, no pairs are formed: one after the other takes all that are close to it out of the rest, and a
 spanning forest of the links is all that is emitted.
+
+Null and empty texts have fingerprint zero and are linked like any other; very long texts are read whole. Null ids are larger than all
+others; repeated rows are nodes of their own. An empty table gives no rows; extra columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -32,6 +37,9 @@ SEED = 42
 #: Fingerprints that may be expected to meet by chance under one choice of parts.
 MEETING = 64
 
+#: Fingerprints that may meet under one choice of parts before it is refined, and the parts the other bits are cut into then.
+HOT, FINE = 4096, 8
+
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -87,6 +95,18 @@ def scheme(n: int, radius: int, meeting: int = MEETING) -> tuple[list[int], int]
     return masks, equal
 
 
+def refinements(mask: int, radius: int, fine: int = FINE) -> list[int]:
+    """Masks over the bits outside ``mask`` of which two fingerprints within the radius agree on one at least."""
+    free, fine = [b for b in range(64) if not mask >> b & 1], max(fine, 2 * radius)
+    edges = [round(len(free) * i / fine) for i in range(fine + 1)]
+    parts = [sum(1 << b for b in free[a:z]) for a, z in zip(edges, edges[1:])]
+    return [sum(some) for some in combinations(parts, fine - radius)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def forest(fps: np.ndarray, table: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """Links of a spanning forest over all pairs within the radius; every one is a link of the input."""
     order = np.argsort(table[:, 0], kind="stable")
@@ -109,16 +129,22 @@ def forest(fps: np.ndarray, table: np.ndarray, radius: int) -> tuple[list[int],
     return a, b
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, meeting: int = MEETING) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, meeting: int = MEETING, hot: int = HOT) -> DataFrame:
     """(a, b) over distinct fingerprints: links within the radius that connect whatever is connected."""
     masks, equal = scheme(distinct.count(), radius, meeting)
     fp = F.col("fp")
-    keys = []
-    for i, some in enumerate(combinations(masks, equal)):
-        mask = int(np.uint64(sum(some)).astype(np.int64))
-        keys.append(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(mask))))
-    rows = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", pivot_table(fp, pivots).alias("near"))
-    met = rows.repartition("key").sortWithinPartitions("key")
+    chosen = [sum(some) for some in combinations(masks, equal)]
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(_signed(m)))).alias("key")) for i, m in enumerate(chosen)])
+    rows = distinct.select(F.explode(keys).alias("k"), "fp").select("k.*", "fp")
+    crowded = stage(rows.groupBy("key").count().filter(F.col("count") > hot).select("key"), "crowded")
+    if not crowded.isEmpty():
+        finer = F.array().cast("array<bigint>")
+        for i, m in enumerate(chosen):
+            finer = F.when(F.col("choice") == i, F.array(*[F.xxhash64(F.lit(j), "key", fp.bitwiseAND(F.lit(_signed(x)))) for j, x in enumerate(
+                refinements(m, radius))])).otherwise(finer)
+        rows = rows.join(crowded, "key", "left_anti").select("key", "fp").union(
+            rows.join(crowded, "key", "left_semi").select(F.explode(finer).alias("key"), "fp"))
+    met = rows.select("key", "fp", pivot_table(fp, pivots).alias("near")).repartition("key").sortWithinPartitions("key")
 
     def solve(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, out: tuple[list, list]) -> None:
         cuts = np.flatnonzero(np.diff(keys)) + 1
@@ -155,8 +181,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, meeti
 def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its component).
 
-    Null text is empty: fingerprint zero, linked like any other. Null ids are larger than all others. Repeated rows are nodes of
-    their own.
+    See the module for nulls, empty texts and repeated rows.
     """
     rows = fingerprints(docs, shingle_words)
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")

@@ -114,9 +114,9 @@ def test_near_copies(docs, empty):
     assert simhash.near_copies(empty).count() == 0
 
 
-@pytest.mark.parametrize("meeting", [64, 0.001])
-def test_links_connect_dense_groups(spark, meeting):
-    """Fingerprints around a few centres, under few and many parts; no link between different ones is lost."""
+@pytest.mark.parametrize("meeting,hot", [(64, simhash.HOT), (0.001, simhash.HOT), (64, 5), (0.001, 2)])
+def test_links_connect_dense_groups(spark, meeting, hot):
+    """Fingerprints around a few centres, under few and many parts, with crowded keys refined; no link between different ones is lost."""
     r = random.Random(5)
     fps = set()
     for _ in range(4):
@@ -128,7 +128,7 @@ def test_links_connect_dense_groups(spark, meeting):
             fps.add(x)
     fps = sorted(fps)
     signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
-    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3), meeting=meeting).collect()
+    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3), meeting=meeting, hot=hot).collect()
     assert all((a ^ b).bit_count() <= 4 for a, b in ((x.a % (1 << 64), x.b % (1 << 64)) for x in got))
     pairs = {(x.a, x.b) for x in got}
     label = {r.node: r.root for r in components.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
