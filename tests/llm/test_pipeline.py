@@ -48,7 +48,7 @@ def test_stages(spark):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "labels"):
+    for t in ("documents", "conversations", "labels", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = registry.QUERIES[name](spark, FOLDER)
     cur = con.execute(registry.SQL[name])
