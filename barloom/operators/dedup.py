@@ -133,15 +133,19 @@ def similar_titles(vectors: DataFrame, places: DataFrame, threshold: float, fact
 
 # ---- entities and the same-story test ----------------------------------------------------------------------
 
+FEW_ALIASES = 50_000
+
+
 def entities(titles: DataFrame, aliases: DataFrame) -> DataFrame:
     """(key, entities): symbols whose alias stands in the title as whole words.
 
     ``aliases`` is (alias, symbol). Runs of title words, up to the length of the longest alias, are joined with the
-    aliases' words, then the exact spelling is tested on those few hits.
+    aliases' words, then the exact spelling is tested on those few hits. Up to ``FEW_ALIASES`` aliases go to every task; more of them
+    are joined by shuffle. The runs are never broadcast: there are many times more of them than the planner expects of the titles.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    known = aliases.select(F.lower("alias").alias("alias"), "symbol", F.concat_ws(" ", words(F.col("alias"))).alias("gram"))
-    longest = aliases.agg(F.max(F.size(words(F.col("alias"))))).first()[0] or 1
+    known = stage(aliases.select(F.lower("alias").alias("alias"), "symbol", F.concat_ws(" ", words(F.col("alias"))).alias("gram")), "aliases")
+    n, longest = known.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(F.split("gram", " "))), F.lit(1))).first()
     w = F.col("w")
 
     def runs_of(k: int) -> Column:
@@ -151,7 +155,8 @@ def entities(titles: DataFrame, aliases: DataFrame) -> DataFrame:
 
     runs = [w] + [runs_of(k) for k in range(2, longest + 1)]
     split = titles.select("key", words(F.col("key")).alias("w"))
-    hits = split.select("key", F.explode(F.array_distinct(F.concat(*runs))).alias("gram")).join(known, "gram")
+    grams = split.select("key", F.explode(F.array_distinct(F.concat(*runs))).alias("gram"))
+    hits = grams.join(F.broadcast(known), "gram") if n <= FEW_ALIASES else grams.hint("merge").join(known, "gram")
     quoted = F.concat(F.lit(r"\b\Q"), F.col("alias"), F.lit(r"\E\b"))
     return hits.filter(F.regexp_like(F.lower("key"), quoted)).groupBy("key").agg(F.collect_set("symbol").alias("entities"))
 
