@@ -39,7 +39,7 @@ def title_runs(articles: DataFrame, window_h: float = DAY_H) -> DataFrame:
 def run_of(articles: DataFrame, runs: DataFrame, window_h: float = DAY_H) -> DataFrame:
     """(item_id, node): the run each article belongs to, found by title and hour."""
     hours = runs.select("key", "node", F.explode(F.sequence(F.floor("start"), F.floor("end"))).alias("hour"))
-    return articles.select("item_id", "key", F.floor("hours_ago").alias("hour")).join(hours, ["key", "hour"]).select("item_id", "node")
+    return articles.select("item_id", "key", F.floor("hours_ago").alias("hour")).join(hours.hint("merge"), ["key", "hour"]).select("item_id", "node")
 
 
 # ---- title vectors --------------------------------------------------------------------------------------
@@ -113,17 +113,18 @@ def similar_titles(vectors: DataFrame, places: DataFrame, threshold: float, fact
 
     Terms are taken rare first. If two titles share no term before the point where the rest of one of them is
     shorter than the threshold, their cosine is below it; so only those leading terms are joined. Lossless.
-    ``places`` is (key, day, role).
+    ``places`` is (key, day, role). What is exploded or packed here is much larger than the planner expects, so it is joined by
+    shuffle and never broadcast.
     """
     rest = Window.partitionBy("key").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     lead = vectors.select("key", "term", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest)).alias("tail")).filter(
         F.col("tail") >= threshold - 1e-9)
     asks, gives = veto_keys(facts)
     at = ["day", "term", "entity", "tone"]
-    side = lambda role, keys: places.filter(F.col("role") == role).join(lead, "key").join(keys, "key").select(
+    side = lambda role, keys: places.filter(F.col("role") == role).hint("merge").join(lead, "key").join(keys.hint("merge"), "key").select(
         *at, F.col("key").alias(role))
-    maybe = side("p", asks).join(side("c", gives), at).filter("p < c").select("p", "c").distinct()
-    packed = vectors.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))
+    maybe = side("p", asks).join(side("c", gives).hint("merge"), at).filter("p < c").select("p", "c").distinct()
+    packed = vectors.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v")).hint("merge")
     both = maybe.join(packed.select(F.col("key").alias("p"), F.col("v").alias("pv")), "p").join(
         packed.select(F.col("key").alias("c"), F.col("v").alias("cv")), "c")
     dot = F.aggregate(F.map_entries("pv"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(
@@ -220,8 +221,8 @@ def story_links(articles: DataFrame, aliases: DataFrame, window_h: float = DAY_H
     node = F.struct("node", "start", "end")
     at = lambda name: runs.select(F.col("key").alias(name), node.alias(f"{name}_run"))
     known = lambda name: facts.select(F.col("key").alias(name), F.struct(*[c for c in facts.columns if c != "key"]).alias(f"{name}_facts"))
-    judged = pairs.join(known("p"), "p").join(known("c"), "c").filter(same_story(F.col("sim"), "p_facts", "c_facts")).select("p", "c")
-    edges = judged.join(at("p"), "p").join(at("c"), "c").filter(_within("p_run", "c_run", window_h)).select(
+    judged = pairs.join(known("p").hint("merge"), "p").join(known("c").hint("merge"), "c").filter(same_story(F.col("sim"), "p_facts", "c_facts")).select("p", "c")
+    edges = judged.join(at("p").hint("merge"), "p").join(at("c").hint("merge"), "c").filter(_within("p_run", "c_run", window_h)).select(
         F.col("p_run.node").alias("a"), F.col("c_run.node").alias("b"))
     stories = connected_components(runs.select("node"), edges)
     return run_of(keyed, runs, window_h).join(stories, "node").select("item_id", F.col("label").alias("story"))
