@@ -151,10 +151,11 @@ def level_alerts(spark, sf_dir):
         F.when(k < 4, level).when(e % 2 == 0, "BUY").otherwise("SELL").alias("value"), (e % 2).cast("int").alias("part"))
     said = ticks.withColumn("part", F.when(F.col("ts") < "2024-01-11", 0).when(F.col("ts") < "2024-01-21", 1).otherwise(2))
     both = said.unionByName(alerts, allowMissingColumns=True)
-    out = fresh_dir(spark, "fired")
+    out, many = fresh_dir(spark, "fired"), 10_000
+    shares = stage(alerts.groupBy("symbol").agg(F.ceil(F.count("*") / many).alias("shares")).filter("shares > 1"), "shares")
 
     def start(rows: DataFrame):
-        fired = alert_stream.level_alerts(rows.filter("alert_id is null"), rows.filter("alert_id is not null"))
+        fired = alert_stream.level_alerts(rows.filter("alert_id is null"), rows.filter("alert_id is not null"), shares=shares)
         return fired.writeStream.outputMode("append").foreachBatch(save_batches(out))
 
     in_parts(both, F.col("part"), 3, start)

@@ -2,7 +2,8 @@
 first record at or beyond its level. Work grows with ticks plus alerts, never with their product.
 
 Alerts are a stream too: a row arms an alert, and the state holds the armed ones until they fire. A symbol's alerts are dealt over
-``spread`` state groups by their id, so a symbol with a third of all alerts is no single task; each group gets the symbol's records.
+shares by their id, so a symbol with a third of all alerts is no single task; each share gets the symbol's records. Shares of all
+symbols are dealt over ``GROUPS`` state groups, so a symbol costs no group of its own.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SPREAD = 16
+GROUPS = 512
 #: (metric, condition) of alerts with a level, and the sign under which "at or beyond" means "at least".
 LEVELS = {("price", "above"): 1.0, ("price", "below"): -1.0, ("rsi", "above"): 1.0, ("rsi", "below"): -1.0}
 COLUMN = {"price": "ltp", "rsi": "rsi"}
 RECORD = "symbol string, ts timestamp, tick_id long, ltp double, rsi double, signal string"
 FIRED = "alert_id string, symbol string, metric string, value string, tick_id long, ts timestamp, ltp double"
-STATE = "alert_id array<string>, metric array<string>, condition array<string>, value array<string>"
+STATE = "symbol array<string>, alert_id array<string>, metric array<string>, condition array<string>, value array<string>"
 
 
 def _records(rows: pd.DataFrame) -> np.ndarray:
@@ -48,47 +50,73 @@ def records_in_part(ticks: DataFrame) -> DataFrame:
 
 
 def first_hits(armed: pd.DataFrame, ticks: pd.DataFrame) -> np.ndarray:
-    """For each armed alert the place of the first tick (sorted) that fires it, or -1."""
+    """For each armed alert the place of the first tick of its symbol that fires it, or -1. ``ticks`` are sorted by symbol and order."""
     hit = np.full(len(armed), -1)
     level = pd.to_numeric(armed["value"], errors="coerce").to_numpy(float)
-    for (metric, condition), sign in LEVELS.items():
-        mine = np.flatnonzero((armed["metric"] == metric) & (armed["condition"] == condition) & ~np.isnan(level))
-        value = sign * ticks[COLUMN[metric]].to_numpy(float)
-        highest = np.maximum.accumulate(np.where(np.isnan(value), -np.inf, value))
-        at = np.searchsorted(highest, sign * level[mine], side="left")
-        hit[mine] = np.where(at < len(ticks), at, -1)
-    wants = np.flatnonzero(armed["metric"] == "signal")
-    firsts = ticks[ticks["signal"].notna()].drop_duplicates("signal")
-    for place, signal in zip(firsts.index[::-1], firsts["signal"][::-1]):           # earlier ones overwrite later ones
-        for i in wants:
-            wanted = armed["value"].iat[i]
-            if signal == wanted or (wanted in ("BUY", "SELL") and wanted in signal):
-                hit[i] = place
+    kind = np.full(len(armed), -1)
+    for n, (metric, condition) in enumerate(LEVELS):
+        kind[((armed["metric"] == metric) & (armed["condition"] == condition)).to_numpy() & ~np.isnan(level)] = n
+    kind[(armed["metric"] == "signal").to_numpy()] = len(LEVELS)
+    wanted, said = armed["value"].to_numpy(object), ticks["signal"].to_numpy(object)
+    values = [(COLUMN[metric], sign) for (metric, _), sign in LEVELS.items()]
+    columns = {c: ticks[c].to_numpy(float) for c in COLUMN.values()}
+    of = ticks["symbol"].to_numpy(object)
+    starts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)]
+    places = {of[lo]: (lo, hi) for lo, hi in zip(starts, starts[1:])}
+    for symbol, mine in armed.groupby("symbol").indices.items():
+        if symbol not in places:
+            continue
+        lo, hi = places[symbol]
+        for n in np.unique(kind[mine]):
+            some = mine[kind[mine] == n]
+            if n == len(LEVELS):
+                first: dict[str, int] = {}
+                for i in range(lo, hi):
+                    if isinstance(said[i], str):
+                        first.setdefault(said[i], i)
+                for i in some:
+                    w = wanted[i]
+                    hit[i] = min((at for x, at in first.items() if x == w or (w in ("BUY", "SELL") and w in x)), default=-1)
+            elif n >= 0:
+                column, sign = values[n]
+                value = sign * columns[column][lo:hi]
+                highest = np.maximum.accumulate(np.where(np.isnan(value), -np.inf, value))
+                at = np.searchsorted(highest, sign * level[some], side="left")
+                hit[some] = np.where(at < hi - lo, lo + at, -1)
     return hit
 
 
-def level_alerts(ticks: DataFrame, alerts: DataFrame, spread: int = SPREAD) -> DataFrame:
+def level_alerts(ticks: DataFrame, alerts: DataFrame, spread: int = SPREAD, shares: DataFrame | None = None, groups: int = GROUPS) -> DataFrame:
     """The alerts that fire, each with the tick that fired it.
 
     ``alerts``: alert_id, symbol, metric (price, rsi, signal), condition (above, below) and value (a level, or a signal family); a row
     arms its alert from its batch on, and once more if it comes again after firing. A level that is no number never fires.
+    ``shares`` (symbol, shares) names the symbols with many alerts, a small table; the others have one share then. Without it every
+    symbol has ``spread``. Shares and groups have to stay as they are as long as a checkpoint is used.
     """
     none = lambda t: F.lit(None).cast(t)
-    armed = alerts.filter((F.col("metric") == "signal") | F.col("value").try_cast("double").isNotNull()).select(
-        "symbol", F.pmod(F.xxhash64("alert_id"), F.lit(spread)).cast("int").alias("share"), "alert_id", "metric", "condition", "value",
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        if shares is None:
+            return rows.withColumn("shares", F.lit(spread))
+        return rows.join(F.broadcast(shares.select("symbol", F.col("shares").cast("int"))), "symbol", "left").fillna(1, ["shares"])
+
+    slot = F.pmod(F.xxhash64("symbol", "share"), F.lit(groups))
+    armed = dealt(alerts.filter((F.col("metric") == "signal") | F.col("value").try_cast("double").isNotNull())).select(
+        "symbol", F.pmod(F.xxhash64("alert_id"), F.col("shares")).cast("int").alias("share"), "alert_id", "metric", "condition", "value",
         none("timestamp").alias("ts"), none("long").alias("tick_id"), none("double").alias("ltp"), none("double").alias("rsi"), none("string").alias("signal"))
-    told = records_in_part(ticks).select(
-        "symbol", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("share"), *[none("string").alias(c) for c in (
+    told = dealt(records_in_part(ticks)).select(
+        "symbol", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *[none("string").alias(c) for c in (
             "alert_id", "metric", "condition", "value")], "ts", "tick_id", "ltp", "rsi", "signal")
-    names = ["alert_id", "metric", "condition", "value"]
+    names = ["symbol", "alert_id", "metric", "condition", "value"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames), ignore_index=True)
         new = rows[rows["alert_id"].notna()][names]
         if held.exists:
             new = pd.concat([pd.DataFrame(dict(zip(names, map(list, held.get))), dtype=object), new], ignore_index=True)
-        new = new.drop_duplicates("alert_id", keep="last").reset_index(drop=True)
-        ticks_ = rows[rows["alert_id"].isna()].sort_values(["ts", "tick_id"], kind="stable", ignore_index=True)
+        new = new[new["symbol"].notna()].drop_duplicates(["symbol", "alert_id"], keep="last").reset_index(drop=True)
+        ticks_ = rows[rows["alert_id"].isna()].sort_values(["symbol", "ts", "tick_id"], kind="stable", ignore_index=True)
         hit = first_hits(new, ticks_) if len(ticks_) and len(new) else np.full(len(new), -1)
         left = new[hit < 0]
         if len(left):
@@ -97,7 +125,7 @@ def level_alerts(ticks: DataFrame, alerts: DataFrame, spread: int = SPREAD) -> D
             held.remove()
         done = new[hit >= 0]
         by = ticks_.iloc[hit[hit >= 0]]
-        yield pd.DataFrame({"alert_id": done["alert_id"].tolist(), "symbol": key[0], "metric": done["metric"].tolist(), "value": done["value"].tolist(),
+        yield pd.DataFrame({"alert_id": done["alert_id"].tolist(), "symbol": done["symbol"].tolist(), "metric": done["metric"].tolist(), "value": done["value"].tolist(),
                             "tick_id": by["tick_id"].astype("int64").tolist(), "ts": by["ts"].tolist(), "ltp": by["ltp"].tolist()})
 
-    return armed.unionByName(told).groupBy("symbol", "share").applyInPandasWithState(step, FIRED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return armed.unionByName(told).withColumn("slot", slot).groupBy("slot").applyInPandasWithState(step, FIRED, STATE, "append", GroupStateTimeout.NoTimeout)
