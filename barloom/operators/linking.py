@@ -161,15 +161,20 @@ def token_set_pairs(places: DataFrame, sets: DataFrame, scope: list[str], thresh
 
 # ---- vectors ------------------------------------------------------------------------------------------
 
+CHUNKS, CHUNK_ROWS = 12, 30_000
+
+
 def close_vectors(items: DataFrame, threshold: float, window_h: float = 24.0, block_rows: int = 2000) -> DataFrame:
     """Pairs (a < b, sim) of unit vectors with cosine >= threshold that lie at most ``window_h`` hours apart.
 
-    ``items`` is (node, hours, vec). A day is split into chunks of about ``block_rows`` rows; a task multiplies two
-    chunks of the same or of neighbouring windows and gives back only what passes. No pair is lost and no group
-    grows with the data.
+    ``items`` is (node, hours, vec). A day is split into chunks; a task multiplies two chunks of the same or of neighbouring
+    windows, ``block_rows`` rows of each at a time, and gives back only what passes. A row is sent to every chunk near it, so a day
+    has ``CHUNKS`` of them, fewer if they would hold less than ``block_rows`` and more if they would hold over ``CHUNK_ROWS`` rows. No pair
+    is lost, and up to days of CHUNKS * CHUNK_ROWS rows what is shuffled grows with the rows, not with their square.
     """
     placed = items.withColumn("day", F.floor(F.col("hours") / window_h).cast("long"))
-    chunks = placed.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("k"))
+    chunks = placed.groupBy("day").agg(F.greatest(
+        F.least(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(CHUNKS)), F.ceil(F.count(F.lit(1)) / CHUNK_ROWS)).cast("int").alias("k"))
     near = lambda shift, name: chunks.select((F.col("day") + shift).alias("day"), F.col("k").alias(name))
     sized = placed.join(chunks, "day").join(near(-1, "k_next"), "day", "left").join(near(1, "k_prev"), "day", "left")
     mine = sized.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
@@ -188,12 +193,17 @@ def close_vectors(items: DataFrame, threshold: float, window_h: float = 24.0, bl
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": [], "sim": []})
-        v, w = np.stack(left.vec.to_numpy()).astype(float), np.stack(right.vec.to_numpy()).astype(float)
-        sim = v @ w.T
-        close = (sim >= threshold) & (np.abs(left.hours.to_numpy()[:, None] - right.hours.to_numpy()[None, :]) <= window_h)
-        i, j = np.nonzero(close)
-        a, b = left.node.to_numpy()[i], right.node.to_numpy()[j]
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim[i, j]})
+        v, w = (np.stack(x.vec.to_numpy()).astype(float) for x in (left, right))
+        (n, h), (m, g) = ((x.node.to_numpy(), x.hours.to_numpy()) for x in (left, right))
+        found = []
+        for i0 in range(0, len(v), block_rows):
+            for j0 in range(0, len(w), block_rows):
+                rows, cols = slice(i0, i0 + block_rows), slice(j0, j0 + block_rows)
+                sim = v[rows] @ w[cols].T
+                i, j = np.nonzero((sim >= threshold) & (np.abs(h[rows][:, None] - g[cols][None, :]) <= window_h))
+                a, b = n[rows][i], m[cols][j]
+                found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim[i, j]}))
+        out = pd.concat(found, ignore_index=True)
         return out[out.a < out.b].drop_duplicates(["a", "b"])
 
     return spread.groupBy("d1", "c1", "d2", "c2").applyInPandas(multiply, "a long, b long, sim double")
