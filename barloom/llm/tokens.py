@@ -6,12 +6,11 @@ import os
 import re
 import string
 from functools import cache
-from itertools import islice
 
 import numpy as np
 
-#: Words that one Python worker remembers; beyond that the older half goes.
-CACHE_WORDS = 600_000
+#: Words of a generation; one Python worker remembers two, and a word of the older one that comes again moves to the newer.
+CACHE_WORDS = 500_000
 #: Marks that end a word; together they are one pre-token of a byte-level BPE.
 MARKS = string.punctuation
 #: A blank between two characters that are no white space starts a new pre-token of a byte-level BPE, whatever surrounds it.
@@ -35,6 +34,7 @@ class PieceTokenizer:
         for token, i in self.library.get_vocab().items():
             self.starts[i] = token.startswith("Ġ")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -76,10 +76,10 @@ class PieceTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        for name in ("known", "firsts"):
-            old = getattr(self, name)
-            if len(old) > CACHE_WORDS:
-                setattr(self, name, dict(islice(old.items(), len(old) // 2, None)))
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        if len(self.firsts) > CACHE_WORDS:
+            self.firsts = {}
         known, out, rest = self.known, [b""] * len(texts), []
         new: set[str] = set()
         for i, text in enumerate(texts):
@@ -92,7 +92,9 @@ class PieceTokenizer:
             else:
                 out[i] = b"".join([self._first(first), *found])
         odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        self._learn(new - odd)
+        again = new.intersection(self.older)
+        known.update(zip(again, map(self.older.__getitem__, again)))
+        self._learn(new.difference(odd, again))
         for i, first, words, found, beside in rest:
             if beside or (odd and not odd.isdisjoint(words)):
                 out[i] = self._by_boundaries(texts[i])
