@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -22,6 +22,11 @@ def found(text: Column, pattern: str, group: int = 0, any_case: bool = True) ->
     return F.nullif(F.regexp_extract(text, (ANY_CASE if any_case else "(?U)") + pattern, group), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in there (a branch of ``when`` shares nothing by itself)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
@@ -81,16 +86,36 @@ def headline_title(title: Column, source: Column) -> Column:
 
 # ---- amounts ---------------------------------------------------------------------------------------
 
+#: Marks around a hit and between its fields; the same control characters inside a text are read as another one, which is no word either.
+HIT, FIELD, OTHER_CONTROL = "\x01", "\x02", "\x03"
+#: A hit begins with a currency, a space or a digit; other places are passed over by one look.
+AMOUNT_START = r"(?=[₹$€riue\s\d])"
+
+
+def amount_pieces(text: Column) -> Column:
+    """The text cut at its amounts, by one pass of the pattern: what is between them, and at odd places their currency, number, unit and whole."""
+    plain = F.translate(text, HIT + FIELD, OTHER_CONTROL * 2)
+    marked = F.regexp_replace(plain, ANY_CASE + AMOUNT_START + er.AMOUNT, f"{HIT}$1{FIELD}$2{FIELD}$3{FIELD}$0{HIT}")
+    return F.split(marked, HIT, -1)
+
+
+def hits_of(pieces: Column) -> Column:
+    fields = lambda f: F.struct(*[F.get(f, F.lit(i)).alias(n) for i, n in enumerate(("cur", "num", "unit", "whole"))])
+    return F.transform(F.filter(pieces, lambda p, i: i % 2 == 1), lambda p: let(F.split(p, FIELD, -1), fields))
+
+
 def amount_hits(text: Column) -> Column:
-    """array of struct(cur, num, unit) for every number in the text that is no count of goods or people."""
-    parts = [F.regexp_extract_all(text, F.lit(ANY_CASE + er.AMOUNT), F.lit(i)) for i in (1, 2, 3)]
-    return F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("cur", "num", "unit"))])
+    """array of struct(cur, num, unit, whole) for every number in the text that is no count of goods or people."""
+    return hits_of(amount_pieces(text))
 
 
 def in_crore(hit: Column, allow_bare: Column | None = None) -> Column:
     """The amount in crore; null for a plain number. A bare number needs a currency and at least 1000."""
-    cur, unit = F.lower(hit["cur"]), F.lower(hit["unit"])
-    v = F.regexp_replace(hit["num"], ",", "").cast("double")
+    facts = F.struct(F.lower(hit["cur"]).alias("cur"), F.lower(hit["unit"]).alias("unit"), F.replace(hit["num"], F.lit(","), F.lit("")).cast("double").alias("v"))
+    return let(facts, lambda f: _in_crore(f["cur"], f["unit"], f["v"], allow_bare))
+
+
+def _in_crore(cur: Column, unit: Column, v: Column, allow_bare: Column | None) -> Column:
     rate = F.when(cur.isin("usd", "us$", "$"), F.lit(fv.USD_RATE)).when(cur.isin("eur", "€"), F.lit(fv.EUR_RATE)).otherwise(F.lit(1.0))
     scale = (
         F.when(unit.isin("lakh crore", "lakh cr"), 1e5).when(unit == "thousand crore", 1e3)
@@ -112,34 +137,41 @@ def order_value(text: Column) -> Column:
 
     One fold over the hits carries the last 45 characters before each of them.
     """
-    hits = amount_hits(text)
-    whole = F.regexp_extract_all(text, F.lit(ANY_CASE + er.AMOUNT), F.lit(0))
-    gaps = F.split(text, ANY_CASE + er.AMOUNT, -1)
-    steps = F.arrays_zip(hits.alias("h"), whole.alias("w"), F.slice(gaps, 1, F.size(hits)).alias("g"))
     start = F.struct(F.lit("").alias("tail"), F.lit(None).cast("double").alias("own"), F.lit(None).cast("double").alias("any"))
 
-    def step(s: Column, x: Column) -> Column:
-        before = F.right(F.concat(s["tail"], x["g"]), F.lit(45))
-        value = in_crore(x["h"])
-        running = search(before, er.RUNNING_TOTAL)
+    def take(s: Column, before: Column, value: Column, w: Column) -> Column:
         return F.struct(
-            F.right(F.concat(before, x["w"]), F.lit(45)).alias("tail"),
-            F.coalesce(s["own"], F.when(~running, value)).alias("own"),
+            F.right(F.concat(before, w), F.lit(45)).alias("tail"),
+            F.coalesce(s["own"], F.when(~search(before, er.RUNNING_TOTAL), value)).alias("own"),
             F.coalesce(s["any"], value).alias("any"))
 
-    return F.aggregate(steps, start, step, lambda s: F.coalesce(s["own"], s["any"]))
+    def step(s: Column, x: Column) -> Column:
+        now = F.struct(F.right(F.concat(s["tail"], x["g"]), F.lit(45)).alias("before"), in_crore(x["h"]).alias("value"))
+        return let(now, lambda n: take(s, n["before"], n["value"], x["h"]["whole"]))
+
+    def fold(pieces: Column) -> Column:
+        hits, gaps = hits_of(pieces), F.filter(pieces, lambda p, i: i % 2 == 0)
+        steps = F.arrays_zip(hits.alias("h"), F.slice(gaps, F.lit(1), F.size(gaps) - 1).alias("g"))
+        return F.aggregate(steps, start, step, lambda s: F.coalesce(s["own"], s["any"]))
+
+    return let(amount_pieces(text), fold)
 
 
 def execution_months(text: Column, ref_local: Column) -> Column:
     """Months to carry out an order: a stated period of half a month to 15 years, else a stated fiscal year."""
-    n = found(text, er.PERIOD, 1).cast("double")
-    u = F.lower(found(text, er.PERIOD, 2))
-    months = (F.when(u.startswith("y"), n * 12).when(u.startswith("d"), n / 30).when(u.startswith("w"), n / 4.3).otherwise(n))
-    stated = F.when((months >= 0.5) & (months <= 180), F.round(months, 1))
-    y = F.coalesce(found(text, er.BY_YEAR, 1), found(text, er.BY_YEAR, 2))
-    year = y.cast("int") + F.when(F.length(y) == 2, 2000).otherwise(0)
-    until = (year - F.year(ref_local)) * 12 + (3 - F.month(ref_local))
-    return F.coalesce(stated, F.when(until.between(1, 180), until.cast("double")))
+    part = lambda pattern, group: F.regexp_extract(text, ANY_CASE + pattern, group)
+
+    def stated(p: Column) -> Column:
+        n, u = p["n"], p["u"]
+        months = F.when(u.startswith("y"), n * 12).when(u.startswith("d"), n / 30).when(u.startswith("w"), n / 4.3).otherwise(n)
+        return let(months, lambda m: F.when((m >= 0.5) & (m <= 180), F.round(m, 1)))
+
+    def until(y: Column) -> Column:
+        year = y.try_cast("int") + F.when(F.length(y) == 2, 2000).otherwise(0)
+        return let((year - F.year(ref_local)) * 12 + (3 - F.month(ref_local)), lambda m: F.when(m.between(1, 180), m.cast("double")))
+
+    period = F.struct(part(er.PERIOD, 1).try_cast("double").alias("n"), F.lower(part(er.PERIOD, 2)).alias("u"))
+    return F.coalesce(let(period, stated), let(F.concat(part(er.BY_YEAR, 1), part(er.BY_YEAR, 2)), until))
 
 
 def client_name(text: Column) -> Column:
@@ -147,7 +179,8 @@ def client_name(text: Column) -> Column:
     strip = lambda c: F.btrim(c, F.lit(" .,-"))
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: ~w.isin(*er.CLIENT_CONNECTORS) & (w != ""))
     runs = F.transform(F.regexp_extract_all(text, F.lit("(?U)" + er.CLIENT_CASE_SENSITIVE), F.lit(1)), strip)
-    names = F.filter(runs, lambda c: (F.size(words(c)) > 0) & ~F.get(words(c), F.lit(0)).isin(*er.CLIENT_STOP) & (F.length(c) >= 3))
+    named = lambda w: (F.size(w) > 0) & ~F.get(w, F.lit(0)).isin(*er.CLIENT_STOP)
+    names = F.filter(runs, lambda c: (F.length(c) >= 3) & let(words(c), named))
     return F.regexp_replace(F.get(names, F.lit(0)), r"(\s+(of|and|for))+$", "")
 
 
@@ -170,8 +203,8 @@ def reliability(source_type: Column, source: Column, title: Column, company: Col
 
 def token_set(text: Column, stop: Sequence[str]) -> Column:
     """Distinct lower-case runs of letters and digits, without stop words."""
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
-    return F.array_except(tokens, F.array(*[F.lit(s) for s in stop]))
+    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")
+    return F.array_except(tokens, F.array(*[F.lit(s) for s in ("", *stop)]))
 
 
 def jaccard(a: Column, b: Column) -> Column:

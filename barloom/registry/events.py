@@ -160,7 +160,7 @@ scored_events AS MATERIALIZED (SELECT *, round(p, 2) AS priced_in, round(directi
 # ---- shared frames ----------------------------------------------------------------------------------------
 
 def measured_items(spark, sf_dir) -> DataFrame:
-    return events.measure(events.classify(filings(spark, sf_dir)))
+    return events.measure(events.classify(filings(spark, sf_dir)).drop("matched"))
 
 
 def analysed(spark, sf_dir) -> DataFrame:
