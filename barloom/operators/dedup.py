@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions import event_rules as er
 from barloom.functions import text_events as te
 from barloom.operators.linking import close_vectors, connected_components, token_set_pairs, unit, with_frequency
-from barloom.session import spread, stage
+from barloom.session import parted, spread, stage
 
 DAY_H = 24.0
 
@@ -55,6 +55,11 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
+def counted(terms: Column) -> Column:
+    """array of struct(term, tf): each different term of one title with how often it stands there."""
+    return F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.size(F.filter(terms, lambda x: x == t)).cast("long").alias("tf")))
+
+
 class Corpus(NamedTuple):
     """How often terms stand in the titles that weights are measured on: df is (term, df)."""
 
@@ -74,15 +79,16 @@ def tfidf(titles: DataFrame, stop: Sequence[str] | None = None, corpus: Corpus |
     ``titles`` is (key, n): n copies count as n documents. With ``corpus`` the weights are those of another set of titles,
     so that they stay as they are while titles come in; a term that is new to it has df 0.
     """
-    terms = titles.select("key", "n", F.explode(title_terms(F.col("key"), stop or english_stop_words())).alias("term"))
-    tf = stage(terms.groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf")))
+    held = titles.withColumn("terms", title_terms(F.col("key"), stop or english_stop_words()))
+    tf = stage(held.select("key", "n", F.explode(counted(F.col("terms"))).alias("t")).select("key", "n", "t.*"))
     if corpus is None:
         df, total = tf.groupBy("term").agg(F.sum("n").alias("df")), titles.agg(F.sum("n")).scalar()
     else:
         own = tf.select("term").distinct().join(corpus.df, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
         df, total = stage(own, "frequencies"), corpus.titles
-    raw = with_frequency(tf, df, "term", "df").select(
+    weighed = with_frequency(tf, df, "term", "df").select(
         "key", "term", "df", (F.col("tf") * (F.ln((1 + total) / (1 + F.col("df"))) + 1)).alias("w"))
+    raw = parted(weighed, tf, "key")
     of_title = Window.partitionBy("key")                     # the terms of one title
     return raw.select("key", "term", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_title))).alias("weight"))
 

@@ -11,7 +11,7 @@ from barloom.registry.market import (
     DELIVERY, RESULT_FEATURES, SIGNAL, day, delivery_days, rounded, signal_rows,
 )
 from barloom.registry.snippets import BARS, MARKET, SECTORS, TICKS, UNIVERSE, r, rs
-from barloom.session import stage
+from barloom.session import parted, stage
 from barloom.sources import feeds, sinks
 from barloom.sources.bindings import (
     HOLIDAYS, TODAY, bars_daily, brand_master, brand_number, listings, market_index, meeting_rows, part_master, quotes,
@@ -150,9 +150,10 @@ def past_dates(spark, sf_dir):
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_linenumber <> 7 GROUP BY ALL""")
 def filing_feeds(spark, sf_dir):
     """Line items spelled as the two exchanges' announcement feeds; line 7 has no readable time."""
-    rows = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(
-        table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, sf_dir, "lineitem")
+    sent = parted(lines.select("l_orderkey", "l_linenumber", "l_shipdate", "l_linestatus", "l_returnflag"), lines, "l_orderkey").join(
+        parted(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), lines, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = sent.join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     at = F.timestamp_seconds(F.unix_timestamp("l_shipdate") + (F.col("l_orderkey") % 1440) * 60)
     k = F.col("l_linenumber")
     line = F.when(k == 1, "").otherwise(F.concat(F.lit("Line "), k))
@@ -167,9 +168,9 @@ def filing_feeds(spark, sf_dir):
         F.concat(F.lit("head "), "l_returnflag").alias("HEADLINE"),
         F.when(k != 1, "General").alias("CATEGORYNAME"), F.lit("").alias("ATTACHMENTNAME"))
     both = screen.union_all(feeds.filings_from_symbol_feed(a), feeds.filings_from_code_feed(c))
-    return both.groupBy(
-        "company_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "title", "text", "category", "source",
-        "source_type").agg(F.count("*").alias("n"))
+    facts = ["company_id", "at", "title", "text", "category", "source", "source_type"]
+    told = both.withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm")).select(*facts)
+    return parted(told, lines, "company_id", "at").groupBy(*facts).agg(F.count("*").alias("n"))
 
 
 @query("src13_instruments", """SELECT CAST(s AS VARCHAR) AS bse_code, isin, 'B' || s AS bse_symbol, CASE WHEN s % 5 <> 0 THEN 'N' || s END AS nse_symbol, name FROM (

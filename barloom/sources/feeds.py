@@ -6,6 +6,7 @@ at the end scan the landed files; parsing is the same for a file, a table or a s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -88,9 +89,20 @@ def delivery_day(raw: DataFrame) -> DataFrame:
 
 # ---- calendars ---------------------------------------------------------------------------------------
 
+def shape_of(form: str) -> str:
+    """A pattern that every text of a date format of numbers and month names fits; a parse that fails costs much more than this look."""
+    tokens = (m.group(0) for m in re.finditer(r"'[^']*'|([yMdHms])\1*|.", form))
+    return "^" + "".join(r"[^0-9]+" if t.startswith("MMM") else r"[+-]?[0-9]+" if t[0] in "yMdHms" else re.escape(t.strip("'")) for t in tokens) + "$"
+
+
+def at_format(text: Column, form: str) -> Column:
+    """The timestamp of a text in the format, null when it is none; only texts of its shape are parsed."""
+    return F.when(text.rlike(shape_of(form)), F.try_to_timestamp(text, F.lit(form)))
+
+
 def any_date(text: Column, formats: Sequence[str] = fv.MEETING_DATE_FORMATS) -> Column:
     """The first format that fits."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(F.trim(text), F.lit(f))) for f in formats])
+    return F.coalesce(*[F.to_date(at_format(F.trim(text), f)) for f in formats])
 
 
 def meeting_columns(columns: Sequence[str], aliases: Mapping[str, Sequence[str]] = fv.MEETING_COLUMNS) -> dict[str, str]:
@@ -143,7 +155,7 @@ def is_result_meeting() -> Column:
 
 def upcoming_results(raw: DataFrame) -> DataFrame:
     """Result meetings of the exchange's feed with a readable date, the first one per (symbol, date)."""
-    d = F.to_date(F.try_to_timestamp("bm_date", F.lit("d-MMM-yyyy")))
+    d = F.to_date(at_format(F.col("bm_date"), "d-MMM-yyyy"))
     rows = in_order(raw).filter(is_result_meeting()).withColumn("result_date", d).filter("result_date is not null")
     facts = F.struct("sm_isin", "sm_name", "sm_indusrty")
     one = rows.groupBy("bm_symbol", "result_date").agg(F.min_by(facts, "row_no").alias("f"))
@@ -154,7 +166,7 @@ def upcoming_results(raw: DataFrame) -> DataFrame:
 
 def past_result_dates(raw: DataFrame, today: str, days_back: int = 3 * 365) -> DataFrame:
     """Distinct result dates per symbol, strictly before today and at most ``days_back`` days old."""
-    d = F.to_date(F.try_to_timestamp("bm_date", F.lit("d-MMM-yyyy")))
+    d = F.to_date(at_format(F.col("bm_date"), "d-MMM-yyyy"))
     now = F.to_date(F.lit(today))
     return raw.filter(is_result_meeting()).select(F.col("bm_symbol").alias("symbol"), d.alias("date")).filter(
         (F.col("date") < now) & (F.col("date") >= F.date_sub(now, days_back))).distinct()
@@ -168,7 +180,7 @@ def exchange_instant(local: Column) -> Column:
 
 
 def filings_from_symbol_feed(raw: DataFrame) -> DataFrame:
-    ts = F.try_to_timestamp("an_dt", F.lit("d-MMM-yyyy HH:mm:ss"))
+    ts = at_format(F.col("an_dt"), "d-MMM-yyyy HH:mm:ss")
     title = F.coalesce(F.nullif("desc", F.lit("")), F.lit("Announcement"))
     return raw.withColumn("local", ts).filter("local is not null").select(
         "company_id", exchange_instant(F.col("local")).alias("ts"), title.alias("title"),
@@ -179,8 +191,7 @@ def filings_from_symbol_feed(raw: DataFrame) -> DataFrame:
 
 def filings_from_code_feed(raw: DataFrame, attachment_base: str = "") -> DataFrame:
     stamp = F.substring(F.coalesce(F.nullif("NEWS_DT", F.lit("")), "DT_TM"), 1, 19)
-    ts = F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-                    F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")))
+    ts = F.coalesce(at_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), at_format(stamp, "yyyy-MM-dd HH:mm:ss"))
     filled = lambda c: F.nullif(c, F.lit(""))
     return raw.withColumn("local", ts).filter("local is not null").select(
         "company_id", exchange_instant(F.col("local")).alias("ts"),
