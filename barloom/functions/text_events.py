@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from barloom.functions import event_rules as er
@@ -207,6 +208,20 @@ def token_set(text: Column, stop: Sequence[str]) -> Column:
     return F.array_except(tokens, F.array(*[F.lit(s) for s in ("", *stop)]))
 
 
+def long_text_words(text: Column, stop: Sequence[str]) -> Column:
+    """``token_set`` for whole documents, in any order: bytes that are no letter or digit become blanks, and the rest is split there."""
+    kept = b"abcdefghijklmnopqrstuvwxyz0123456789"
+    plain = bytes(b if b in kept else 32 for b in range(256))
+    without = set(stop)
+
+    @F.pandas_udf("string")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join({*t.lower().encode().translate(plain).decode("ascii").split()} - without))
+
+    joined = words(F.coalesce(text, F.lit("")))
+    return F.filter(F.split(joined, " "), lambda w: w != "")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / union).otherwise(0.0)

@@ -259,9 +259,10 @@ def novelty(spark, sf_dir):
 {novelty_sql('m', 'CAST(NULL AS DOUBLE)')} SELECT item_id, root AS repeat_of FROM roots""")
 def document_repeats(spark, sf_dir):
     """Word overlap of whole documents: all are untyped news, so only shared words make a repeat."""
-    d = document_items(spark, sf_dir).withColumns({
-        "event_type": F.lit("other"), "order_value_cr": F.lit(None).cast("double"), "amount_cr": F.lit(None).cast("double")})
-    return events.mark_novelty(d).filter("repeat_of is not null").select("item_id", "repeat_of")
+    words = te.long_text_words(F.concat_ws(" ", "title", "text"), er.NOVELTY_STOP)
+    d = document_items(spark, sf_dir).select(
+        "item_id", "company_id", F.lit("other").alias("event_type"), "ts", F.lit(None).cast("double").alias("amount"), words.alias("tokens"))
+    return events.novelty_links(d).select("item_id", F.col("root.id").alias("repeat_of"))
 
 
 @query("jon12_shared_sizes", f"WITH RECURSIVE {SHARED} SELECT item_id, order_value_cr, amount_cr, order_pct_revenue, materiality, materiality_label, took FROM shared")
