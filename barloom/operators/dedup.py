@@ -18,28 +18,33 @@ DAY_H = 24.0
 
 # ---- runs: exact copies first -----------------------------------------------------------------------
 
-def title_runs(articles: DataFrame, window_h: float = DAY_H) -> DataFrame:
-    """Copies of one title, chained while at most ``window_h`` hours lie between neighbours, as one node.
+def title_hours(articles: DataFrame, window_h: float = DAY_H) -> DataFrame:
+    """Copies of one title, chained while at most ``window_h`` hours lie between neighbours, as one node: a row per title and hour with copies.
 
     ``articles``: item_id, key (clean title), hours_ago. All copies of a title tell the same story, so a chain is
     connected, and another title is within the window of some copy exactly if it is within the window of
     the chain's ends or inside it. Hours are grouped before the window, so a title with a third of all rows
-    has one row per hour there.
+    has one row per hour there. Result: key, hour, first, last, n and the chain's node.
     """
     per_hour = articles.groupBy("key", F.floor("hours_ago").alias("hour")).agg(
         F.min("hours_ago").alias("first"), F.max("hours_ago").alias("last"), F.count(F.lit(1)).alias("n"),
-        F.min("item_id").alias("node"))
+        F.min("item_id").alias("least"))
     w = Window.partitionBy("key").orderBy("hour")
     new = F.coalesce(F.col("first") - F.lag("last").over(w) > window_h, F.lit(True))
     numbered = per_hour.select("*", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
-    return numbered.groupBy("key", "run").agg(
+    return numbered.withColumn("node", F.min("least").over(Window.partitionBy("key", "run"))).drop("least")
+
+
+def title_runs(hours: DataFrame) -> DataFrame:
+    """(key, run, node, start, end, n): the chains of ``title_hours``."""
+    return hours.groupBy("key", "run").agg(
         F.min("node").alias("node"), F.min("first").alias("start"), F.max("last").alias("end"), F.sum("n").alias("n"))
 
 
-def run_of(articles: DataFrame, runs: DataFrame, window_h: float = DAY_H) -> DataFrame:
-    """(item_id, node): the run each article belongs to, found by title and hour."""
-    hours = runs.select("key", "node", F.explode(F.sequence(F.floor("start"), F.floor("end"))).alias("hour"))
-    return articles.select("item_id", "key", F.floor("hours_ago").alias("hour")).join(hours.hint("merge"), ["key", "hour"]).select("item_id", "node")
+def run_of(articles: DataFrame, hours: DataFrame) -> DataFrame:
+    """(item_id, node): the chain each article belongs to, found by title and hour."""
+    return articles.select("item_id", "key", F.floor("hours_ago").alias("hour")).join(
+        hours.select("key", "hour", "node").hint("merge"), ["key", "hour"]).select("item_id", "node")
 
 
 # ---- title vectors --------------------------------------------------------------------------------------
@@ -47,8 +52,8 @@ def run_of(articles: DataFrame, runs: DataFrame, window_h: float = DAY_H) -> Dat
 def title_terms(title: Column, stop: Sequence[str]) -> Column:
     """Words of two letters or more without stop words, and pairs of neighbours among them."""
     words = F.filter(F.regexp_extract_all(F.lower(title), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(list(stop)))
-    pairs = F.transform(F.sequence(F.lit(2), F.size(words)), lambda i: F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1)))
-    return F.when(F.size(words) >= 2, F.concat(words, pairs)).otherwise(words)
+    pairs = lambda ws: F.transform(F.sequence(F.lit(2), F.size(ws)), lambda i: F.concat_ws(" ", F.get(ws, i - 2), F.get(ws, i - 1)))
+    return te.let(words, lambda ws: F.when(F.size(ws) >= 2, F.concat(ws, pairs(ws))).otherwise(ws))
 
 
 def english_stop_words() -> list[str]:
@@ -57,7 +62,8 @@ def english_stop_words() -> list[str]:
 
 def counted(terms: Column) -> Column:
     """array of struct(term, tf): each different term of one title with how often it stands there."""
-    return F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.size(F.filter(terms, lambda x: x == t)).cast("long").alias("tf")))
+    times = lambda ts, t: F.struct(t.alias("term"), F.size(F.filter(ts, lambda x: x == t)).cast("long").alias("tf"))
+    return te.let(terms, lambda ts: F.transform(F.array_distinct(ts), lambda t: times(ts, t)))
 
 
 class Corpus(NamedTuple):
@@ -73,69 +79,97 @@ def corpus_of(titles: DataFrame, stop: Sequence[str] | None = None) -> Corpus:
     return Corpus(stage(terms.groupBy("term").agg(F.sum("n").alias("df")), "corpus"), titles.agg(F.sum("n")).first()[0] or 0)
 
 
-def tfidf(titles: DataFrame, stop: Sequence[str] | None = None, corpus: Corpus | None = None) -> DataFrame:
-    """(key, term, weight): length-one TF-IDF vectors of distinct titles, smooth idf ln((1+n)/(1+df)) + 1.
+def tfidf(titles: DataFrame, stop: Sequence[str] | None = None, corpus: Corpus | None = None, by: str = "key") -> DataFrame:
+    """(key, term, df, titles, places, weight): length-one TF-IDF vectors of distinct titles, smooth idf ln((1+n)/(1+df)) + 1.
 
     ``titles`` is (key, n): n copies count as n documents. With ``corpus`` the weights are those of another set of titles,
-    so that they stay as they are while titles come in; a term that is new to it has df 0.
+    so that they stay as they are while titles come in; a term that is new to it has df 0. ``titles`` and ``places`` of a term are the
+    titles it stands in and the sum of their column ``places`` (1 each without that column). A title is named by its column ``by``.
     """
-    held = titles.withColumn("terms", title_terms(F.col("key"), stop or english_stop_words()))
-    tf = stage(held.select("key", "n", F.explode(counted(F.col("terms"))).alias("t")).select("key", "n", "t.*"))
+    held = titles.withColumns({"terms": title_terms(F.col("key"), stop or english_stop_words()),
+                               "places": F.col("places") if "places" in titles.columns else F.lit(1)})
+    tf = stage(held.select(by, "n", "places", F.explode(counted(F.col("terms"))).alias("t")).select(by, "n", "places", "t.*"))
+    counts = [F.sum("n").alias("df"), F.count(F.lit(1)).alias("titles"), F.sum("places").alias("places")]
+    own = tf.groupBy("term").agg(*counts)
     if corpus is None:
-        df, total = tf.groupBy("term").agg(F.sum("n").alias("df")), titles.agg(F.sum("n")).scalar()
+        total = titles.agg(F.sum("n")).scalar()
     else:
-        own = tf.select("term").distinct().join(corpus.df, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
-        df, total = stage(own, "frequencies"), corpus.titles
-    weighed = with_frequency(tf, df, "term", "df").select(
-        "key", "term", "df", (F.col("tf") * (F.ln((1 + total) / (1 + F.col("df"))) + 1)).alias("w"))
-    raw = parted(weighed, tf, "key")
-    of_title = Window.partitionBy("key")                     # the terms of one title
-    return raw.select("key", "term", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_title))).alias("weight"))
-
-
-ANY, NONE = "*", "-"                                         # in place of an entity: whatever it is, and none at all
+        own, total = own.drop("df").join(corpus.df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))), corpus.titles
+    weighed = with_frequency(tf.select(by, "term", "tf"), stage(own, "frequencies"), "term", "df").select(
+        by, "term", "df", "titles", "places", (F.col("tf") * (F.ln((1 + total) / (1 + F.col("df"))) + 1)).alias("w"))
+    raw = parted(weighed, tf, by)
+    # the terms of one title, in the order that later steps need
+    of_title = Window.partitionBy(by).orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return raw.select(by, "term", "df", "titles", "places", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_title))).alias("weight"))
 
 
-def veto_keys(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two frames (key, entity, tone), for asking and for answering titles, that meet exactly if neither veto holds.
-
-    A title with entities asks for each of them and for titles without any; one without asks for all. A title that only rises
-    or only falls does not ask for the opposite.
-    """
-    has = F.size("entities") > 0
-    one = lambda x: F.array(F.lit(x))
-    tone = F.when(F.col("up") & ~F.col("down"), 1).when(F.col("down") & ~F.col("up"), -1).otherwise(0)
-    tones = F.filter(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda t: t * tone >= 0)
-    asks = facts.select("key", F.explode(F.when(has, F.concat("entities", one(NONE))).otherwise(one(ANY))).alias("entity"), tones.alias("t"))
-    gives = facts.select("key", F.explode(F.when(has, F.concat("entities", one(ANY))).otherwise(F.array(F.lit(NONE), F.lit(ANY)))).alias(
-        "entity"), tone.alias("tone"))
-    return asks.select("key", "entity", F.explode("t").alias("tone")), gives
+NONE = "-"                                                   # in place of an entity: none at all
+#: Places of one term that lie in one stretch of time, as far as stretches of a window's length allow.
+STRETCH = 64
+#: Hours by which a stretch is asked beyond the window, for rounding.
+SLACK = 1e-6
 
 
-def similar_titles(vectors: DataFrame, places: DataFrame, threshold: float, facts: DataFrame) -> DataFrame:
-    """(p, c, sim) of different titles whose cosine is at least the threshold, compared in shared days.
-
-    ``facts`` (``title_facts``) keeps titles with other entities or the opposite direction from meeting at all.
+def title_cards(vectors: DataFrame, facts: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    """One row per title with terms: id, vector (term, weight), lead, runs and the columns of ``title_facts``; stored.
 
     Terms are taken rare first. If two titles share no term before the point where the rest of one of them is
-    shorter than the threshold, their cosine is below it; so only those leading terms are joined. Lossless.
-    ``places`` is (key, day, role). What is exploded or packed here is much larger than the planner expects, so it is joined by
-    shuffle and never broadcast.
+    shorter than the threshold, their cosine is below it; so only those leading terms can bring titles together. ``tail`` is the length
+    from a term on. A term of a single title brings none together.
+    """
+    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    tails = vectors.withColumn("tail", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest)))
+    leads = (F.col("tail") >= threshold - 1e-9) & (F.col("titles") > 1)
+    packed = tails.groupBy("id").agg(
+        F.collect_list(F.struct("term", "weight")).alias("vector"),
+        F.collect_list(F.when(leads, F.struct("term", "tail", "places"))).alias("lead"))
+    named = facts.hint("merge").join(titles.select("id", "key", "runs"), "key").drop("key")
+    return stage(packed.hint("merge").join(named, "id"), "cards")
+
+
+def meeting_runs(cards: DataFrame, first: float, last: float, window_h: float, threshold: float) -> DataFrame:
+    """(p, c, a, b): different titles p, c that can be similar and runs a, b of theirs within the window; stored.
+
+    Titles meet at a leading term in a stretch of time, one with an entity at each of its entities and, as p, where titles without any are.
+    At the rarest term of two titles their cosine is at most the product of the tails there; titles of opposite direction, runs out of the
+    window and lower bounds go while rows meet. All of it is lossless. Time is cut where a term has more than ``STRETCH`` runs, into
+    stretches of a window at least; a long run lies in many of them, and two runs meet in the first that they share. ``first`` and
+    ``last`` hour span all runs. Keys are hashes: equal ones of different terms only add a pair, which is compared like any other.
     """
-    rest = Window.partitionBy("key").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    lead = vectors.select("key", "term", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest)).alias("tail")).filter(
-        F.col("tail") >= threshold - 1e-9)
-    asks, gives = veto_keys(facts)
-    at = ["day", "term", "entity", "tone"]
-    side = lambda role, keys: places.filter(F.col("role") == role).hint("merge").join(lead, "key").join(keys.hint("merge"), "key").select(
-        *at, F.col("key").alias(role))
-    maybe = side("p", asks).join(side("c", gives).hint("merge"), at).filter("p < c").select("p", "c").distinct()
-    packed = vectors.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v")).hint("merge")
-    both = maybe.join(packed.select(F.col("key").alias("p"), F.col("v").alias("pv")), "p").join(
-        packed.select(F.col("key").alias("c"), F.col("v").alias("cv")), "c")
-    dot = F.aggregate(F.map_entries("pv"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(
-        F.try_element_at(F.col("cv"), e["key"]), F.lit(0.0)))
-    return both.select("p", "c", dot.alias("sim")).filter(F.col("sim") >= threshold)
+    has = F.size("entities") > 0
+    none = F.array(F.lit(NONE))
+    tone = F.when(F.col("up") & ~F.col("down"), 1).when(F.col("down") & ~F.col("up"), -1).otherwise(0).cast("byte")
+    wide = F.greatest(F.lit(float(window_h)), (last - first + 1) / F.ceil((F.col("l.places") + 1) / STRETCH))
+    cell = lambda at: F.floor((at - first) / F.col("wide"))
+
+    def side(entities: Column, slack: float) -> DataFrame:
+        rows = cards.select("id", has.alias("has"), tone.alias("tone"), "runs", entities.alias("entities"), F.explode("lead").alias("l")).select(
+            "id", "has", "tone", "runs", F.explode("entities").alias("entity"), "l.term", "l.tail", wide.alias("wide"))
+        at = rows.select("id", "has", "tone", F.xxhash64("term", "entity").alias("met"), "tail", "wide", F.explode("runs").alias("r")).select(
+            "id", "has", "tone", "met", "tail", "r.node", "r.start", "r.end",
+            cell(F.col("r.start") - slack).alias("from"), cell(F.col("r.end") + slack).alias("upto"))
+        return at.withColumn("cell", F.explode(F.sequence("from", "upto"))).drop("upto")
+
+    p = side(F.when(has, F.concat("entities", none)).otherwise(none), 0.0).alias("p")
+    c = side(F.when(has, F.col("entities")).otherwise(none), window_h + SLACK).alias("c")
+    x = lambda name: F.col(f"p.{name}")
+    y = lambda name: F.col(f"c.{name}")
+    fits = (((x("has") & ~y("has")) | (x("id") < y("id"))) & (x("tone") * y("tone") >= 0) & (x("tail") * y("tail") >= threshold - 1e-9)
+            & (y("start") - x("end") <= window_h) & (x("start") - y("end") <= window_h) & (x("cell") == F.greatest(x("from"), y("from"))))
+    met = p.hint("merge").join(c.hint("merge"), (x("met") == y("met")) & (x("cell") == y("cell")) & fits)
+    return stage(met.select(x("id").alias("p"), y("id").alias("c"), x("node").alias("a"), y("node").alias("b")).distinct(), "met")
+
+
+def similar_runs(cards: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the runs of those met titles whose cosine is at least the threshold and that tell the same story."""
+    facts = F.struct("up", "down", "numbers", "words", "entities")
+    known = lambda name: cards.select(F.col("id").alias(name), F.map_from_entries("vector").alias(f"{name}_vector"), facts.alias(f"{name}_facts")).hint("merge")
+    both = met.select("p", "c").distinct().join(known("p"), "p").join(known("c"), "c")
+    dot = F.aggregate(F.map_entries("p_vector"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(
+        F.try_element_at(F.col("c_vector"), e["key"]), F.lit(0.0)))
+    sims = both.select("p", "c", dot.alias("sim"), "p_facts", "c_facts").filter(F.col("sim") >= threshold)
+    judged = sims.filter(same_story(F.col("sim"), "p_facts", "c_facts")).select("p", "c")
+    return met.join(judged.hint("merge"), ["p", "c"]).select("a", "b")
 
 
 # ---- entities and the same-story test ----------------------------------------------------------------------
@@ -209,29 +243,29 @@ def story_links(articles: DataFrame, aliases: DataFrame, window_h: float = DAY_H
     otherwise it is TF-IDF over the titles (or weighted by ``corpus``). With vectors, equal titles count as equal vectors.
     """
     keyed = stage(articles.select("item_id", "hours_ago", te.headline_title(F.col("title"), F.col("source")).alias("key")))
-    runs = stage(title_runs(keyed, window_h))
-    titles = spread(stage(runs.groupBy("key").agg(F.sum("n").alias("n"))))
+    hours = stage(title_hours(keyed, window_h), "hours")
+    runs = stage(title_runs(hours))
+    placed = F.filter(F.collect_list(F.struct("node", "start", "end")), lambda r: r["start"].isNotNull())
+    grouped = runs.groupBy("key").agg(F.sum("n").alias("n"), placed.alias("runs"))
+    titles = spread(stage(grouped.select(F.monotonically_increasing_id().alias("id"), "key", "n", F.size("runs").alias("places"), "runs"), "titles"))
     facts = stage(title_facts(titles, aliases))
-    days = lambda lo, hi: F.explode(F.sequence(F.floor(lo / window_h), F.floor(hi / window_h)))
-    start, end = F.col("start"), F.col("end")
 
     if vectors is None:
-        asks = runs.select("key", days(start, end).alias("day"), F.lit("p").alias("role"))
-        gives = runs.select("key", days(start - window_h, end + window_h).alias("day"), F.lit("c").alias("role"))
-        pairs = similar_titles(stage(tfidf(titles, stop, corpus)), asks.unionByName(gives).distinct(), er.SAME_STORY_SIM_WITH_WORDS,
-                               facts)
+        threshold = er.SAME_STORY_SIM_WITH_WORDS
+        first, last = runs.agg(F.coalesce(F.min("start"), F.lit(0.0)), F.coalesce(F.max("end"), F.lit(0.0))).first()
+        cards = title_cards(tfidf(titles, stop, corpus, "id"), facts, titles, threshold)
+        edges = similar_runs(cards, meeting_runs(cards, first, last, window_h, threshold), threshold)
     else:
         one = keyed.join(vectors, "item_id").groupBy("key").agg(F.min_by("vec", "item_id").alias("vec"))
         pairs = vector_pairs(runs, one, facts, window_h)
-
-    node = F.struct("node", "start", "end")
-    at = lambda name: runs.select(F.col("key").alias(name), node.alias(f"{name}_run"))
-    known = lambda name: facts.select(F.col("key").alias(name), F.struct(*[c for c in facts.columns if c != "key"]).alias(f"{name}_facts"))
-    judged = pairs.join(known("p").hint("merge"), "p").join(known("c").hint("merge"), "c").filter(same_story(F.col("sim"), "p_facts", "c_facts")).select("p", "c")
-    edges = judged.join(at("p").hint("merge"), "p").join(at("c").hint("merge"), "c").filter(_within("p_run", "c_run", window_h)).select(
-        F.col("p_run.node").alias("a"), F.col("c_run.node").alias("b"))
+        node = F.struct("node", "start", "end")
+        at = lambda name: runs.select(F.col("key").alias(name), node.alias(f"{name}_run"))
+        known = lambda name: facts.select(F.col("key").alias(name), F.struct(*[c for c in facts.columns if c != "key"]).alias(f"{name}_facts"))
+        judged = pairs.join(known("p").hint("merge"), "p").join(known("c").hint("merge"), "c").filter(same_story(F.col("sim"), "p_facts", "c_facts")).select("p", "c")
+        edges = judged.join(at("p").hint("merge"), "p").join(at("c").hint("merge"), "c").filter(_within("p_run", "c_run", window_h)).select(
+            F.col("p_run.node").alias("a"), F.col("c_run.node").alias("b"))
     stories = connected_components(runs.select("node"), edges)
-    return run_of(keyed, runs, window_h).join(stories, "node").select("item_id", F.col("label").alias("story"))
+    return run_of(keyed, hours).join(stories, "node").select("item_id", F.col("label").alias("story"))
 
 
 def vector_pairs(runs: DataFrame, vectors: DataFrame, facts: DataFrame, window_h: float = DAY_H) -> DataFrame:

@@ -66,27 +66,62 @@ def follow_to_root(parents: DataFrame) -> DataFrame:
             return current
 
 
+#: Edges that one task joins at the end of ``connected_components``.
+LAST_EDGES = 200_000
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest node id of each component; ``edges`` is (a, b), both directions are used.
 
-    Minimum labels travel along edges and then jump to their label's label. Both combine before the shuffle,
-    so a node with very many neighbours is no single task.
+    Each round moves every node to the neighbour that comes first in an order drawn anew, and on to where that one moves; the edges between
+    what is left are the next round's. On a path, where labels that only travel need as many rounds as it is long, at most half of the nodes
+    are left. A bounded rest of edges is joined by one task. A node with very many neighbours is no single task, as minima combine before
+    the shuffle. Nodes without edges keep out of the rounds; a node that comes twice has one row.
     """
-    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = stage(nodes.select("node", F.col("node").alias("label")))
-    while True:
-        heard = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label"))
-        jump = lower.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        moved = lower.join(jump, F.col("label") == F.col("_n"), "left").select(
-            "node", "old", F.least("label", F.coalesce("_l", "label")).alias("label"))
-        moved = stage(moved)
-        unstage(labels)
-        labels = moved.select("node", "label")
-        if moved.filter("old <> label").isEmpty():
-            unstage(both)
-            return labels
+    every = nodes.select("node").distinct()
+    known = edges.join(every.withColumnRenamed("node", "a"), "a", "left_semi").join(every.withColumnRenamed("node", "b"), "b", "left_semi")
+    both = stage(known.select("a", "b").union(known.select("b", "a")).filter("a <> b").distinct(), "edges")
+    moves = []
+    while (left := both.count()) > LAST_EDGES:
+        drawn = lambda c: F.xxhash64(F.lit(len(moves)), c)  # noqa: E731, B023
+        first = both.groupBy("a").agg(F.min_by("b", drawn(F.col("b"))).alias("b"))
+        up = stage(first.select(F.col("a").alias("node"), F.when(drawn(F.col("b")) < drawn(F.col("a")), F.col("b")).otherwise(F.col("a")).alias("up")), "up")
+        further = up.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        moves.append(stage(up.join(further, "up").select("node", "root"), "moves"))
+        to = lambda c: moves[-1].select(F.col("node").alias(c), F.col("root").alias(f"of_{c}"))
+        less = both.join(to("a"), "a").join(to("b"), "b").filter("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        less = stage(less.distinct(), "edges")
+        unstage(both)
+        unstage(up)
+        both = less
+    if left:
+        moves.append(both.filter("a < b").groupBy().applyInPandas(_joined, "node long, root long"))
+    rooted = None
+    for move in reversed(moves):
+        later = None if rooted is None else rooted.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        rooted = stage(move if later is None else move.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "roots")
+    for old in (both, *(moves if not left else moves[:-1])):
+        unstage(old)
+    if rooted is None:
+        return every.select("node", F.col("node").alias("label"))
+    least = rooted.groupBy("root").agg(F.min(F.least("node", "root")).alias("label"))
+    return every.join(rooted.join(least, "root").select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def _joined(edges: pd.DataFrame) -> pd.DataFrame:
+    """(node, root): the ends of a bounded number of edges (a, b) and the smallest of their component."""
+    root = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in zip(edges.a.tolist(), edges.b.tolist()):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    ends = list(root)
+    return pd.DataFrame({"node": ends, "root": [find(x) for x in ends]})
 
 
 # ---- token sets ------------------------------------------------------------------------------------
