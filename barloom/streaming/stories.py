@@ -120,7 +120,8 @@ def rolling_stories(out: str, aliases: DataFrame, corpus: Corpus, window_h: floa
         moved = retired.select(F.col("story").alias("label")).join(root, F.col("label") == F.col("was")).select("label", F.col("root").alias("story"))
         earlier = newest_aliases(renames).join(root.filter("was <> root"), F.col("story") == F.col("was")).select("label", F.col("root").alias("story"))
 
-        save(own.withColumn("label", F.col("root")).select("item_id", "title", "source", "ts", "label", "day"), "items", "day")
+        # a day's items together, or every task would write a file for each day
+        save(own.withColumn("label", F.col("root")).select("item_id", "title", "source", "ts", "label", "day").hint("rebalance", "day"), "items", "day")
         save(moved.unionByName(earlier), "aliases")
         save(grown.unionByName(retired), "stories")
         for old in (days, near, new, grouped, root, merging):
