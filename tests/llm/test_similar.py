@@ -107,3 +107,21 @@ def test_outer_members_meet_the_middle_of_a_dense_group(spark, monkeypatch):
     root = brute_components(sorted(sets), lambda a, b: linked(sets[a], sets[b]))
     assert {x.doc_id: x.component_id for x in similar.similar_copies(docs).collect()} == root
     assert met[0] < 2 * len(texts), met
+
+
+def test_pairs_without_a_common_key_are_found(spark, monkeypatch):
+    """The search covers all documents: with keys that never meet and fingerprints that discard everything no link is lost."""
+    r = random.Random(31)
+    texts = []
+    for _ in range(40):
+        words = [f"w{r.randrange(10 ** 6)}" for _ in range(r.choice([4, 9, 30, 150]))]
+        texts += [" ".join(words), edited(r, words, r.randint(1, 3)), " ".join(words + ["more"])]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    root = brute_components(sorted(sets), lambda a, b: linked(sets[a], sets[b]))
+    assert len(set(root.values())) < len(texts) - 20
+    monkeypatch.setattr(similar, "not_discarded", lambda pairs, table: pairs.limit(0))
+    assert {x.doc_id: x.component_id for x in similar.similar_copies(docs).collect()} == root
+    keys = similar.band_keys
+    monkeypatch.setattr(similar, "band_keys", lambda hashes: [k ^ hash(hashes.tobytes()) for k in keys(hashes)])
+    assert {x.doc_id: x.component_id for x in similar.similar_copies(docs).collect()} == root
